@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import robust, series
 from sensorloom.operators.series import over
+from sensorloom.sources.shared import materialise
 
 RUN = ["run_id"]
 
@@ -63,7 +64,7 @@ def detect_sweep(force: DataFrame, levels: DataFrame) -> DataFrame:
     w = over(RUN, "t", "seq")
     clean = robust.finite(force, "t", "v").withColumn("_dt", F.col("t") - F.lag("t").over(w))
     ends = clean.groupBy("run_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), (1 / F.median("_dt")).alias("fs")).where("n >= 50 and fs > 0").join(plan, "run_id")
-    joined = clean.join(ends, "run_id")
+    joined = materialise(clean.join(ends, "run_id"), "force")
     tries = []
     for anchor, idle in (("head", F.col("t") < F.col("t0") + 3.0), ("tail", F.col("t") > F.col("t1") - 3.0)):
         quiet = joined.where(idle)
@@ -83,7 +84,7 @@ def detect_sweep(force: DataFrame, levels: DataFrame) -> DataFrame:
     framed = both.withColumn("_lo", left).withColumn("_hi", left + F.col("_w"))
     sums = both.select(*keys, F.col("_i").alias("_k"), F.col("_cum").alias("_c"))
     smooth = framed.join(sums.withColumnsRenamed({"_k": "_hi", "_c": "_ch"}), [*keys, "_hi"], "left").join(sums.withColumnsRenamed({"_k": "_lo", "_c": "_cl"}), [*keys, "_lo"], "left")
-    smooth = smooth.withColumn("_s", (F.col("_ch") - F.coalesce("_cl", F.lit(0.0))) / F.col("_w"))
+    smooth = materialise(smooth.withColumn("_s", (F.col("_ch") - F.coalesce("_cl", F.lit(0.0))) / F.col("_w")), "activity")
     top = smooth.groupBy(*keys).agg(F.percentile("_s", 0.99).alias("_amp"))
     active = smooth.join(top, keys).withColumn("on", F.col("_s") > F.greatest(8 * F.col("noise"), 0.05 * F.col("_amp")))
     active = active.select(*keys, "t", "_i", "_s", "on", "n", "fs", "t0", "dwell", "steps")
@@ -155,12 +156,12 @@ def power_law(points: DataFrame, by: list[str], q: str, y: str, grid: int = 400)
 
 def analyse_flow(force: DataFrame, levels: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """(per level, per run): levels with predicted force; runs with start, anchor, fit, markers and recommendation."""
-    sweep = detect_sweep(force, levels)
-    starts = align_grid(force, sweep, levels)
-    stats = level_stats(force, starts, levels)
+    sweep = materialise(detect_sweep(force, levels), "sweeps")
+    starts = materialise(align_grid(force, sweep, levels), "starts")
+    stats = materialise(level_stats(force, starts, levels), "levels")
     m = F.count("mean").over(Window.partitionBy("run_id"))
     ranked = stats.where("mean is not null").withColumn("_i", F.row_number().over(over(RUN, "level"))).withColumn("_m", m)
-    fit = power_law(ranked.where((F.col("_i") <= fit_count(F.col("_m"))) & (F.col("_m") >= 4)), RUN, "level", "mean")
+    fit = materialise(power_law(ranked.where((F.col("_i") <= fit_count(F.col("_m"))) & (F.col("_m") >= 4)), RUN, "level", "mean"), "fits")
     full = stats.join(fit, "run_id", "left").withColumn("predicted", F.col("a") * F.pow(F.col("level").cast("double"), F.col("b")) + F.col("c"))
     marks = breakdown(full, RUN, **limits)
     runs = starts.join(sweep.select("run_id", "t_end", "fs", "anchor"), "run_id").join(fit, "run_id", "left").join(marks, "run_id", "left")
