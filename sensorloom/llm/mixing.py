@@ -16,6 +16,8 @@ from sensorloom.llm import common
 
 #: A table of rates of at most this many sources (about 50 bytes to 1 KB each) is broadcast.
 BROADCAST_SOURCES = 10_000
+#: The largest rate of a single draw.
+LARGEST_RATE = 500.0
 
 
 def uniform(key: Column) -> Column:
@@ -44,10 +46,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 
 def _distribution(rate: Column) -> Column:
-    """The cumulative Poisson probabilities of 0, 1, ..., as far as doubles tell them from one.
-
-    Rates up to 700 are inverted directly; a larger one is the caller's mistake.
-    """
+    """The cumulative Poisson probabilities of 0, 1, ..., as far as doubles tell them from one."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("sums"))
     return F.aggregate(
@@ -68,16 +67,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """
     spark = docs.sparkSession
     rate = common.cut(rates(docs, weights, alpha, total, source_col, text_col), "rates")
-    head = rate.agg(F.count("*"), F.max("rate")).first()
-    if (head[1] or 0) > 700:
-        raise ValueError("a mean repetition rate over 700 is out of range")
-    chances = rate.select(F.col("source").alias("_source"), _distribution(F.col("rate")).alias("_sums"))
-    if head[0] <= BROADCAST_SOURCES:
+    # exp(-rate) must not vanish: a count of a large rate is the sum of draws at equal parts of it
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE).cast("int"))
+    chances = rate.select(F.col("source").alias("_source"), draws.alias("_draws"), _distribution(F.col("rate") / draws).alias("_sums"))
+    if rate.count() <= BROADCAST_SOURCES:
         chances = F.broadcast(chances)
     own = [c for c in docs.columns if c not in ("n_copies", "copy", "mix_key")]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = uniform(F.concat(F.lit(f"{seed}:"), key))
-    drawn = docs.select(*own).join(chances, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("n_copies", F.size(F.filter("_sums", lambda p: p <= u)).cast("bigint"))
+    count = F.size(F.filter("_sums", lambda p: p <= u)).cast("bigint")
+
+    def again(so_far: Column, i: Column) -> Column:
+        v = uniform(F.concat(F.lit(f"{seed}:"), key, F.lit(":draw:"), i.cast("string")))
+        return so_far + F.size(F.filter("_sums", lambda p: p <= v)).cast("bigint")
+
+    further = F.when(F.col("_draws") > 1, F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0).cast("bigint"), again)).otherwise(F.lit(0).cast("bigint"))
+    drawn = docs.select(*own).join(chances, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("n_copies", count + further)
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)))
     mixed = copies.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
