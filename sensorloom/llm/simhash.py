@@ -3,8 +3,9 @@
 A 64-bit fingerprint is cut into b blocks.  Two fingerprints that differ in at
 most d bits agree on b - d whole blocks at least, so each fingerprint is filed
 under every choice of b - d blocks, and only fingerprints filed together are
-compared.  b grows with the number of distinct fingerprints, so that the bits
-that must agree keep a file short; every b finds the same links.
+compared.  b is d + 3, whatever the corpus: three blocks must agree (27 bits
+for d = 4), so a file is short up to billions of fingerprints, and the number of
+files that one is in, 35 for d = 4, stays the same.
 
 Equal fingerprints are one class from the start.  A file with many different
 fingerprints (a large group of near copies) is cut into tiles by hash; pairs
@@ -18,7 +19,6 @@ import re
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +76,6 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     return rows.mapInArrow(partial(_fingerprints, words=words), PRINT)
 
 
-def blocks_for(n: int, differing: int) -> int:
-    """The least number of blocks of which those that must agree hold log2(n) bits."""
-    for b in range(differing + 1, 65):
-        if 64 * (b - differing) / b >= min(log2(max(n, 2)), 60):
-            return b
-    return 64
-
-
 def _masks(blocks: int, differing: int) -> list[int]:
     edges = [64 * k // blocks for k in range(blocks + 1)]
     block = [((1 << hi - lo) - 1) << lo for lo, hi in zip(edges, edges[1:])]
@@ -156,13 +148,15 @@ def _compare(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.R
         yield from links()
 
 
-def links(fps: DataFrame, n: int, differing: int = 4) -> DataFrame:
+def links(fps: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
     """(a, b): links between different fingerprints whose transitive closure is that of all pairs within `differing` bits.
 
-    fps has one column fp of distinct fingerprints, n is their number.
+    fps has one column fp of distinct fingerprints; `agreeing` is the number
+    of blocks that must agree, out of that many more than `differing`; every
+    number finds the same links.
     """
     spark = fps.sparkSession
-    masks = _masks(blocks_for(n, differing), differing)
+    masks = _masks(differing + agreeing, differing)
     which = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
     filed = fps.select("fp", which).select("fp", F.xxhash64("pos", "col").alias("file"))
     full = filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1")
@@ -186,7 +180,7 @@ def classes(prints: DataFrame, differing: int = 4) -> DataFrame:
     its group and never names it, unless no other does.
     """
     heads = common.cut(prints.groupBy("fp").agg(F.min("row").alias("head")), "heads")
-    joined = components(links(heads.select("fp"), heads.count(), differing))
+    joined = components(links(heads.select("fp"), differing))
     named = heads.join(joined, heads.fp == joined.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of = named.join(least, "component").select("fp", "component_id")
