@@ -83,38 +83,27 @@ def _masks(blocks: int, differing: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
 def _near(left: np.ndarray, right: np.ndarray, differing: int, same: bool) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between two sets of fingerprints (or within one)."""
-    forest, n = _Forest(len(left) + (0 if same else len(right))), len(left)
-    for at in range(0, n, 256):
-        near = np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= differing
-        i, j = np.nonzero(near)
-        i += at
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        for x, y in zip(i.tolist(), j.tolist()):
-            if forest.join(x, y if same else n + y):
-                yield x, y
+    """A spanning forest of the links between two sets of fingerprints (or within one), the closest ones first.
+
+    Labels of components are kept in an array, so a row that is near thousands
+    of others costs a few array operations, not a step for each of them.
+    """
+    n = len(left)
+    label = np.arange(n if same else n + len(right))
+    to = label if same else label[n:]
+    for limit in sorted({differing // 2, differing}):
+        for at in range(0, n, 256):
+            near = np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= limit
+            for r in np.flatnonzero(near.sum(axis=1) > (1 if same else 0)).tolist():
+                x = at + r
+                others = np.flatnonzero(near[r])
+                others = others[to[others] != label[x]]
+                while len(others):  # as often as this row joins two components
+                    y, old, new = int(others[0]), to[others[0]], label[x]
+                    yield x, y
+                    label[label == max(old, new)] = min(old, new)
+                    others = others[to[others] != label[x]]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
@@ -173,39 +162,93 @@ def links(fps: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
     return dealt.mapInArrow(partial(_compare, differing=differing), LINK)
 
 
-def classes(prints: DataFrame, differing: int = 4) -> DataFrame:
+SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("sketch", T.BinaryType())])
+#: Hashes in a sketch; texts of at most so many different shingles are compared exactly.
+SKETCH_SIZE = 256
+
+
+def sketch(text: str | None, words: int) -> np.ndarray:
+    """The smallest hashes of a text's different shingles."""
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    shingles = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles], dtype=np.uint64))[:SKETCH_SIZE]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of shingles by their sketches; texts without words are alike."""
+    both = np.union1d(a, b)[:SKETCH_SIZE]
+    return float((np.isin(both, a) & np.isin(both, b)).mean()) if len(both) else 1.0
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in common.rows(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sketch(t, words).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=SKETCH.names)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(found: DataFrame, heads: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those links (a, b) whose classes' first documents share at least `least` of their shingles.
+
+    docs: id, text.  Only linked documents are read, and links are as few as a
+    spanning forest has.
+    """
+    of = heads.select("fp", F.col("head").alias("id"))
+    ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct().join(of, "fp")
+    texts = docs.join(ends.select("id").distinct(), "id", "left_semi").mapInArrow(partial(_sketches, words=words), SKETCH).dropDuplicates(["id"])
+    known = ends.join(texts, "id").select("fp", "sketch")
+    left, right = known.withColumnsRenamed({"fp": "a", "sketch": "x"}), known.withColumnsRenamed({"fp": "b", "sketch": "y"})
+    return found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(partial(_similar, least=least), LINK)
+
+
+def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3, check=None) -> DataFrame:
     """(row, fp, component_id) for rows (row, fp): the smallest row reachable over links of at most `differing` bits.
 
     Equal fingerprints are linked, zero like any other.  A null row id joins
-    its group and never names it, unless no other does.
+    its group and never names it, unless no other does.  `check` takes links
+    and heads (fp, head) and returns the links that stand.
     """
     heads = common.cut(prints.groupBy("fp").agg(F.min("row").alias("head")), "heads")
-    joined = components(links(heads.select("fp"), differing))
+    found = links(heads.select("fp"), differing, agreeing)
+    if check is not None:
+        found = check(common.cut(found.distinct(), "candidates"), heads)
+    joined = components(found)
     named = heads.join(joined, heads.fp == joined.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of = named.join(least, "component").select("fp", "component_id")
     return prints.join(of, "fp").select("row", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    Null and empty texts and texts of white space have fingerprint zero and so
-    are one group.  Rows that repeat come back as often as they are there; an
-    empty table gives no rows; other columns are not read.
+    With `similar`, links of fingerprints count only if the documents share
+    that much of their shingles (Jaccard), so that `differing` can be wide
+    without linking strangers.  Null and empty texts and texts of white space
+    have fingerprint zero and so are one group.  Rows that repeat come back as
+    often as they are there; an empty table gives no rows; other columns are
+    not read.
     """
     prints = common.cut(fingerprints(docs, words, id_col, text_col), "prints")
-    found = classes(prints, differing)
+    check = None
+    if similar is not None:
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        check = partial(verified, docs=rows, words=words, least=similar)
+    found = classes(prints, differing, agreeing, check)
     return found.select(F.col("row").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, differing: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, whole and unchanged.
 
     Rows that repeat an id are one document here: one of them stays.  A
     document without an id stays only if its group has no other.
     """
-    found = near_duplicates(docs, words, differing, id_col, text_col)
+    found = near_duplicates(docs, words, differing, agreeing, similar, id_col, text_col)
     kept = found.groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept")
     stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
     return stay.dropDuplicates([id_col])
