@@ -16,8 +16,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays, on shingles of five words."""
-    return simhash.keep_one(docs, words=5, differing=6)
+    """Of each group of near copies (0.8 or more of their shingles of five words in common) one document stays.
+
+    Fingerprints within ten bits are candidates; their links are then verified on the documents' shingles."""
+    return simhash.keep_one(docs, words=5, differing=10, agreeing=2, similar=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
