@@ -309,3 +309,49 @@ def clock_offset(df: DataFrame, by: list[str], arrival: list[str], ticks: str, r
     df = df.withColumn("unwrapped", F.col(ticks) + F.lit(wrap) * F.sum(F.when(F.col("_reset") == 0, F.col("_wrap")).otherwise(0)).over(inside.rowsBetween(PAST, HERE)))
     df = df.withColumn("offset", F.min(F.col(recv) - F.col("unwrapped") * scale).over(inside.rowsBetween(1 - window, 0)))
     return df.withColumn("emit", F.col("unwrapped") * scale + F.col("offset")).drop("_wrap", "_reset")
+
+
+# --- latches, fills and thinning (W-11, W-12, W-35, T-11) ---
+
+
+def direction_latch(df: DataFrame, by: list[str], order: list[str], col: str, out: str, least: float = 0.005) -> DataFrame:
+    """The sign of the last step of at least `least`; zero before the first."""
+    w = over(by, *order)
+    step = F.col(col) - F.lag(col).over(w)
+    df = df.withColumn("_sign", F.when(F.abs(step) >= least, F.signum(step)))
+    return df.withColumn(out, F.coalesce(F.last("_sign", True).over(w.rowsBetween(PAST, HERE)), F.lit(0.0))).drop("_sign")
+
+
+def signed_runs(df: DataFrame, by: list[str], x: str, y: str, reference: float = 0.0) -> DataFrame:
+    """Points (by, x, y, run, above) of the curve, parted where it crosses the reference; the interpolated crossing ends
+    one run and begins the next."""
+    w = over(by, x)
+    above = F.col(y) >= reference
+    rows = df.select(*by, x, y, above.alias("above"), F.lag(x).over(w).alias("_x0"), F.lag(y).over(w).alias("_y0")).withColumn("_turn", F.coalesce((F.col("_y0") >= reference) != F.col("above"), F.lit(False)))
+    rows = rows.withColumn("run", F.sum(F.col("_turn").cast("int")).over(w.rowsBetween(PAST, HERE)))
+    at = F.col("_x0") + (F.col(x) - F.col("_x0")) * F.try_divide(F.lit(reference) - F.col("_y0"), F.col(y) - F.col("_y0"))
+    cross = rows.where("_turn").select(*by, at.alias(x), F.lit(float(reference)).alias(y), F.explode(F.array(F.struct((F.col("run") - 1).alias("run"), (~F.col("above")).alias("above")), F.struct(F.col("run").alias("run"), F.col("above").alias("above")))).alias("_r"))
+    return rows.select(*by, x, y, "run", "above").unionByName(cross.select(*by, x, y, "_r.run", "_r.above"))
+
+
+def thinned(df: DataFrame, by: list[str], order: list[str], most: int = 60_000) -> DataFrame:
+    """Every second row dropped as often as it takes to leave at most `most` of a series."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    stride = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(n / most)))).cast("bigint")
+    i = F.row_number().over(over(by, *order)) - 1
+    return df.withColumn("_s", stride).withColumn("_i", i).where(F.col("_i") % F.col("_s") == 0).drop("_s", "_i")
+
+
+def transition_areas(signal: DataFrame, transitions: DataFrame, by: list[str], t: str, v: str, direction: str, half: float = 0.075) -> DataFrame:
+    """(by, area): rises count up and falls down, each over a window around it that ends half-way to its neighbours,
+    against the mean of the window itself."""
+    w = over(by, t)
+    lo = F.greatest(F.col(t) - half, F.coalesce((F.col(t) + F.lag(t).over(w)) / 2, F.col(t) - half))
+    hi = F.least(F.col(t) + half, F.coalesce((F.col(t) + F.lead(t).over(w)) / 2, F.col(t) + half))
+    windows = transitions.select(*by, F.col(t).alias("_at"), F.col(direction).alias("_dir"), lo.alias("_lo"), hi.alias("_hi"))
+    inside = interval_join(signal.select(*by, t, v), windows, by, t, "_lo", "_hi", max(4 * half, 1e-3))
+    keys = [*by, "_at", "_dir"]
+    inside = inside.withColumn("_y", F.col(v) - F.avg(v).over(Window.partitionBy(*keys)))
+    inner = over(keys, t)
+    step = (F.col("_y") + F.lead("_y").over(inner)) / 2 * (F.lead(t).over(inner) - F.col(t))
+    return inside.withColumn("_a", step * F.signum("_dir")).groupBy(*by).agg(F.sum("_a").alias("area"))

@@ -309,3 +309,30 @@ UNION ALL SELECT event_id, 'even' FROM n WHERE n <= 20 OR i IN (SELECT CAST(floo
     "top_values": "SELECT CAST(floor(value) AS BIGINT) AS v, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, v LIMIT 20",
     "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1",
 }
+
+
+def direction_latch(spark, sf_dir):
+    return series.direction_latch(events(spark, sf_dir), ["user_id"], ["t"], "value", "dir", 20.0).select("event_id", "dir")
+
+
+def signed_runs(spark, sf_dir):
+    found = series.signed_runs(events(spark, sf_dir).withColumn("h", F.col("t") / 3600), ["user_id"], "h", "value", 25.0)
+    return rounded(found.groupBy("user_id", "run", "above").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")), 5)
+
+
+def thinned(spark, sf_dir):
+    return series.thinned(events(spark, sf_dir), ["user_id"], ["t"], 20).select("event_id")
+
+
+QUERIES |= {f.__name__: f for f in (direction_latch, signed_runs, thinned)}
+ORACLES |= {
+    "direction_latch": f"""WITH {_E}, s AS (SELECT user_id, event_id, t, value - lag(value) OVER (PARTITION BY user_id ORDER BY t) AS d FROM e)
+SELECT event_id, coalesce(last_value(CASE WHEN abs(d) >= 20 THEN sign(d) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::DOUBLE AS dir FROM s""",
+    "signed_runs": f"""WITH {_E}, s AS (SELECT user_id, t / 3600 AS h, value AS y, value >= 25 AS above, lag(t / 3600) OVER w AS h0, lag(value) OVER w AS y0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT *, coalesce((y0 >= 25) <> above, false) AS turn FROM s), n AS (SELECT *, sum(CASE WHEN turn THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY h) AS run FROM r),
+c AS (SELECT user_id, run, above, h0 + (h - h0) * (25 - y0) / (y - y0) AS x FROM n WHERE turn),
+p AS (SELECT user_id, run, above, h FROM n UNION ALL SELECT user_id, run, above, x FROM c UNION ALL SELECT user_id, run - 1, NOT above, x FROM c)
+SELECT user_id, CAST(run AS BIGINT) AS run, above, count(*) AS n, round(min(h), 5) AS a, round(max(h), 5) AS b FROM p GROUP BY 1, 2, 3""",
+    "thinned": f"""WITH {_E}, n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)
+SELECT event_id FROM n WHERE i % CAST(pow(2, greatest(0, ceil(log2(n / 20.0::DOUBLE)))) AS BIGINT) = 0""",
+}
