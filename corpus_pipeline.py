@@ -16,8 +16,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays: shingles of five words, fingerprints within six bits."""
-    return simhash.keep_one(docs, words=5, differing=6)
+    """Of each group of near copies (0.8 or more of their shingles of five words in common) one document stays."""
+    return simhash.keep_one(docs, words=5, differing=6, similar=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,14 +96,17 @@ def _near(left: np.ndarray, right: np.ndarray, differing: int, same: bool) -> It
         for at in range(0, n, 256):
             near = np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= limit
             for r in np.flatnonzero(near.sum(axis=1) > (1 if same else 0)).tolist():
-                x = at + r
-                others = np.flatnonzero(near[r])
-                others = others[to[others] != label[x]]
-                while len(others):  # as often as this row joins two components
-                    y, old, new = int(others[0]), to[others[0]], label[x]
-                    yield x, y
-                    label[label == max(old, new)] = min(old, new)
-                    others = others[to[others] != label[x]]
+                yield from _join(label, to, at + r, np.flatnonzero(near[r]))
+
+
+def _join(label: np.ndarray, to: np.ndarray, x: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Joins row x with those of the other rows that its component does not hold yet."""
+    others = others[to[others] != label[x]]
+    while len(others):  # as often as this row joins two components
+        y, old, new = int(others[0]), to[others[0]], label[x]
+        yield x, y
+        label[label == max(old, new)] = min(old, new)
+        others = others[to[others] != label[x]]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
@@ -162,61 +165,145 @@ def links(fps: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
     return dealt.mapInArrow(partial(_compare, differing=differing), LINK)
 
 
-SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("sketch", T.BinaryType())])
-#: Hashes in a sketch; texts of at most so many different shingles are compared exactly.
-SKETCH_SIZE = 256
+#: Of a document's shingles: MinHash values in a band, and bands.  Pairs that share 0.8 of their shingles meet in
+#: one of the bands but for 5 in 100,000; those that share 0.5, in 54 of 100.
+BAND, BANDS = 5, 25
+#: Shingles of a tile of documents that one task compares.
+TILE_SHINGLES = 2_000_000
+SHAPES = T.StructType([T.StructField("row", T.LongType()), T.StructField("who", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType())])
+_DRAWN = np.random.default_rng(5).integers(0, 1 << 63, size=(3, BAND * BANDS), dtype=np.uint64)
+_TIMES, _PLUS, _MIX = _DRAWN[0] * 2 + 1, _DRAWN[1], (_DRAWN[2] * 2 + 1).reshape(BANDS, BAND)
 
 
-def sketch(text: str | None, words: int) -> np.ndarray:
-    """The smallest hashes of a text's different shingles."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's different shingles, in order; none if it has no word or is null."""
     found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    shingles = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles], dtype=np.uint64))[:SKETCH_SIZE]
+    some = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in some], dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band of a set's MinHash values."""
+    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return (least.reshape(BANDS, BAND) * _MIX).sum(axis=1, dtype=np.uint64)
+
+
+def _key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 11)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard similarity of two sets of shingles by their sketches; texts without words are alike."""
-    both = np.union1d(a, b)[:SKETCH_SIZE]
-    return float((np.isin(both, a) & np.isin(both, b)).mean()) if len(both) else 1.0
+def _signed(values) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _shapes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in common.rows(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sketch(t, words).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=SKETCH.names)
+        texts = batch.column("text").to_pylist()
+        sets = [shingles(t, words) for t in texts]
+        cells = [_signed(bands(h)) if len(h) else np.zeros(0, np.int64) for h in sets]
+        columns = [pa.array(_signed([fingerprint(t, words) for t in texts])), pa.array(_signed([_key(h) for h in sets])), pa.array([len(h) for h in sets], pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("who"), *columns], names=SHAPES.names)
 
 
-def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in common.rows(batches, "text"):
+        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(_signed([_key(h) for h in sets])), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=SETS.names)
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray], least: float, same: bool) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs, one from each list of sets (or two from one), whose Jaccard similarity is `least` or more."""
+    n, size = len(left), np.array([len(h) for h in right])
+    label = np.arange(n if same else n + len(right))
+    to = label if same else label[n:]
+    flat, owner = np.concatenate(right), np.repeat(np.arange(len(right)), size)
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    for x, own in enumerate(left):
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        yield from _join(label, to, x, np.flatnonzero(both / (len(own) + size - both) >= least))
+
+
+def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (component, i, j, tile, key, shingles) come ordered by component, i and j; each run is one group's pair of tiles."""
+    run: tuple | None = None
+    held: list[tuple[int, int, bytes]] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        (left, one), (right, two) = ([[k for t, k, _ in held if t == tile], [np.frombuffer(h, "<u8") for t, _, h in held if t == tile]] for tile in run[1:])
+        got = [(left[x], right[y]) for x, y in _alike(one, two, least, run[1] == run[2])] if one and two else []
+        if got:
+            a, b = zip(*got)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     for batch in batches:
-        keep = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for component, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (component, i, j) != run:
+                if held:
+                    yield from links()
+                run, held = (component, i, j), []
+            held.append(tuple(row))
+    if held:
+        yield from links()
 
 
-def verified(found: DataFrame, heads: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those links (a, b) whose classes' first documents share at least `least` of their shingles.
+def similar_classes(docs: DataFrame, words: int, differing: int, agreeing: int, least: float) -> DataFrame:
+    """(row, who, fp, component_id, component) for docs (row, who, text): groups of documents linked by pairs that share `least` or more of their shingles (Jaccard).
 
-    docs: id, text.  Only linked documents are read, and links are as few as a
-    spanning forest has.
+    Documents with the same shingles are one class.  Candidates are classes
+    with fingerprints within `differing` bits and those that meet in a MinHash
+    band, as fingerprints alone miss most pairs near 0.8.  The closure of the
+    candidates cuts the corpus into groups; within a group all pairs of classes
+    are compared exactly, tile by tile, before a spanning forest is formed.
+    `who` finds a document's text again and may be anything that few share.
     """
-    of = heads.select("fp", F.col("head").alias("id"))
-    ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct().join(of, "fp")
-    texts = docs.join(ends.select("id").distinct(), "id", "left_semi").mapInArrow(partial(_sketches, words=words), SKETCH).dropDuplicates(["id"])
-    known = ends.join(texts, "id").select("fp", "sketch")
-    left, right = known.withColumnsRenamed({"fp": "a", "sketch": "x"}), known.withColumnsRenamed({"fp": "b", "sketch": "y"})
-    return found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(partial(_similar, least=least), LINK)
+    spark = docs.sparkSession
+    prints = common.cut(docs.mapInArrow(partial(_shapes, words=words), SHAPES), "prints")
+    heads = common.cut(prints.groupBy("key").agg(F.min("row").alias("head"), F.min("who").alias("who"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.collect_set("fp").alias("fps")), "heads")
+
+    filed = heads.select("key", F.posexplode("bands")).select("key", F.xxhash64("pos", "col").alias("file"))
+    full = filed.groupBy("file").agg(F.count("*").alias("n"), F.min("key").alias("b")).where("n > 1").drop("n")
+    met = filed.join(full, "file").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
+    of = heads.where("n > 0").select("key", F.explode("fps").alias("fp"))
+    first = common.cut(of.groupBy("fp").agg(F.min("key").alias("first")), "firsts")
+    equal = of.join(first, "fp").select(F.col("key").alias("a"), F.col("first").alias("b")).where("a <> b")
+    near = links(first.select("fp"), differing, agreeing).distinct()
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = common.cut(components(met.union(equal).union(near)).withColumnRenamed("node", "key"), "groups")
+
+    ends = heads.join(groups, "key").select("key", "who", "n", "component")
+    read = docs.join(ends.select("who").distinct(), "who", "left_semi").select("text").mapInArrow(partial(_sets, words=words), SETS)
+    sets = read.join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    count = ends.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    dealt = (
+        ends.join(count, "component")
+        .withColumn("tile", F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .join(sets, "key")
+        .select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "key", "shingles")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
+        .sortWithinPartitions("component", "i", "j")
+    )
+    joined = components(dealt.mapInArrow(partial(_verify, least=least), LINK))
+    named = heads.join(joined, heads.key == joined.node, "left").select("key", "head", F.coalesce("component", "key").alias("component"))
+    lead = named.groupBy("component").agg(F.min("head").alias("component_id"))
+    return prints.join(named.join(lead, "component").select("key", "component", "component_id"), "key").select("row", "who", "fp", "component_id", "component")
 
 
-def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3, check=None) -> DataFrame:
+def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
     """(row, fp, component_id) for rows (row, fp): the smallest row reachable over links of at most `differing` bits.
 
     Equal fingerprints are linked, zero like any other.  A null row id joins
-    its group and never names it, unless no other does.  `check` takes links
-    and heads (fp, head) and returns the links that stand.
+    its group and never names it, unless no other does.
     """
     heads = common.cut(prints.groupBy("fp").agg(F.min("row").alias("head")), "heads")
-    found = links(heads.select("fp"), differing, agreeing)
-    if check is not None:
-        found = check(common.cut(found.distinct(), "candidates"), heads)
-    joined = components(found)
+    joined = components(links(heads.select("fp"), differing, agreeing))
     named = heads.join(joined, heads.fp == joined.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("head").alias("component_id"))
     of = named.join(least, "component").select("fp", "component_id")
@@ -226,19 +313,17 @@ def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3, check=None
 def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    With `similar`, links of fingerprints count only if the documents share
-    that much of their shingles (Jaccard), so that `differing` can be wide
-    without linking strangers.  Null and empty texts and texts of white space
+    With `similar`, documents are linked if and only if they share that much of
+    their shingles (Jaccard), whatever their fingerprints.  Null and empty texts and texts of white space
     have fingerprint zero and so are one group.  Rows that repeat come back as
     often as they are there; an empty table gives no rows; other columns are
     not read.
     """
-    prints = common.cut(fingerprints(docs, words, id_col, text_col), "prints")
-    check = None
-    if similar is not None:
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        check = partial(verified, docs=rows, words=words, least=similar)
-    found = classes(prints, differing, agreeing, check)
+    if similar is None:
+        found = classes(common.cut(fingerprints(docs, words, id_col, text_col), "prints"), differing, agreeing)
+    else:
+        row = F.col(id_col).cast("long")
+        found = similar_classes(docs.select(row.alias("row"), F.coalesce(row, F.xxhash64(text_col)).alias("who"), F.col(text_col).alias("text")), words, differing, agreeing, similar)
     return found.select(F.col("row").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -71,3 +71,22 @@ def test_sequences_are_full(tables):
     sums = packed.groupby("sequence_id").length.sum()
     assert sums.max() <= 4096 and len(sums) == -(-int(packed.length.sum()) // 4096)
     assert packed[packed.piece == 0].groupby("doc_id").size().sum() == tables[3].count()
+
+
+def _words(n, start=0):
+    return [f"w{start + i}" for i in range(n)]
+
+
+def test_near_copies_far_apart_in_bits_are_joined(spark):
+    """Pairs that share 0.8 or more of their shingles, with fingerprints more than six bits apart."""
+    rows, want = [], []
+    for k in range(40):
+        words = _words(300, 1000 * k)
+        copy = [f"x{k}_{i}" if i % 50 == 25 else w for i, w in enumerate(words)]  # 6 words changed: 30 of 296 shingles
+        a, b = " ".join(words), " ".join(copy)
+        if bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") > 6:
+            rows += [(2 * k, a), (2 * k + 1, b)]
+            want.append(2 * k)
+    assert want
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == want
