@@ -90,3 +90,18 @@ def test_near_copies_far_apart_in_bits_are_joined(spark):
     assert want
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_unlike_documents_close_in_bits_stay(spark):
+    """A line that prevails makes fingerprints equal, however much the rest of the texts differs."""
+    line = " ".join(_words(9)) + " "
+    rows = [(k, line * 60 + " ".join(_words(20, 1000 * (k + 1)))) for k in range(3)]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert all(bin(a ^ b).count("1") <= 6 for a in prints for b in prints)
+    for tile in (4096, 2):  # also with groups cut into tiles
+        old, simhash.TILE = simhash.TILE, tile
+        try:
+            kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([*rows, (9, rows[1][1].upper())], "doc_id long, text string"), SF)
+            assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+        finally:
+            simhash.TILE = old
