@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from sensorloom.llm import common
 from sensorloom.llm.components import components
 
-PRINT = T.StructType([T.StructField("row", T.LongType()), T.StructField("fp", T.LongType())])
+PRINT = T.StructType([T.StructField("row", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("fp", T.LongType())])
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -67,12 +67,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in common.rows(batches, "text"):
         fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps)], names=["row", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("mark"), pa.array(fps)], names=PRINT.names)
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, fp): each row's id and its fingerprint as a signed 64-bit integer."""
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    """(row, mark, fp): each row's id, a hash of its text and its fingerprint as a signed 64-bit integer."""
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     return rows.mapInArrow(partial(_fingerprints, words=words), PRINT)
 
 
@@ -170,7 +170,7 @@ def links(fps: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
 BAND, BANDS = 5, 25
 #: Shingles of a tile of documents that one task compares.
 TILE_SHINGLES = 2_000_000
-SHAPES = T.StructType([T.StructField("row", T.LongType()), T.StructField("who", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SHAPES = T.StructType([T.StructField("row", T.LongType()), T.StructField("who", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType())])
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 63, size=(3, BAND * BANDS), dtype=np.uint64)
 _TIMES, _PLUS, _MIX = _DRAWN[0] * 2 + 1, _DRAWN[1], (_DRAWN[2] * 2 + 1).reshape(BANDS, BAND)
@@ -205,7 +205,7 @@ def _shapes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
         sets = [shingles(t, words) for t in texts]
         cells = [_signed(bands(h)) if len(h) else np.zeros(0, np.int64) for h in sets]
         columns = [pa.array(_signed([fingerprint(t, words) for t in texts])), pa.array(_signed([_key(h) for h in sets])), pa.array([len(h) for h in sets], pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("who"), *columns], names=SHAPES.names)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("who"), batch.column("mark"), *columns], names=SHAPES.names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 
 
 def similar_classes(docs: DataFrame, words: int, differing: int, agreeing: int, least: float) -> DataFrame:
-    """(row, who, fp, component_id, component) for docs (row, who, text): groups of documents linked by pairs that share `least` or more of their shingles (Jaccard).
+    """(row, mark, fp, component_id, component) for docs (row, who, mark, text): groups of documents linked by pairs that share `least` or more of their shingles (Jaccard).
 
     Documents with the same shingles are one class.  Candidates are classes
     with fingerprints within `differing` bits and those that meet in a MinHash
@@ -293,11 +293,11 @@ def similar_classes(docs: DataFrame, words: int, differing: int, agreeing: int,
     joined = components(dealt.mapInArrow(partial(_verify, least=least), LINK))
     named = heads.join(joined, heads.key == joined.node, "left").select("key", "head", F.coalesce("component", "key").alias("component"))
     lead = named.groupBy("component").agg(F.min("head").alias("component_id"))
-    return prints.join(named.join(lead, "component").select("key", "component", "component_id"), "key").select("row", "who", "fp", "component_id", "component")
+    return prints.join(named.join(lead, "component").select("key", "component", "component_id"), "key").select("row", "mark", "fp", "component_id", "component")
 
 
 def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
-    """(row, fp, component_id) for rows (row, fp): the smallest row reachable over links of at most `differing` bits.
+    """Rows (row, fp) with component_id, the smallest row reachable over links of at most `differing` bits, and component, the least fingerprint so reachable.
 
     Equal fingerprints are linked, zero like any other.  A null row id joins
     its group and never names it, unless no other does.
@@ -306,8 +306,16 @@ def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFra
     joined = components(links(heads.select("fp"), differing, agreeing))
     named = heads.join(joined, heads.fp == joined.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("head").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("row", "fp", "component_id")
+    of = named.join(least, "component").select("fp", "component_id", "component")
+    return prints.join(of, "fp").select(*prints.columns, "component_id", "component")
+
+
+def _grouped(docs: DataFrame, words: int, differing: int, agreeing: int, similar: float | None, id_col: str, text_col: str) -> DataFrame:
+    """(row, mark, fp, component_id, component) of near_duplicates(); component tells groups without an id apart."""
+    if similar is None:
+        return classes(common.cut(fingerprints(docs, words, id_col, text_col), "prints"), differing, agreeing)
+    row, mark = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    return similar_classes(docs.select(row.alias("row"), F.coalesce(row, mark).alias("who"), mark.alias("mark"), F.col(text_col).alias("text")), words, differing, agreeing, similar)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,24 +327,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreein
     often as they are there; an empty table gives no rows; other columns are
     not read.
     """
-    if similar is None:
-        found = classes(common.cut(fingerprints(docs, words, id_col, text_col), "prints"), differing, agreeing)
-    else:
-        row = F.col(id_col).cast("long")
-        found = similar_classes(docs.select(row.alias("row"), F.coalesce(row, F.xxhash64(text_col)).alias("who"), F.col(text_col).alias("text")), words, differing, agreeing, similar)
+    found = _grouped(docs, words, differing, agreeing, similar, id_col, text_col)
     return found.select(F.col("row").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, whole and unchanged.
 
-    Rows that repeat an id are one document here: one of them stays.  A
-    document without an id stays only if its group has no other.
+    Rows that repeat an id and its text are one document: one of them stays.
+    A document without an id stays only if its group has no other.
     """
-    found = near_duplicates(docs, words, differing, agreeing, similar, id_col, text_col)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept")
-    stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates([id_col])
+    found = _grouped(docs, words, differing, agreeing, similar, id_col, text_col)
+    pick = F.min(F.struct(F.col("row").isNull().alias("_none"), "row", "mark")).alias("_kept")
+    kept = found.groupBy("component").agg(pick).select("_kept.row", "_kept.mark").select(F.col("row").alias("_row"), F.col("mark").alias("_mark"))
+    stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_row")) & (F.xxhash64(text_col) == F.col("_mark")), "left_semi")
+    return stay.dropDuplicates([id_col, text_col])
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

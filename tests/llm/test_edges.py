@@ -126,3 +126,11 @@ def test_html(spark):
     assert text[2] == text[3] == "" and text[None] == "plain <text>" and text[4] == "Other words stand here."
     assert all(r.n_chars == len(r.text) for r in got)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_simhash_keeps_one_of_each_group_whatever_the_id(spark):
+    rows = [(None, "one text with no id at all"), (None, "some other words without any id"), (8, "a first text under eight"), (8, "quite a different second one here"), (8, "a first text under eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for similar in (None, 0.8):
+        kept = simhash.keep_one(docs, similar=similar).collect()
+        assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
