@@ -61,9 +61,42 @@ def rows(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def salted(column, buckets: int):
-    """A salt from a row's own columns, the same whenever a task runs again."""
-    return F.pmod(F.xxhash64(column), F.lit(buckets))
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of the batches that Spark hands to Python, unless the session sets a bound: 10,000 long rows would be many times that."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_hash(df: DataFrame):
+    """A hash of all of a row's columns but maps, which Spark can't hash."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+#: Keys with more than one in so many of all rows are joined by broadcast; there are at most as many of them.
+HOT = 4096
+
+
+def join_counted(rows: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a table that has one row per key and, in n, the number of this key's rows in `rows`.
+
+    Keys with over 1/HOT of all rows are at most HOT, so they go by broadcast;
+    all others share out evenly by the usual shuffle, however hot the former are.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / HOT
+    often = F.broadcast(one.where(hot))
+    seldom = rows.join(F.broadcast(one.where(hot).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(seldom.join(one.where(~hot), key))

@@ -7,18 +7,21 @@ compared.  b is d + 3, whatever the corpus: three blocks must agree (27 bits
 for d = 4), so a file is short up to billions of fingerprints, and the number of
 files that one is in, 35 for d = 4, stays the same.
 
-Equal fingerprints are one class from the start.  A file with many different
-fingerprints (a large group of near copies) is cut into tiles by hash; pairs
-of tiles are compared by separate tasks, and each hands on only the links of a
-spanning forest, so neither memory nor rows grow with the square of a group.
+Equal fingerprints are one class from the start.  A file of ordinary length is
+compared in one task.  A longer one (a large group of near copies) is not: of
+its fingerprints every number within half of d bits is listed, and those with
+one such number in common are linked.  Two fingerprints have one in common if
+and only if they differ in d bits at most, so this finds the same links, with
+rows in proportion to the fingerprints and no pair to verify.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,11 @@ from sensorloom.llm.components import components
 
 PRINT = T.StructType([T.StructField("row", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("fp", T.LongType())])
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Rows of a file that one task compares with each other or with another tile.
-TILE = 4096
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+MIDDLE = T.StructType([T.StructField("middle", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Fingerprints of a file that one task compares; where a ball holds more numbers than that, as many as it holds.
+LONGEST = 4096
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -48,7 +52,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     if not text:
         return 0
     # words are joined by single spaces, so each shingle is a slice
-    found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    found = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
     if not found:
         return 0
     line = b" ".join(found)
@@ -70,10 +74,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("mark"), pa.array(fps)], names=PRINT.names)
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, mark, fp): each row's id, a hash of its text and its fingerprint as a signed 64-bit integer."""
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, words=words), PRINT)
+def fingerprints(rows: DataFrame, words: int = 4) -> DataFrame:
+    """(row, mark, fp) of rows (row, mark, text); fp is the fingerprint as a signed 64-bit integer."""
+    return rows.select("row", "mark", "text").mapInArrow(partial(_fingerprints, words=words), PRINT)
 
 
 def _masks(blocks: int, differing: int) -> list[int]:
@@ -83,249 +86,196 @@ def _masks(blocks: int, differing: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _near(left: np.ndarray, right: np.ndarray, differing: int, same: bool) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between two sets of fingerprints (or within one), the closest ones first.
-
-    Labels of components are kept in an array, so a row that is near thousands
-    of others costs a few array operations, not a step for each of them.
-    """
-    n = len(left)
-    label = np.arange(n if same else n + len(right))
-    to = label if same else label[n:]
-    for limit in sorted({differing // 2, differing}):
-        for at in range(0, n, 256):
-            near = np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= limit
-            for r in np.flatnonzero(near.sum(axis=1) > (1 if same else 0)).tolist():
-                yield from _join(label, to, at + r, np.flatnonzero(near[r]))
-
-
-def _join(label: np.ndarray, to: np.ndarray, x: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Joins row x with those of the other rows that its component does not hold yet."""
-    others = others[to[others] != label[x]]
+def joined(label: np.ndarray, x: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links row x with those of the other rows that its component does not hold yet; labels of components are kept in an array."""
+    others = others[label[others] != label[x]]
     while len(others):  # as often as this row joins two components
-        y, old, new = int(others[0]), to[others[0]], label[x]
+        y = int(others[0])
+        old, new = label[y], label[x]
         yield x, y
         label[label == max(old, new)] = min(old, new)
-        others = others[to[others] != label[x]]
+        others = others[label[others] != label[x]]
+
+
+def forest(n: int, near: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between n rows; near(x) gives the rows that are linked with x.
+
+    Rows of the largest component needn't look around themselves: every link
+    from it to another component is seen from that one's rows.  So a group of
+    copies costs a few looks, not one for each row.
+    """
+    label, looked = np.arange(n), np.zeros(n, dtype=bool)
+    while True:
+        rest = np.flatnonzero((label != np.bincount(label, minlength=n).argmax()) & ~looked)
+        if not len(rest):
+            return
+        x = int(rest[0])
+        looked[x] = True
+        yield from joined(label, x, near(x))
+
+
+def _within(fp: np.ndarray, differing: int) -> Iterator[tuple[int, int]]:
+    if len(fp) == 2:
+        if (int(fp[0]) ^ int(fp[1])).bit_count() <= differing:
+            yield 0, 1
+        return
+    yield from forest(len(fp), lambda x: np.flatnonzero(np.bitwise_count(fp ^ fp[x]) <= differing))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], differing: int) -> Iterator[pa.RecordBatch]:
-    """Rows (file, i, j, tile, fp) come ordered by file, i and j; each run is one file's pair of tiles."""
-    run: tuple | None = None
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        tile, fp = (np.concatenate(x) for x in zip(*held))
-        left, right = fp[tile == run[1]], fp[tile == run[2]]
-        if run[1] == run[2]:
-            right = left
-        got = [(left[x], right[y]) for x, y in _near(left.view(np.uint64), right.view(np.uint64), differing, run[1] == run[2])]
-        if got:
-            a, b = zip(*got)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
+    """Rows (file, fp) come ordered by file; each run is one file."""
+    now: int | None = None
+    held: list[np.ndarray] = []
+    a: list[int] = []
+    b: list[int] = []
+
+    def close() -> None:
+        fp = np.concatenate(held)
+        for x, y in _within(fp.view(np.uint64), differing):
+            a.append(int(fp[x]))
+            b.append(int(fp[y]))
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a.clear()
+        b.clear()
+        return batch
 
     for batch in batches:
-        file, i, j, tile, fp = (batch.column(k).to_numpy() for k in range(5))
-        change = np.flatnonzero((np.diff(file) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        file, fp = batch.column("file").to_numpy(), batch.column("fp").to_numpy()
+        change = np.flatnonzero(np.diff(file)) + 1
         for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(file)]):
-            if lo == hi:
-                continue
-            key = (int(file[lo]), int(i[lo]), int(j[lo]))
-            if key != run:
-                if held:
-                    yield from links()
-                run, held = key, []
-            held.append((tile[lo:hi], fp[lo:hi]))
+            if hi > lo:
+                if held and file[lo] != now:
+                    close()
+                    held = []
+                now = file[lo]
+                held.append(fp[lo:hi])
+        if a:
+            yield out()
     if held:
-        yield from links()
+        close()
+    if a:
+        yield out()
+
+
+def ball(radius: int) -> np.ndarray:
+    """All numbers of 64 bits with at most `radius` bits set."""
+    return np.array([sum(1 << k for k in some) for r in range(radius + 1) for some in combinations(range(64), r)], dtype=np.uint64)
+
+
+def _linked(run: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """Links of neighbouring rows of equal runs, each once."""
+    same = run[1:] == run[:-1]
+    pair = np.unique(np.stack([fp[:-1][same], fp[1:][same]]), axis=1)
+    pair = pair[:, pair[0] != pair[1]]
+    return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+
+def _middles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Every number within `radius` bits of a fingerprint with that fingerprint; of those in one batch, neighbours are
+    linked at once, in rows (a, b) without a middle, and one goes on."""
+    flips = ball(radius)
+    step = max(1, (1 << 20) // len(flips))
+    for batch in batches:
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        for at in range(0, len(fps), step):
+            own = fps[at : at + step]
+            middle = (own[:, None] ^ flips[None, :]).ravel().view(np.int64)
+            fp = np.repeat(own, len(flips)).view(np.int64)
+            order = np.argsort(middle, kind="stable")
+            middle, fp = middle[order], fp[order]
+            some = _linked(middle, fp)
+            first = np.concatenate([[True], middle[1:] != middle[:-1]])
+            n, m = some.num_rows, int(first.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(n, np.int64), middle[first]]), mask=np.arange(n + m) < n), pa.array(np.concatenate([some.column("a").to_numpy(), fp[first]])), pa.array(np.concatenate([some.column("b").to_numpy(), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n)], names=MIDDLE.names)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (middle, a) come ordered by middle: neighbours with one middle are linked."""
+    last = None
+    for batch in batches:
+        middle, fp = batch.column("middle").to_numpy(), batch.column("a").to_numpy()
+        if not len(fp):
+            continue
+        if last is not None:
+            middle, fp = np.concatenate([[last[0]], middle]), np.concatenate([[last[1]], fp])
+        last = middle[-1], fp[-1]
+        yield _linked(middle, fp)
 
 
 def links(fps: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
-    """(a, b): links between different fingerprints whose transitive closure is that of all pairs within `differing` bits.
+    """(a, b): links between different fingerprints whose transitive closure is that of all pairs within `differing` bits, an even number.
 
     fps has one column fp of distinct fingerprints; `agreeing` is the number
     of blocks that must agree, out of that many more than `differing`; every
     number finds the same links.
     """
+    if differing % 2:
+        raise ValueError("differing must be even")
     spark = fps.sparkSession
     masks = _masks(differing + agreeing, differing)
     which = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
     filed = fps.select("fp", which).select("fp", F.xxhash64("pos", "col").alias("file"))
     full = filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = (
-        filed.join(full, "file")
-        .withColumn("tiles", tiles)
-        .withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("file", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp")
-    )
+    radius = differing // 2
+    longest = max(LONGEST, sum(comb(64, r) for r in range(radius + 1)) if differing > 4 else 0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "file", "i", "j").sortWithinPartitions("file", "i", "j")
-    return dealt.mapInArrow(partial(_compare, differing=differing), LINK)
-
-
-#: Of a document's shingles: MinHash values in a band, and bands.  Pairs that share 0.8 of their shingles meet in
-#: one of the bands but for 5 in 100,000; those that share 0.5, in 54 of 100.
-BAND, BANDS = 5, 25
-#: Shingles of a tile of documents that one task compares.
-TILE_SHINGLES = 2_000_000
-SHAPES = T.StructType([T.StructField("row", T.LongType()), T.StructField("who", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType())])
-_DRAWN = np.random.default_rng(5).integers(0, 1 << 63, size=(3, BAND * BANDS), dtype=np.uint64)
-_TIMES, _PLUS, _MIX = _DRAWN[0] * 2 + 1, _DRAWN[1], (_DRAWN[2] * 2 + 1).reshape(BANDS, BAND)
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The hashes of a text's different shingles, in order; none if it has no word or is null."""
-    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    some = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in some], dtype=np.uint64))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band of a set's MinHash values."""
-    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    return (least.reshape(BANDS, BAND) * _MIX).sum(axis=1, dtype=np.uint64)
-
-
-def _key(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 11)
-
-
-def _signed(values) -> np.ndarray:
-    return np.array(values, dtype=np.uint64).view(np.int64)
-
-
-def _shapes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in common.rows(batches, "text"):
-        texts = batch.column("text").to_pylist()
-        sets = [shingles(t, words) for t in texts]
-        cells = [_signed(bands(h)) if len(h) else np.zeros(0, np.int64) for h in sets]
-        columns = [pa.array(_signed([fingerprint(t, words) for t in texts])), pa.array(_signed([_key(h) for h in sets])), pa.array([len(h) for h in sets], pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("who"), batch.column("mark"), *columns], names=SHAPES.names)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in common.rows(batches, "text"):
-        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(_signed([_key(h) for h in sets])), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=SETS.names)
-
-
-def _alike(left: list[np.ndarray], right: list[np.ndarray], least: float, same: bool) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs, one from each list of sets (or two from one), whose Jaccard similarity is `least` or more."""
-    n, size = len(left), np.array([len(h) for h in right])
-    label = np.arange(n if same else n + len(right))
-    to = label if same else label[n:]
-    flat, owner = np.concatenate(right), np.repeat(np.arange(len(right)), size)
-    order = np.argsort(flat)
-    flat, owner = flat[order], owner[order]
-    for x, own in enumerate(left):
-        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-        many = hi - lo
-        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        both = np.bincount(owner[at], minlength=len(right))
-        yield from _join(label, to, x, np.flatnonzero(both / (len(own) + size - both) >= least))
-
-
-def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (component, i, j, tile, key, shingles) come ordered by component, i and j; each run is one group's pair of tiles."""
-    run: tuple | None = None
-    held: list[tuple[int, int, bytes]] = []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        (left, one), (right, two) = ([[k for t, k, _ in held if t == tile], [np.frombuffer(h, "<u8") for t, _, h in held if t == tile]] for tile in run[1:])
-        got = [(left[x], right[y]) for x, y in _alike(one, two, least, run[1] == run[2])] if one and two else []
-        if got:
-            a, b = zip(*got)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        for component, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (component, i, j) != run:
-                if held:
-                    yield from links()
-                run, held = (component, i, j), []
-            held.append(tuple(row))
-    if held:
-        yield from links()
-
-
-def similar_classes(docs: DataFrame, words: int, differing: int, agreeing: int, least: float) -> DataFrame:
-    """(row, mark, fp, component_id, component) for docs (row, who, mark, text): groups of documents linked by pairs that share `least` or more of their shingles (Jaccard).
-
-    Documents with the same shingles are one class.  Candidates are classes
-    with fingerprints within `differing` bits and those that meet in a MinHash
-    band, as fingerprints alone miss most pairs near 0.8.  The closure of the
-    candidates cuts the corpus into groups; within a group all pairs of classes
-    are compared exactly, tile by tile, before a spanning forest is formed.
-    `who` finds a document's text again and may be anything that few share.
+    short = filed.join(full.where(F.col("n") <= longest).select("file"), "file").select("file", "fp")
+    found = short.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(partial(_compare, differing=differing), LINK)
+    large = full.where(F.col("n") > longest).select("file")
+    if large.isEmpty():
+        return found
+    some = common.cut(filed.join(large, "file").select("fp").distinct(), "long-files")
+    around = common.cut(some.mapInArrow(partial(_middles, radius=radius), MIDDLE), "middles")
+    met = around.where("middle is not null").select("middle", "a").repartition(parts, "middle").sortWithinPartitions("middle").mapInArrow(_meet, LINK)
+    return found.union(around.where("middle is null").select("a", "b").distinct()).union(met.distinct())
+
+
+def named(heads: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, n, component_id, component) for heads (key, head, n) and links (a, b) of keys.
+
+    Nodes are heads with their keys, those without a head last, so that the
+    least node of a component names it.
     """
-    spark = docs.sparkSession
-    prints = common.cut(docs.mapInArrow(partial(_shapes, words=words), SHAPES), "prints")
-    heads = common.cut(prints.groupBy("key").agg(F.min("row").alias("head"), F.min("who").alias("who"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.collect_set("fp").alias("fps")), "heads")
-
-    filed = heads.select("key", F.posexplode("bands")).select("key", F.xxhash64("pos", "col").alias("file"))
-    full = filed.groupBy("file").agg(F.count("*").alias("n"), F.min("key").alias("b")).where("n > 1").drop("n")
-    met = filed.join(full, "file").select(F.col("key").alias("a"), "b").where("a <> b").distinct()
-    of = heads.where("n > 0").select("key", F.explode("fps").alias("fp"))
-    first = common.cut(of.groupBy("fp").agg(F.min("key").alias("first")), "firsts")
-    equal = of.join(first, "fp").select(F.col("key").alias("a"), F.col("first").alias("b")).where("a <> b")
-    near = links(first.select("fp"), differing, agreeing).distinct()
-    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = common.cut(components(met.union(equal).union(near)).withColumnRenamed("node", "key"), "groups")
-
-    ends = heads.join(groups, "key").select("key", "who", "n", "component")
-    read = docs.join(ends.select("who").distinct(), "who", "left_semi").select("text").mapInArrow(partial(_sets, words=words), SETS)
-    sets = read.join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    count = ends.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    dealt = (
-        ends.join(count, "component")
-        .withColumn("tile", F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .join(sets, "key")
-        .select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "key", "shingles")
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
-        .sortWithinPartitions("component", "i", "j")
-    )
-    joined = components(dealt.mapInArrow(partial(_verify, least=least), LINK))
-    named = heads.join(joined, heads.key == joined.node, "left").select("key", "head", F.coalesce("component", "key").alias("component"))
-    lead = named.groupBy("component").agg(F.min("head").alias("component_id"))
-    return prints.join(named.join(lead, "component").select("key", "component", "component_id"), "key").select("row", "mark", "fp", "component_id", "component")
+    node = F.struct(F.col("head").isNull().alias("none"), "head", F.col(key).alias("key"))
+    nodes = heads.select(F.col(key).alias("key"), node.alias("node"))
+    ends = pairs.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("y")), "b")
+    found = components(ends, "x", "y").select(F.col("node.key").alias(key), F.col("component").alias("at"))
+    at = F.coalesce("at", node)
+    return heads.join(found, key, "left").select(key, "n", at["head"].alias("component_id"), at["key"].alias("component"))
 
 
 def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
-    """Rows (row, fp) with component_id, the smallest row reachable over links of at most `differing` bits, and component, the least fingerprint so reachable.
+    """Rows (row, fp) with component_id, the smallest row reachable over links of at most `differing` bits, and component, a number of the group.
 
     Equal fingerprints are linked, zero like any other.  A null row id joins
     its group and never names it, unless no other does.
     """
-    heads = common.cut(prints.groupBy("fp").agg(F.min("row").alias("head")), "heads")
-    joined = components(links(heads.select("fp"), differing, agreeing))
-    named = heads.join(joined, heads.fp == joined.node, "left").select("fp", "head", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("head").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id", "component")
-    return prints.join(of, "fp").select(*prints.columns, "component_id", "component")
+    heads = common.cut(prints.groupBy("fp").agg(F.min("row").alias("head"), F.count("*").alias("n")), "heads")
+    found = common.cut(named(heads, links(heads.select("fp"), differing, agreeing), "fp"), "named")
+    return common.join_counted(prints, found, "fp", "n").select(*prints.columns, "component_id", "component")
 
 
 def _grouped(docs: DataFrame, words: int, differing: int, agreeing: int, similar: float | None, id_col: str, text_col: str) -> DataFrame:
     """(row, mark, fp, component_id, component) of near_duplicates(); component tells groups without an id apart."""
+    row, mark = F.col(id_col).cast("long"), common.row_hash(docs)
+    rows = docs.select(row.alias("row"), mark.alias("mark"), F.col(text_col).alias("text"))
     if similar is None:
-        return classes(common.cut(fingerprints(docs, words, id_col, text_col), "prints"), differing, agreeing)
-    row, mark = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    return similar_classes(docs.select(row.alias("row"), F.coalesce(row, mark).alias("who"), mark.alias("mark"), F.col(text_col).alias("text")), words, differing, agreeing, similar)
+        return classes(common.cut(fingerprints(rows, words), "prints"), differing, agreeing)
+    from sensorloom.llm import similar as exact
+
+    return exact.classes(rows.withColumn("who", F.coalesce("row", "mark")), words, differing, agreeing, similar)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     With `similar`, documents are linked if and only if they share that much of
-    their shingles (Jaccard), whatever their fingerprints.  Null and empty texts and texts of white space
-    have fingerprint zero and so are one group.  Rows that repeat come back as
-    often as they are there; an empty table gives no rows; other columns are
-    not read.
+    their shingles (Jaccard), whatever their fingerprints.  Null and empty
+    texts and texts of white space have fingerprint zero and so are one group.
+    Rows that repeat come back as often as they are there; an empty table gives
+    no rows; other columns are not returned.
     """
     found = _grouped(docs, words, differing, agreeing, similar, id_col, text_col)
     return found.select(F.col("row").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -334,14 +284,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreein
 def keep_one(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, whole and unchanged.
 
-    Rows that repeat an id and its text are one document: one of them stays.
-    A document without an id stays only if its group has no other.
+    Of rows with one id in a group the one with the smallest hash of all its
+    columns stays, once.  A document without an id stays only if its group has
+    no other with one.
     """
     found = _grouped(docs, words, differing, agreeing, similar, id_col, text_col)
-    pick = F.min(F.struct(F.col("row").isNull().alias("_none"), "row", "mark")).alias("_kept")
-    kept = found.groupBy("component").agg(pick).select("_kept.row", "_kept.mark").select(F.col("row").alias("_row"), F.col("mark").alias("_mark"))
-    stay = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_row")) & (F.xxhash64(text_col) == F.col("_mark")), "left_semi")
-    return stay.dropDuplicates([id_col, text_col])
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("row").isNull().alias("none"), F.coalesce("row", F.lit(0)).alias("row"), "mark")).alias("pick")).select("pick.none", "pick.row", "pick.mark")
+    none, row, mark = (common.fresh(docs, x) for x in ("none", "row", "mark"))
+    # three keys that are never null, so that the join and the removal of repeats share one shuffle
+    rows = docs.withColumns({none: F.col(id_col).cast("long").isNull(), row: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), mark: common.row_hash(docs)})
+    return rows.join(kept.toDF(none, row, mark), [none, row, mark], "left_semi").dropDuplicates([none, row, mark]).select(*docs.columns)
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
