@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sensorloom.llm import mixing, quality, simhash
+from sensorloom.llm import mixing, quality, similar, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +37,8 @@ def test_one_of_each_group_stays(tables):
     after = {r.doc_id: r.text for r in tables[2].collect()}
     assert after.items() <= before.items() and tables[2].columns == tables[1].columns
     ids = sorted(before)
-    prints = {i: simhash.fingerprint(before[i], 5) for i in ids}
+    words = {i: before[i].lower().split() for i in ids}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
     group = {i: i for i in ids}
 
     def find(x):
@@ -47,7 +48,7 @@ def test_one_of_each_group_stays(tables):
 
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if bin(prints[a] ^ prints[b]).count("1") <= 6:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 a_, b_ = find(a), find(b)
                 group[max(a_, b_)] = min(a_, b_)
     assert {find(i) for i in ids} == set(after)
@@ -98,10 +99,10 @@ def test_unlike_documents_close_in_bits_stay(spark):
     rows = [(k, line * 60 + " ".join(_words(20, 1000 * (k + 1)))) for k in range(3)]
     prints = [simhash.fingerprint(t, 5) for _, t in rows]
     assert all(bin(a ^ b).count("1") <= 6 for a in prints for b in prints)
-    for tile in (4096, 2):  # also with groups cut into tiles
-        old, simhash.TILE = simhash.TILE, tile
+    for most in (4096, 2):  # also where the group doesn't fit in a task
+        old, similar.CLASSES = similar.CLASSES, most
         try:
             kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([*rows, (9, rows[1][1].upper())], "doc_id long, text string"), SF)
             assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
         finally:
-            simhash.TILE = old
+            similar.CLASSES = old
