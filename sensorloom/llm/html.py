@@ -10,7 +10,7 @@ its host's winning path, or from its own best container where it has none.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from html import unescape
 
@@ -24,9 +24,12 @@ from sensorloom.llm import common
 #: A table of winning paths of at most this many hosts is broadcast; beyond it, it is joined by host.
 BROADCAST_HOSTS = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>\"'<]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "object", "select", "button", "canvas")}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a start tag up to its end.  A quote opens a value only right after an equals sign, and nothing is tried twice.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S*+)))?+")
+_LONG_REFERENCE = re.compile(r"&#(?:0*+(\d+)|[xX]0*+([0-9a-fA-F]+));?")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "object", "select", "button", "canvas")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CONTAINERS = set("article body div main section td".split())
@@ -47,191 +50,264 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "path", "boiler", "up", "links")
+    """An open or closed element: its path's number, whether it is boilerplate or in a link, the block that it is in,
+    and where on the stack the nearest open elements are that a start tag may close."""
 
-    def __init__(self, tag: str, path: str, boiler: bool, up: _Node | None):
-        self.tag, self.path, self.boiler, self.up = tag, path, boiler, up
+    __slots__ = ("at", "tag", "path", "boiler", "linked", "links", "block", "near", "inline")
+
+    def __init__(self, at: int, tag: str, path: int, boiler: bool, linked: bool, near: tuple[int, ...]):
+        self.at, self.tag, self.path, self.boiler, self.linked, self.near = at, tag, path, boiler, linked, near
         self.links = 0
+        self.block = self
+        self.inline: dict[str, int] | None = None  # of a block: its open inline elements
 
 
 def _words(value: str) -> list[str]:
     return [w.lower() for w in _SPLIT.split(value) if w]
 
 
-def _element(tag: str, attributes: str, up: _Node) -> _Node:
-    """What stands in a boilerplate element is boilerplate, too."""
+def _label(tag: str, attributes: str) -> tuple[str, bool]:
+    """An element's generalised name (numbers and hashes taken out of its classes), and whether it is boilerplate by itself."""
     boiler = tag in _BOILER_TAGS
-    label = tag
-    if attributes and not attributes.isspace():
-        got: dict[str, str] = {}
-        for m in _ATTRIBUTE.finditer(attributes):
-            got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-        names = got.get("class", "").split()
-        label += "".join(f".{c}" for c in sorted({_NUMBER.sub("", x.lower()) for x in names}) if c)
-        if tag not in ("main", "article"):
-            for x in (*names, got.get("id", "")):
-                words = _words(x)
-                boiler = boiler or bool(_BOILER_WORDS.intersection(words)) and not _KEEP_WORDS.intersection(words)
-            boiler = boiler or got.get("role", "").lower() in _BOILER_ROLES
-        elif tag == "article":  # readers' comments are often articles inside articles
-            boiler = boiler or any({"comment", "comments", "reply"}.intersection(_words(x)) for x in (*names, got.get("id", "")))
-        boiler = boiler or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(got.get("style", "")))
-    return _Node(tag, f"{up.path}>{label}" if up.path else label, boiler or up.boiler, up)
-
-
-#: A start tag closes these open elements, up to the nearest of the others.
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+    if not attributes or attributes.isspace():
+        return tag, boiler
+    got: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = got.get("class", "").split()
+    label = tag + "".join(f".{c}" for c in sorted({_NUMBER.sub("", x.lower()).replace(">", "") for x in names}) if c)
+    if tag not in ("main", "article"):
+        for x in (*names, got.get("id", "")):
+            words = _words(x)
+            boiler = boiler or bool(_BOILER_WORDS.intersection(words)) and not _KEEP_WORDS.intersection(words)
+        boiler = boiler or got.get("role", "").lower() in _BOILER_ROLES
+    elif tag == "article":  # readers' comments are often articles inside articles
+        boiler = boiler or any({"comment", "comments", "reply"}.intersection(_words(x)) for x in (*names, got.get("id", "")))
+    return label, boiler or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(got.get("style", "")))
+
+
+def _unescape(text: str) -> str:
+    """Decodes character references; numbers of more digits than any character has stand for none."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1] or m[2]
+        return m[0] if len(m[0]) < 12 else "\ufffd" if len(digits) > 7 else f"&#{digits};" if m[1] else f"&#x{digits};"
+
+    return unescape(_LONG_REFERENCE.sub(short, text)) if "&" in text else text
+
+
+#: A start tag closes the nearest open element of its group, unless an element of the scope stands between.
 _SCOPE = set("article aside blockquote body button caption dd div fieldset figure footer form header html li main nav section table td th".split())
+_GROUPS = [({"p"}, _SCOPE), ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}), ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"})]
+_GROUP_OF = {tag: k for k, (tags, _) in enumerate(_GROUPS) for tag in tags}
+#: By tag: the group that it belongs to, or -1, and the groups whose open elements it hides.
+_PLACES = {tag: (_GROUP_OF.get(tag, -1), tuple(k for k, (tags, scope) in enumerate(_GROUPS) if tag in scope and tag not in tags)) for tag in set().union(*(tags | scope for tags, scope in _GROUPS))}
 
 
 class Page:
-    """A parsed page: its blocks of text, each with the elements that it is in."""
+    """A parsed page: its blocks of text, each with the element that it is in.
+
+    Reading takes time and memory in proportion to the page, however deep its
+    elements nest and however many of its tags are never closed: each element
+    knows its parent, its block and the open elements above it by number.  A
+    tag that the page ends in is markup.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[_Node, str]] = []
+        self.nodes: list[_Node] = []
+        self.up: list[int] = []
+        self.paths: dict[tuple[int, str], int] = {(-1, "body"): 0}
         self._parse(html)
 
+    def _open(self, stack: list[_Node], tag: str, attributes: str) -> _Node:
+        inline = tag in _INLINE
+        up = stack[-1] if stack else None
+        label, boiler = _label(tag, attributes)
+        if up is None:
+            path, near = 0, (-1,) * len(_GROUPS)
+        elif inline:
+            path, near = up.path, up.near
+            boiler = up.boiler or boiler and tag != "a"
+        else:
+            path = self.paths.setdefault((up.path, label), len(self.paths))
+            boiler = boiler or up.boiler
+            near = up.near
+            own, shut = _PLACES.get(tag, (-1, ()))
+            if own >= 0 or any(near[k] >= 0 for k in shut):
+                near = tuple(len(stack) if k == own else -1 if k in shut else old for k, old in enumerate(near))
+        node = _Node(len(self.nodes), tag, path, boiler, tag == "a" or up is not None and up.linked, near)
+        if inline and up is not None:
+            node.block = up.block
+            if node.block.inline is None:
+                node.block.inline = {}
+            node.block.inline[tag] = node.block.inline.get(tag, 0) + 1
+        self.nodes.append(node)
+        self.up.append(up.at if up is not None else -1)
+        stack.append(node)
+        return node
+
     def _parse(self, html: str) -> None:
-        root = _Node("body", "body", False, None)  # also of a fragment
-        stack = [root]
+        stack: list[_Node] = []
+        self._open(stack, "body", "")  # also of a fragment
+        opened: dict[str, int] = {}
         text: list[str] = []
-        in_link = 0
-        at = 0
 
         def flush() -> None:
-            nonlocal text
             if text:
-                joined = _SPACE.sub(" ", unescape("".join(text))).strip()
-                text = []
+                joined = _SPACE.sub(" ", _unescape("".join(text))).strip()
+                text.clear()
                 if joined:
-                    self.blocks.append((block(), joined))
+                    self.blocks.append((stack[-1].block, joined))
 
-        def block() -> _Node:
-            for node in reversed(stack):
-                if node.tag not in _INLINE:
-                    return node
-            return root
+        def add(piece: str) -> None:
+            top = stack[-1]
+            if piece and not top.boiler:
+                text.append(piece)
+                if top.linked:
+                    top.block.links += len(piece)
+
+        def close(k: int) -> None:
+            while len(stack) > k:
+                gone = stack.pop()
+                opened[gone.tag] -= 1
+                if gone.tag in _INLINE:
+                    gone.block.inline[gone.tag] -= 1
 
-        end = len(html)
+        at, end = 0, len(html)
         while at < end:
-            m = _TOKEN.search(html, at)
-            if not m:
-                rest = html[at:]
-                # an unfinished tag at the end of a cut page is markup
-                cut = re.search(r"<[/!a-zA-Z][^<>]*\Z", rest)
-                rest = rest[: cut.start()] if cut else rest
-                if rest and not stack[-1].boiler:
-                    text.append(rest)
+            lt = html.find("<", at)
+            if lt < 0:
+                add(html[at:])
                 break
-            if m.start() > at and not stack[-1].boiler:
-                piece = html[at : m.start()]
-                text.append(piece)
-                if in_link:
-                    block().links += len(piece)
-            at = m.end()
-            if m[1] is not None and not stack[-1].boiler:
-                text.append(m[1])
-            tag = m[3]
-            if not tag:
+            mark = html[lt + 1 : lt + 2]
+            if not (mark in ("!", "?", "/") or mark.isascii() and mark.isalpha()):
+                add(html[at : lt + 1])  # just a sign
+                at = lt + 1
                 continue
-            tag = tag.lower()
-            if m[2]:  # an end tag
-                if tag == "br":
-                    text.append(" ")
-                    continue
-                inline = tag in _INLINE
-                k = len(stack) - 1
-                while k > 0 and stack[k].tag != tag:
-                    if inline and stack[k].tag not in _INLINE or tag == "p" and stack[k].tag in _SCOPE:
-                        k = 0
-                        break
-                    k -= 1
-                if k > 0:
-                    if not inline:
-                        flush()
-                    gone = stack[k:]
-                    del stack[k:]
-                    in_link = max(0, in_link - sum(x.tag == "a" for x in gone))
+            add(html[at:lt])
+            if mark in ("!", "?"):
+                if html.startswith("<!--", lt):
+                    stop = html.find("-->", lt + 2)
+                    at = stop + 3 if stop >= 0 else end
+                elif html.startswith("<![CDATA[", lt):
+                    stop = html.find("]]>", lt)
+                    add(html[lt + 9 : stop if stop >= 0 else end])
+                    at = stop + 3 if stop >= 0 else end
+                else:
+                    stop = html.find(">", lt)
+                    at = stop + 1 if stop >= 0 else end
+                continue
+            name = _NAME.match(html, lt + 1 + (mark == "/"))
+            if mark == "/":
+                stop = html.find(">", lt)
+                at = stop + 1 if stop >= 0 else end
+                if name:
+                    self._end(name[0].lower(), stack, opened, text, flush, close)
                 continue
+            rest = _REST.match(html, name.end())
+            if rest.end() >= end:
+                break  # the page ends in this tag
+            at = rest.end() + 1
+            tag = name[0].lower()
             if tag in _VOID:
                 if tag == "br":
                     text.append(" ")
                 elif tag == "hr":
                     flush()
-                continue
-            if tag in _RAW_END:
+            elif tag in _RAW_END:
                 stop = _RAW_END[tag].search(html, at)
                 at = stop.end() if stop else end
-                continue
-            if tag == "html":
-                continue
-            if tag == "body":  # ends the head, whether that was closed or not
-                heads = [i for i, x in enumerate(stack) if x.tag == "head"]
-                if heads:
+            elif tag == "body":  # ends the head, whether that was closed or not
+                if opened.get("head"):
                     flush()
-                    del stack[heads[0] :]
-                continue
-            if tag not in _INLINE:
-                flush()
-                closes, scope = _CLOSES.get(tag, ({"p"}, _SCOPE))
+                    close(next(k for k, x in enumerate(stack) if x.tag == "head"))
+            elif tag != "html":
+                if tag not in _INLINE:
+                    flush()
+                    k = stack[-1].near[_GROUP_OF.get(tag, 0)]
+                    if k > 0:
+                        close(k)
+                self._open(stack, tag, rest[0])
+                opened[tag] = opened.get(tag, 0) + 1
+        if not stack[-1].boiler:
+            flush()
+
+    def _end(self, tag: str, stack: list[_Node], opened: dict[str, int], text: list[str], flush: Callable[[], None], close: Callable[[int], None]) -> None:
+        if tag == "br":
+            text.append(" ")
+        elif tag in _INLINE:
+            if (stack[-1].block.inline or {}).get(tag):
                 k = len(stack) - 1
-                while k > 0 and stack[k].tag not in closes and stack[k].tag not in scope:
+                while stack[k].tag != tag:
                     k -= 1
-                if k > 0 and stack[k].tag in closes:
-                    in_link = max(0, in_link - sum(x.tag == "a" for x in stack[k:]))
-                    del stack[k:]
-            elif tag == "a":
-                in_link += 1
-            up = stack[-1]
-            if tag in _INLINE and not m[4]:
-                node = _Node(tag, up.path, up.boiler, up)
-            else:
-                node = _element(tag, m[4], up)
-                if tag == "a":
-                    node.boiler = up.boiler
-                if tag in _INLINE:
-                    node.path = up.path
-            stack.append(node)
-        if not stack[-1].boiler:
+                close(k)
+        elif tag == "p":
+            if stack[-1].near[0] > 0:
+                flush()
+                close(stack[-1].near[0])
+        elif opened.get(tag):
+            k = len(stack) - 1
+            while stack[k].tag != tag:
+                k -= 1
             flush()
+            close(k)
 
-    def scores(self) -> dict[str, float]:
-        """By generalised path of a container, the score of the text below it.
+    def scores(self) -> dict[int, float]:
+        """By number of a container's path, the score of the text below it.
 
         Text counts fully for the nearest container, and fades by distance, so
         that the innermost element that holds nearly all paragraphs wins.
         """
-        found: dict[str, float] = {}
+        carry = [0.0] * len(self.nodes)
         for node, joined in self.blocks:
             size = max(0.0, len(joined) - 3.0 * node.links)
-            if node.tag in ("p", "pre", "blockquote") or len(joined) > 140:
-                size *= 2
-            share, x = 1.0, node
-            while x is not None and x.path:
-                if x.tag in _CONTAINERS:
-                    bonus = 1.3 if x.tag in ("article", "main") else 1.0
-                    found[x.path] = found.get(x.path, 0.0) + size * share * bonus
-                    share *= 0.75
-                x = x.up
+            carry[node.at] += size * 2 if node.tag in ("p", "pre", "blockquote") or len(joined) > 140 else size
+        found: dict[int, float] = {}
+        for node in reversed(self.nodes):  # each after all that stand in it
+            share = carry[node.at]
+            if share and node.tag in _CONTAINERS:
+                found[node.path] = found.get(node.path, 0.0) + share * (1.3 if node.tag in ("article", "main") else 1.0)
+                share *= 0.75
+            if self.up[node.at] >= 0:
+                carry[self.up[node.at]] += share
         return found
 
-    def under(self, path: str) -> list[str]:
+    def name(self, path: int) -> str:
+        """A path's tags and classes, from the body."""
+        if not hasattr(self, "_names"):
+            self._names = {number: parent for parent, number in self.paths.items()}
         out = []
-        for node, joined in self.blocks:
-            x = node
-            while x is not None and x.path != path:
-                x = x.up
-            if x is not None:
-                out.append(joined)
-        return out
+        while path >= 0:
+            path, label = self._names[path]
+            out.append(label)
+        return ">".join(reversed(out))
+
+    def number(self, name: str) -> int | None:
+        """The number of a path in this page, if it is there."""
+        at: int | None = -1
+        for label in name.split(">"):
+            at = self.paths.get((at, label))
+            if at is None:
+                return None
+        return at
+
+    def under(self, path: int | None) -> list[str]:
+        if path is None:
+            return []
+        within = [False] * len(self.nodes)
+        for node in self.nodes:  # each before all that stand in it
+            within[node.at] = node.path == path or self.up[node.at] >= 0 and within[self.up[node.at]]
+        return [joined for node, joined in self.blocks if within[node.at]]
 
     def text(self, path: str | None) -> str:
         """The blocks on a path, one per line; where there are none, those of the page's own best container, or all."""
-        out = self.under(path) if path else []
+        out = self.under(self.number(path)) if path else []
         if not out:
             own = self.scores()
-            best = max(own.items(), key=lambda kv: (kv[1], kv[0]), default=(None, 0.0))[0]
-            out = self.under(best) if best else [joined for _, joined in self.blocks]
+            top = max(own.values(), default=0.0)
+            best = max((k for k, v in own.items() if v == top), key=self.name, default=None)
+            out = self.under(best) if best is not None else [joined for _, joined in self.blocks]
         return "\n".join(out)
 
 
@@ -249,13 +325,14 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in common.rows(batches, "html"):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = Page(html or "").scores()
+            page = Page(html or "")
+            own = page.scores()
             top = max(own.values(), default=0.0)
             if top <= 0:
                 continue
             for path, score in own.items():
                 if score >= 0.5 * top:
-                    key = (host, path)
+                    key = (host, page.name(path))
                     tally[key] = tally.get(key, 0.0) + round((score / top) ** 4, 6)
         if len(tally) > 50_000:
             yield out()

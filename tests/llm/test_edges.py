@@ -134,3 +134,22 @@ def test_simhash_keeps_one_of_each_group_whatever_the_id(spark):
     for similar in (None, 0.8):
         kept = simhash.keep_one(docs, similar=similar).collect()
         assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
+def test_html_of_odd_tags_loses_no_text():
+    page = lambda x: html.Page(x).text(None)
+    assert page("<p title=don't>Hello there it's me</p><p>Second") == "Hello there it's me\nSecond"
+    assert page("<div><p data-x='a>b' title = \"c>d\">One &lt; two</p><p>3 < 4 <b>and</b> so on</div>") == "One < two\n3 < 4 and so on"
+    assert page("<p>kept</p>&#" + "9" * 6000 + "; &#0000000000000065;<a href=") == "kept\n� A"
+    assert page("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>") == "one\ntwo\nx\ny"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<a>x", "<b><i>", "</p>", "<ul></x>", "<!--", "<li></ul>", "<p class='"])
+def test_html_takes_time_in_proportion_to_the_page(piece):
+    import time
+
+    page = "<div>" * 2000 + piece * (200_000 // len(piece))
+    began = time.perf_counter()
+    found = html.Page(page)
+    found.text(None)
+    assert time.perf_counter() - began < 3  # quadratic forms take minutes
