@@ -16,11 +16,13 @@ _LOCAL: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: `spark.checkpoint.dir`, as a URI.
 
-    Only where the session names none (a local test) is a folder of this
-    machine taken.
+    Only where the session names none and runs on this machine alone (a test)
+    is a folder of this machine taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _LOCAL:
             _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='sensorloom-')}")
         base = _LOCAL[0]
@@ -31,11 +33,11 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
