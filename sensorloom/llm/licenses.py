@@ -183,8 +183,14 @@ def inherit(found: DataFrame) -> DataFrame:
     parts = F.split("dir", "/")
     # each directory with itself and all above it: as many rows as it is deep
     above = folders.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("ancestor", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")).where("depth = 0 or ancestor <> ''")
-    nearest = above.join(licensed, "ancestor").groupBy("dir").agg(F.max_by(F.struct("up_license", "up_score", "from_path"), "depth").alias("up"))
-    joined = files.join(nearest, "dir", "left")
+    # nearly every directory is below '' and its source's; such frequent ancestors are few and go by broadcast
+    counted = common.cut(licensed.join(above.groupBy("ancestor").agg(F.count("*").alias("below")), "ancestor"), "licensed")
+    met = common.join_counted(above, counted, "ancestor", "below")
+    nearest = met.groupBy("dir").agg(F.max_by(F.struct("up_license", "up_score", "from_path"), "depth").alias("up"))
+    sizes = files.where("dir is not null").groupBy("dir").agg(F.count("*").alias("files"))
+    known = common.cut(sizes.join(nearest, "dir", "left"), "nearest")
+    nowhere = files.where("dir is null").withColumn("up", F.lit(None).cast(known.schema["up"].dataType)).withColumn("files", F.lit(1).cast("long"))
+    joined = common.join_counted(files, known, "dir", "files").unionByName(nowhere)
     own = F.col("license").isNotNull()
     return joined.select(
         "row",

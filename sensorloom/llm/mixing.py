@@ -61,7 +61,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """The documents, each as often as its source's rate asks for, in a global random order.
 
     With `extra`, the columns n_copies, copy (from 0) and mix_key come after
-    the documents' own; names already taken there are replaced.  Documents with no source are
+    the documents' own; names already taken there are replaced.  Without, all
+    of the documents' columns stay as they are.  Documents with no source are
     a source of their own; a null or empty text has size 0; rows with one id
     have one count (a null id counts as an id); an empty table gives no rows.
     """
@@ -69,26 +70,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     rate = common.cut(rates(docs, weights, alpha, total, source_col, text_col), "rates")
     # exp(-rate) must not vanish: a count of a large rate is the sum of draws at equal parts of it
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE).cast("int"))
-    chances = rate.select(F.col("source").alias("_source"), draws.alias("_draws"), _distribution(F.col("rate") / draws).alias("_sums"))
+    by, times, sums, n_copies, nth, mix_key = (common.fresh(docs, x) for x in ("source_of", "draws", "sums", "n_copies", "copy", "mix_key"))
+    chances = rate.select(F.col("source").alias(by), draws.alias(times), _distribution(F.col("rate") / draws).alias(sums))
     if rate.count() <= BROADCAST_SOURCES:
         chances = F.broadcast(chances)
-    own = [c for c in docs.columns if c not in ("n_copies", "copy", "mix_key")]
+    added = ("n_copies", "copy", "mix_key") if extra else ()
+    own = [c for c in docs.columns if c.lower() not in added]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = uniform(F.concat(F.lit(f"{seed}:"), key))
-    count = F.size(F.filter("_sums", lambda p: p <= u)).cast("bigint")
+    count = F.size(F.filter(sums, lambda p: p <= u)).cast("bigint")
 
     def again(so_far: Column, i: Column) -> Column:
         v = uniform(F.concat(F.lit(f"{seed}:"), key, F.lit(":draw:"), i.cast("string")))
-        return so_far + F.size(F.filter("_sums", lambda p: p <= v)).cast("bigint")
+        return so_far + F.size(F.filter(sums, lambda p: p <= v)).cast("bigint")
 
-    further = F.when(F.col("_draws") > 1, F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0).cast("bigint"), again)).otherwise(F.lit(0).cast("bigint"))
-    drawn = docs.select(*own).join(chances, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("n_copies", count + further)
-    copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)))
-    mixed = copies.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col("copy").cast("string"))))
+    further = F.when(F.col(times) > 1, F.aggregate(F.sequence(F.lit(2), F.col(times)), F.lit(0).cast("bigint"), again)).otherwise(F.lit(0).cast("bigint"))
+    drawn = docs.join(chances, F.col(source_col).eqNullSafe(F.col(by))).withColumn(n_copies, count + further)
+    copies = drawn.where(F.col(n_copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_copies) - 1)))
+    mixed = copies.withColumn(mix_key, F.md5(F.concat(F.lit(f"{seed}:"), key, F.lit(":"), F.col(nth).cast("string"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a hash deals the copies out and orders each part: together a random order of all, without a sort over all
-    dealt = mixed.repartition(parts, "mix_key").sortWithinPartitions("mix_key")
-    return dealt.select(*own, *(["n_copies", "copy", "mix_key"] if extra else []))
+    dealt = mixed.repartition(parts, mix_key).sortWithinPartitions(mix_key)
+    return dealt.select(*own, *(F.col(c).alias(name) for c, name in zip((n_copies, nth, mix_key), added)))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +106,16 @@ WITH sizes AS (
   SELECT sum(size)::DOUBLE AS all_size, sum(pow(size::DOUBLE, 0.5)) AS all_weight FROM sizes
 ), rates AS (
   SELECT source, CASE WHEN size = 0 THEN 1.0 ELSE pow(size::DOUBLE, 0.5) / all_weight * all_size / size END AS rate FROM sizes, sums
+), parts AS (
+  SELECT source, rate, greatest(1, CAST(ceil(rate / 500.0) AS BIGINT)) AS draws FROM rates
 ), ks AS (
-  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rates
+  SELECT source, draws, rate / draws AS rate, unnest(range(0, CAST(ceil(rate / draws + 12 * sqrt(rate / draws) + 30) AS BIGINT) + 1)) AS k FROM parts
 ), chances AS (
   SELECT source, k, sum(exp(CASE WHEN k = 0 THEN -rate ELSE k * ln(rate) - rate - lgamma(k + 1) END)) OVER (PARTITION BY source ORDER BY k) AS p FROM ks
+), draws AS (
+  SELECT documents.*, unnest(range(1, draws + 1)) AS draw FROM documents JOIN parts ON documents.source IS NOT DISTINCT FROM parts.source
 ), us AS (
-  SELECT *, ('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+  SELECT *, ('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN draw > 1 THEN ':draw:' || draw ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM draws
 ), drawn AS (
   SELECT us.doc_id, us.text, us.lang, us.source, us.n_chars, count(*) AS n_copies
   FROM us JOIN chances ON us.source IS NOT DISTINCT FROM chances.source AND chances.p <= us.u

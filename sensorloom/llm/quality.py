@@ -171,18 +171,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     return fit(x, np.array(got.column("y").to_pylist(), dtype=np.float64))
 
 
-def _score(batches: Iterator[pa.RecordBatch], trees: Trees, text_col: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], trees: Trees, text_col: str, name: str = "score") -> Iterator[pa.RecordBatch]:
     for batch in common.rows(batches, text_col):
         texts = batch.column(batch.schema.get_field_index(text_col))
         scores = trees.score(statistics(texts.to_pylist()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
 
-def score(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """The rows with a column score, from 0 to 1, in place of any of that name; nulls and empty texts are scored too."""
-    own = docs.drop("score")
-    schema = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(partial(_score, trees=trees, text_col=text_col), schema)
+def score(docs: DataFrame, trees: Trees, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The rows with a column of scores, from 0 to 1, in place of any of that name; nulls and empty texts are scored too."""
+    own = docs.drop(name)
+    schema = T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())])
+    return own.mapInArrow(partial(_score, trees=trees, text_col=text_col, name=name), schema)
 
 
 def _rows_only(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.RecordBatch]:
@@ -202,9 +202,9 @@ def predictions(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that the classifier doesn't reject, unchanged."""
-    names = docs.columns
-    return score(docs, train(docs, labels, rows)).where("score >= 0.5").select(*names)
+    """The documents that the classifier doesn't reject, with all their columns as they were, one named score included."""
+    name = common.fresh(docs, "score")
+    return score(docs, train(docs, labels, rows), name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

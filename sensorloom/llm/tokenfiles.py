@@ -3,7 +3,8 @@
 A corpus is a folder of parts.  `part-K.bin` holds the ids of its documents
 end to end, in the narrowest unsigned little-endian type that fits the
 vocabulary; `part-K.idx` holds, as little-endian 64-bit integers, the number
-of documents n, then n document ids, then n + 1 offsets in ids.  Parts are
+of documents n and of those without an id, then n document ids (zero for the
+first ones without an id), then n + 1 offsets in ids.  Parts are
 ranges of ascending document id, so a part's base (the ids of all parts
 before it) is the prefix sum of the parts' totals.
 """
@@ -67,8 +68,8 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         return
     out.close()
     n = np.concatenate(counts)
-    head = np.array([len(ids)], dtype="<i8")
-    keys = np.array([-1 if x is None else x for x in ids], dtype="<i8")
+    head = np.array([len(ids), ids.count(None)], dtype="<i8")  # those without an id come first
+    keys = np.array([x or 0 for x in ids], dtype="<i8")
     offsets = np.concatenate([[0], np.cumsum(n)]).astype("<i8")
     with fs.open_output_stream(f"{temporary}.idx") as f:
         f.write(head.tobytes() + keys.tobytes() + offsets.tobytes())
@@ -91,8 +92,8 @@ def _read_part(batches: Iterator[pa.RecordBatch], folder: str, dtype: str) -> It
         for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist()):
             name = f"{root}/part-{part:06d}"
             index = _map(fs, f"{name}.idx", "<i8")
-            n = int(index[0])
-            keys, offsets = index[1 : n + 1], np.asarray(index[n + 1 :])
+            n, nameless = index[:2].tolist()
+            keys, offsets = index[2 : n + 2], np.asarray(index[n + 2 :])
             ids = _map(fs, f"{name}.bin", dtype)
             for at in range(0, n, 20_000):
                 stop = min(n, at + 20_000)
@@ -100,7 +101,7 @@ def _read_part(batches: Iterator[pa.RecordBatch], folder: str, dtype: str) -> It
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(np.asarray(keys[at:stop])),
+                        "doc_id": pa.array(np.asarray(keys[at:stop]), mask=np.arange(at, stop) < nameless),
                         "start": pa.array(offsets[at:stop] + base),
                         "n_tokens": pa.array(np.diff(offsets[at : stop + 1])),
                         "ids_crc32": pa.array(crc, pa.int64()),
@@ -113,8 +114,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
     Returns one row per part: part, documents, tokens, base.  Rows are dealt
     out by ranges of id, so no text meets more than one shuffle, and the bases
-    are prefix sums over one row per part.  A null text is empty; a null id is
-    stored as -1 and comes first; rows with one id keep the order of their
+    are prefix sums over one row per part.  A null text is empty; a null id
+    comes first and stays null; rows with one id keep the order of their
     texts; an empty table gives no part.  Other columns, whatever their names,
     are not read.
     """

@@ -40,7 +40,7 @@ ALL = sorted((r[0] for r in ROWS), key=lambda x: (x is not None, x))
 def test_token_files(docs, empty, tmp_path):
     folder = f"file://{tmp_path}/x"
     got = tokenfiles.read(tokenfiles.write(docs, folder), folder).orderBy("start").collect()
-    assert [r.doc_id for r in got] == [-1, 1, 1, 2, 3, 4, 5, 6, 7]
+    assert [r.doc_id for r in got] == [None, 1, 1, 2, 3, 4, 5, 6, 7]
     assert got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
     assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
     folder = f"file://{tmp_path}/y"
@@ -111,6 +111,10 @@ def test_neighbours(spark):
     assert [(r.rank, r.vec_id) for r in got if r.query_id == 0] == [(1, 1), (2, 2), (3, 50), (4, 3)]
     assert [r.rank for r in got if r.query_id == 50] == [1, 2, 3, 4]
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
+    rows = [(0, [1.0, 1e-60]), (1, [1e-60, 0.0]), (1, [1e-60, 0.0]), (1, [0.0, 1e-60]), (2, [1e200, 1e200]), (3, [1.0, 0.0, 0.0]), (4, [-1e-300, 0.0])]
+    odd = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(odd, odd.where("vec_id % 50 = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in got] == [(1, 1.0), (2, round(0.5**0.5, 9)), (4, -1.0)]
     assert hnsw.nearest(df, df.limit(0)).count() == 0
 
 
@@ -153,3 +157,27 @@ def test_html_takes_time_in_proportion_to_the_page(piece):
     found = html.Page(page)
     found.text(None)
     assert time.perf_counter() - began < 3  # quadratic forms take minutes
+
+
+def test_columns_of_the_documents_stay_as_they_are(spark):
+    """Whatever their names: values are compared, not names."""
+    rows = [(k, f"{w} " * 30, "a", 9.5 - k, f"c{k}", k, "m", "s", k, "r", 1.5) for k, w in enumerate(("one two three", "four five six", "seven eight nine"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, copy string, n_copies int, mix_key string, _source string, _kept long, mark string, none double")
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    want = {tuple(r) for r in docs.collect()}
+    for got in (quality.keep_good(docs, labels), simhash.keep_one(docs), mixing.mix(docs, weights={"a": 1.0}, total=2000, extra=False)):
+        found = [tuple(r) for r in got.collect()]
+        assert got.columns == docs.columns and found and set(found) <= want
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == want
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", "score", "_source", "_kept", "mark", "none", "n_copies", "copy", "mix_key"]
+
+
+def test_rates_over_the_largest_are_drawn_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(0, "x", "en", "tiny", 1), (1, "y" * 900_000, "en", "big", 900_000), (2, "z" * 900_000, "en", "big", 900_000)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select doc_id, n_copies, count(*) from ({mixing.SQL}) group by all order by 1").fetchall()
+    got = mixing.op5_mix_sources(spark, str(tmp_path)).groupBy("doc_id", "n_copies").count().orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and want[0][1] > 500

@@ -66,12 +66,12 @@ def test_links_find_every_component(spark):
             break
         label = new
     rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "row long, fp long")
-    for tile in (4096, 16):  # also with files cut into tiles
-        old, simhash.TILE = simhash.TILE, tile
+    for tile in (4096, 16):  # also with long files
+        old, simhash.LONGEST = simhash.LONGEST, tile
         try:
             got = {r.row: r.component_id for r in simhash.classes(rows).collect()}
         finally:
-            simhash.TILE = old
+            simhash.LONGEST = old
         assert [got[i] for i in range(len(fps))] == label.tolist()
 
 
