@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import robust, series
+from sensorloom.operators import livemap, robust, series
 from sensorloom.queries.curves import rounded, table
 
 DAY = 86_400.0
@@ -167,7 +167,7 @@ def line_breaks(spark, sf_dir):
 
 
 def seq_loss(spark, sf_dir):
-    df = table(spark, sf_dir, "events").where("event_id % 7 <> 0")  # the packets that arrived
+    df = table(spark, sf_dir, "events")  # a type's ids have gaps: the events of the others
     return series.losses(df, ["event_type"], ["event_id"], "event_id").select("event_type", "event_id", "lost")
 
 
@@ -286,7 +286,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pow(x - (x0 + u*
 SELECT vec_id, seg, round(x0 + u*dx, 5) AS snap_x, round(y0 + u*dy, 5) AS snap_y, round(u, 5) AS frac FROM b WHERE r = 1""",
     "line_breaks": f"""WITH {_E}, s AS (SELECT user_id, event_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 43200 THEN 1 ELSE 0 END AS b FROM e)
 SELECT event_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY t) AS BIGINT) AS stroke FROM s""",
-    "seq_loss": """WITH s AS (SELECT event_type, event_id, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS lost FROM events WHERE event_id % 7 <> 0)
+    "seq_loss": """WITH s AS (SELECT event_type, event_id, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS lost FROM events)
 SELECT event_type, event_id, lost FROM s WHERE lost > 0 AND lost < 10000""",
     "rates_hourly": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "clock_offset": """WITH d AS (SELECT event_type, event_id, CAST(epoch_us(ts) / 1e6 * 1e6 AS BIGINT) % 4294967296 AS ticks, epoch_us(ts) / 1e6 + value / 1000 AS recv FROM events),
@@ -336,3 +336,42 @@ SELECT user_id, CAST(run AS BIGINT) AS run, above, count(*) AS n, round(min(h),
     "thinned": f"""WITH {_E}, n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)
 SELECT event_id FROM n WHERE i % CAST(pow(2, greatest(0, ceil(log2(n / 20.0::DOUBLE)))) AS BIGINT) = 0""",
 }
+
+
+def _positions(spark, sf_dir):
+    """Events as a position: x at every event of a user, y at those that aren't errors."""
+    e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), "t", "event_type", F.col("value").alias("x"), (F.col("event_id") * 7919 % 101).cast("double").alias("y"))
+    x = e.select("run_id", F.lit("pos_x").alias("metric"), "seq", "t", F.col("x").alias("v"))
+    return e, x.unionByName(e.where("event_type <> 'error'").select("run_id", F.lit("pos_y").alias("metric"), "seq", "t", F.col("y").alias("v")))
+
+
+def position_quality(spark, sf_dir):
+    """Whether the position ten minutes after each view is known: interval width, heaps of times, folded turns."""
+    e, signals = _positions(spark, sf_dir)
+    points = e.where("event_type = 'view'").select("run_id", F.col("seq").alias("event_id"), (F.col("t") + 600).alias("t"))
+    for axis in ("x", "y"):
+        points = livemap.interval_width(points, livemap._times(signals, f"pos_{axis}"), f"gap_{axis}")
+    points = livemap.turn_folds(livemap.pile_ups(points, signals, step=7200.0, reach=3600.0), signals)
+    return rounded(points.select("event_id", F.greatest("gap_x", "gap_y").alias("gap"), "piled", "fold"), 3)
+
+
+QUERIES |= {"position_quality": position_quality}
+ORACLES |= {
+    "position_quality": f"""WITH {_E}, s AS (SELECT user_id, event_id, t, event_type, value AS x, (event_id * 7919 % 101)::DOUBLE AS y FROM e),
+q AS (SELECT user_id, event_id, t + 600 AS t FROM s WHERE event_type = 'view'),
+src AS (SELECT user_id, t, 'x' AS axis FROM s UNION ALL SELECT user_id, t, 'y' FROM s WHERE event_type <> 'error'),
+d AS (SELECT user_id, axis, t, t - lag(t) OVER (PARTITION BY user_id, axis ORDER BY t) AS step, coalesce(t - lag(t) OVER (PARTITION BY user_id, axis ORDER BY t), lead(t) OVER (PARTITION BY user_id, axis ORDER BY t) - t) AS w FROM src),
+nxt AS (SELECT q.event_id, d.axis, arg_min(d.w, d.t) AS w FROM q JOIN d ON q.user_id = d.user_id AND d.t >= q.t GROUP BY 1, 2),
+lst AS (SELECT q.event_id, d.axis, arg_max(d.w, d.t) AS w FROM q JOIN d ON q.user_id = d.user_id GROUP BY 1, 2),
+gaps AS (SELECT q.event_id, max(coalesce(nxt.w, lst.w, 0)) AS gap FROM q LEFT JOIN lst ON q.event_id = lst.event_id LEFT JOIN nxt ON lst.event_id = nxt.event_id AND lst.axis = nxt.axis GROUP BY 1),
+piles AS (SELECT DISTINCT q.event_id FROM q JOIN d ON q.user_id = d.user_id AND d.step < 7200 AND abs(q.t - d.t) < 3600),
+ys AS (SELECT user_id, event_id, t, x, CASE WHEN event_type <> 'error' THEN y END AS y, CASE WHEN event_type <> 'error' THEN t END AS ty FROM s),
+fill AS (SELECT *, last_value(y IGNORE NULLS) OVER a AS y0, last_value(ty IGNORE NULLS) OVER a AS t0, first_value(y IGNORE NULLS) OVER b AS y1, first_value(ty IGNORE NULLS) OVER b AS t1 FROM ys
+  WINDOW a AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+full_ AS (SELECT user_id, t, x, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR t0 = t1 THEN y0 ELSE y0 + (y1 - y0) * (t - t0) / (t1 - t0) END AS y FROM fill),
+steps AS (SELECT user_id, t, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM full_ WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+around AS (SELECT user_id, t, dx, dy, lag(dx) OVER w AS ax, lag(dy) OVER w AS ay, lead(dx) OVER w AS bx, lead(dy) OVER w AS by_ FROM steps WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+folds AS (SELECT user_id, t, coalesce(ax * bx + ay * by_ < -0.17 * sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) AND sqrt(ax * ax + ay * ay) > 0.05 AND sqrt(bx * bx + by_ * by_) > 0.05 AND sqrt(dx * dx + dy * dy) < 0.7 * (sqrt(ax * ax + ay * ay) + sqrt(bx * bx + by_ * by_)) / 2, false) AS fold FROM around),
+carried AS (SELECT q.event_id, arg_max(folds.fold, folds.t) AS fold FROM q JOIN folds ON q.user_id = folds.user_id AND folds.t <= q.t GROUP BY 1)
+SELECT q.event_id, round(gap, 3) AS gap, piles.event_id IS NOT NULL AS piled, coalesce(fold, false) AS fold FROM q LEFT JOIN gaps USING (event_id) LEFT JOIN piles USING (event_id) LEFT JOIN carried USING (event_id)""",
+}
