@@ -53,33 +53,37 @@ def rising_edges(t: np.ndarray, y: np.ndarray, gap: float = 0.5, spread: float =
     return np.array(kept)
 
 
-def peaks(t: np.ndarray, x: np.ndarray, amplitude: float | None = None, share: float = 0.30, least: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Times and directions (+1 a peak, -1 a trough) of reversals, each confirmed once the signal has come back by the
-    deadband: max(share * amplitude, least)."""
-    if len(t) < 3:
-        return np.zeros(0), np.zeros(0, dtype=int)
-    if amplitude is None:
+def peaks(t: np.ndarray, x: np.ndarray, amplitude: float | None = None, share: float = 0.30, least: float = 0.02, moving: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Times and directions (+1 a peak, -1 a trough) of reversals, each confirmed once the signal has come back by more
+    than the deadband: max(share * amplitude, least).
+
+    The signal has no direction until it is further than the deadband from
+    where it began.  Fewer than five samples, or an amplitude below `moving`,
+    have no reversals.
+    """
+    none = np.zeros(0), np.zeros(0, dtype=int)
+    if len(t) < 5:
+        return none
+    if amplitude is None or amplitude <= 0:
         amplitude = float(np.subtract(*np.percentile(x, [95, 5])))
+    if amplitude < moving:
+        return none
     dead = max(share * amplitude, least)
-    top = bottom = 0
-    heading = 0
+    begun = np.abs(x - x[0]) > dead
+    if not begun.any():
+        return none
+    at = int(begun.argmax())
+    way = 1 if x[at] > x[0] else -1
     times, turns = [], []
-    for i in range(1, len(x)):
-        if x[i] > x[top]:
-            top = i
-        if x[i] < x[bottom]:
-            bottom = i
-        if heading >= 0 and x[top] - x[i] >= dead:
-            if heading or top:
-                times.append(t[top])
-                turns.append(1)
-            heading, bottom = -1, i
-        elif heading <= 0 and x[i] - x[bottom] >= dead:
-            if heading or bottom:
-                times.append(t[bottom])
-                turns.append(-1)
-            heading, top = 1, i
-    return np.array(times), np.array(turns, dtype=int)
+    while True:
+        ahead = way * x[at:]
+        back = np.maximum.accumulate(ahead) - ahead > dead
+        if not back.any():
+            return np.array(times), np.array(turns, dtype=int)
+        stop = int(back.argmax())
+        times.append(t[at + int(ahead[:stop].argmax())])
+        turns.append(way)
+        at, way = at + stop, -way
 
 
 def velocity_starts(t: np.ndarray, x: np.ndarray, quiet: float = 0.1) -> np.ndarray:

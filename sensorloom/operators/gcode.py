@@ -84,8 +84,7 @@ def parse(text: str, accel: float = 2000.0) -> list[tuple]:
         command, _, rest = code.partition(" ")
         words = {a: float(v) for a, v in _WORD.findall(rest)}
         if command in ("G90", "G91"):
-            m.absolute = command == "G90"
-            m.e_absolute = m.absolute
+            m.absolute = command == "G90"  # the extruder's mode is M82's and M83's alone
         elif command in ("M82", "M83"):
             m.e_absolute = command == "M82"
         elif command in ("G17", "G18", "G19"):

@@ -10,6 +10,8 @@ cell, so one run never has to fit in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,11 +230,11 @@ def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], px: s
         return df.withColumn("_d2", (F.col(px) - F.col("_sx")) ** 2 + (F.col(py) - F.col("_sy")) ** 2)
 
     def best(df: DataFrame) -> DataFrame:
-        pick = F.min(F.struct("_d2", F.col(order).alias("_o"), F.struct("_sx", "_sy", "_u").alias("_s")))
-        return df.groupBy("_pid").agg(F.first("_p").alias("_p"), pick.alias("_b"))
+        return df.groupBy(*at).agg(F.min(F.struct("_d2", F.col(order).alias("_o"), F.struct("_sx", "_sy", "_u").alias("_s"))).alias("_b"))
 
-    own = points.columns
-    tagged = points.withColumn("_pid", F.xxhash64(*own)).withColumn("_p", F.struct(*own)).dropDuplicates(["_pid"])
+    # each place is measured once, whatever points are there, and only places travel
+    at = [*by, px, py]
+    tagged = points.select(*at).distinct()
     pieces = segments.withColumn("_n", F.greatest(F.ceil(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))) / cell).cast("int"), F.lit(1)))
     # every cell a segment's bounding pieces touch
     pieces = pieces.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
@@ -243,9 +245,11 @@ def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], px: s
     near = best(measured(around.join(cells, [*by, "_cx", "_cy"])))
     # sample points on a segment are at most a cell apart: within (reach - 1) cells nothing nearer can have been missed
     sure = near.where(F.col("_b._d2") <= ((reach - 1) * cell) ** 2)
-    rest = tagged.join(sure, "_pid", "left_anti")
+    rest = tagged.join(sure, at, "left_anti")
     far = best(measured(rest.join(segments, by)))
-    return sure.unionByName(far).select("_p.*", F.col("_b._o").alias("seg"), F.col("_b._s._sx").alias("snap_x"), F.col("_b._s._sy").alias("snap_y"), F.col("_b._s._u").alias("frac"), F.col("_b._d2").alias("dist2"))
+    found = sure.unionByName(far).withColumnsRenamed({c: f"_at_{c}" for c in at})
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in at]
+    return points.join(found, reduce(Column.__and__, same)).select(*points.columns, F.col("_b._o").alias("seg"), F.col("_b._s._sx").alias("snap_x"), F.col("_b._s._sy").alias("snap_y"), F.col("_b._s._u").alias("frac"), F.col("_b._d2").alias("dist2"))
 
 
 def arc_length(df: DataFrame, by: list[str], order: list[str], x: str, y: str, out: str) -> DataFrame:

@@ -12,10 +12,12 @@ _LOCAL: list[str] = []
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table that several plans read, once, to the folder in `spark.checkpoint.dir` (a folder of this machine
-    only where none is set), and reads it back."""
+    only where none is set and Spark runs on it alone), and reads it back."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _LOCAL:
             _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='sensorloom-')}")
         base = _LOCAL[0]

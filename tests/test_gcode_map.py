@@ -24,7 +24,7 @@ def test_parse_layers_and_box(spark):
 
 
 def test_modes_and_arcs():
-    rows = gcode.parse("G91\nG1 X5 E1\nG1 X5 E1\nG90\nG92 X0 Y0\nG2 X10 Y0 I5 J0 E2 F600\nG1 X10 Y1 E-1")
+    rows = gcode.parse("M83\nG91\nG1 X5 E1\nG1 X5 E1\nG90\nG92 X0 Y0\nG2 X10 Y0 I5 J0 E2 F600\nG1 X10 Y1 E-1")
     assert rows[0][1:7] == (0, 0, 0, 5, 0, 0) and rows[1][4] == 10
     pieces = [r for r in rows if abs(r[4]) <= 10.001 and r[0] >= 2]
     assert abs(sum(r[12] for r in pieces[:-1]) - 5 * np.pi) < 0.05 and sum(r[17 - 1] for r in rows) == 4
@@ -52,3 +52,36 @@ def test_map(spark):
     assert len(counts) == 2 and min(counts) > 50
     far = mapped.where(F.least(F.abs(F.col("x") - 10), F.abs(F.col("x") - 20), F.abs(F.col("y") - 10), F.abs(F.col("y") - 20), F.abs(F.col("y") - 15)) > 0.3).count()
     assert far < 0.02 * mapped.count()
+
+
+def test_positioning_leaves_the_extruder_s_mode_alone():
+    extruded = lambda text: [r for r in gcode.parse(text)]
+    a = extruded("M83\nG90\nG1 X1 E1\nG1 X2 E1")
+    b = extruded("M82\nG91\nG1 X1 E1\nG1 X1 E2")
+    assert len(a) == len(b) == 2 and all(r[16] for r in (*a, *b))
+
+
+def test_continuity_like_a_plain_scan():
+    """Expected place after each point: the snap's if it was taken, else one step further."""
+    rng = np.random.default_rng(2)
+    n = 400
+    x = np.cumsum(rng.uniform(0, 1, n))
+    s = x + np.where(rng.random(n) < 0.2, rng.normal(0, 5, n), rng.normal(0, 0.3, n))
+    pdf = pd.DataFrame({"run_id": "r", "layer": 0, "stroke": 0, "seq": np.arange(n), "t": np.arange(n) / 10, "x": x, "y": 0.0, "snap_x": s, "snap_y": 1.0, "snap_s": s})
+    got = livemap._continuous(pdf.sample(frac=1, random_state=1)).sort_values("seq")
+    taken, place = [True], s[0]
+    for i in range(1, n):
+        ok = -1 <= s[i] - place <= x[i] - x[i - 1] + 3
+        taken.append(bool(ok))
+        place = s[i] if ok else place + x[i] - x[i - 1]
+    assert (got.y == 1).tolist() == taken and 20 < sum(taken) < n - 20
+
+
+def test_nearest_segment_keeps_every_point(spark):
+    from sensorloom.operators import series
+
+    points = spark.createDataFrame([("g", 0.2, 0.1, 1), ("g", 0.2, 0.1, 1), ("g", 0.2, 0.1, 2), ("g", 50.0, 9.0, 3), ("g", None, 1.0, 4)], "run string, x double, y double, n int")
+    segs = spark.createDataFrame([("g", 0, 0.0, 0.0, 1.0, 0.0), ("g", 1, 0.0, 5.0, 1.0, 5.0)], "run string, seg_id int, x0 double, y0 double, x1 double, y1 double")
+    got = series.nearest_segment(points, segs, ["run"], "x", "y", "seg_id", 0.5).orderBy("n").collect()
+    assert [(r.n, r.seg if r.x is not None else None) for r in got] == [(1, 0), (1, 0), (2, 0), (3, 1), (4, None)]
+    assert got[0].snap_x == 0.2 and got[0].snap_y == 0.0

@@ -92,3 +92,24 @@ def test_optimiser_finds_the_telling_metric(spark):
                 rows.append({"run_id": run, "k": float(k), "seg_idx": s, "excluded": False, **row})
     got = optimiser.optimise(spark.createDataFrame(pd.DataFrame(rows)), spark.createDataFrame([("a", 0.03), ("b", 0.05)], "run_id string, user_k_opt double"), draws=40, size=3, rounds=12)
     assert got["rms"] < 0.005 and max(got["weights"], key=got["weights"].get) == "overshoot"
+
+
+def test_clock_like_a_plain_one():
+    """Delays of all the last pairs, taken anew each time; wraps, a restart and a counter of no known unit."""
+    rng = np.random.default_rng(1)
+    for unit in (1e-3, 1e-6, 0.013):
+        clock, pairs = retime.Clock(), []
+        base, began, shift = (1 << 32) - int(20 / unit) % (1 << 32), 0.0, 0
+        for i in range(900):
+            now = i * 0.05
+            if i == 700:
+                base, began, pairs, shift = 5, now, [], 0
+            raw = base + int((now - began) / unit)
+            recv = 100 + now + float(rng.uniform(0, 0.02))
+            pairs = [*pairs, (raw, recv)][-512:]
+            got = clock.host_time(raw % (1 << 32), recv)
+            known = unit != 0.013 and len(pairs) >= 20 and pairs[-1][1] - pairs[0][1] >= 2
+            if got is None:
+                assert not known
+            else:
+                assert known and abs(got - (raw * unit + min(r - x * unit for x, r in pairs))) < 1e-4

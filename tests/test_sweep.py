@@ -70,3 +70,27 @@ def test_sweep_end_to_end(spark):
     assert len(ks) == 11 and ks.keep.all()
     est = got["estimates"].toPandas().set_index("method").k_opt
     assert abs(est["composite_cost"] - 0.030) < 0.010
+
+
+def test_reversals_like_a_plain_scan():
+    """Sample by sample: a direction once the start is left by the deadband, then the extremum behind each turn."""
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        n = int(rng.integers(2, 300))
+        t = np.arange(n) / 50
+        x = np.cumsum(rng.normal(0, 0.2, n)) * (0.01 if trial % 10 == 0 else 1)
+        size = float(np.subtract(*np.percentile(x, [95, 5])))
+        want, way, far = [], 0, 0
+        dead = max(0.3 * size, 0.02)
+        for i in range(n if n >= 5 and size >= 0.05 else 0):
+            gain = (x[i] - x[far]) * (way or 1)
+            if way == 0 and abs(gain) > dead:
+                way, far = (1 if gain > 0 else -1), i
+            elif way and gain > 0:
+                far = i
+            elif way and gain < -dead:
+                want.append((t[far], way))
+                way, far = -way, i
+        times, turns = d.peaks(t, x)
+        assert list(zip(times.tolist(), turns.tolist())) == want
+    assert len(d.peaks(np.arange(100) / 50, 0.045 * (np.arange(100) % 2))[0]) == 0
