@@ -52,13 +52,16 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in some], dtype=np.uint64))
 
 
+#: Of each MinHash value: a factor, a term, and its weight in its band's number.
+_TIMES, _PLUS, _MIX = (np.random.default_rng(5).integers(0, 1 << 62, size=(3, BAND * BANDS), dtype=np.uint64) * np.uint64(2) + np.array([[1], [0], [1]], dtype=np.uint64)).astype(np.uint64)
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """One number for each band of a set's MinHash values."""
-    times, plus, mix = np.random.default_rng(5).integers(0, 1 << 63, size=(3, BAND * BANDS), dtype=np.uint64)
     least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * (times * 2 + 1) + plus).min(axis=0), out=least)
-    return (least * (mix * 2 + 1)).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
+        np.minimum(least, (hashes[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return (least * _MIX).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
 
 
 def _key(hashes: np.ndarray) -> int:
