@@ -33,6 +33,11 @@ def per_minute(feed: Column) -> Column:
     return feed * 60
 
 
+def filament_length(feed: Column, duration: Column) -> Column:
+    """What a feed extrudes in a time."""
+    return feed * duration
+
+
 def grid(lo: Column, hi: Column, step: Column, digits: int = 4) -> Column:
     """An array from lo by step to about hi: as many steps as round(), ties to even, gives; one value if there is no room."""
     n = F.bround(F.try_divide(hi - lo, step), 0).cast("int")
@@ -86,17 +91,26 @@ def comment_z(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, r"^\s*;Z:\s*([-+]?\d*\.?\d+)", 1), F.lit("")).cast("double")
 
 
-#: Printer model names by the spellings in use: fixed values.
-MODEL_ALIASES = {"COREONE": "COREONE", "CORE1": "COREONE", "COREONE+": "COREONE", "COREONEPLUS": "COREONE", "INDX": "COREONE_INDX", "COREONEINDX": "COREONE_INDX"}
+#: Printer models by the spellings in use, and the tools of the model that changes them: fixed values.
+MODEL_ALIASES = {"COREONE": "COREONE", "CORE1": "COREONE", "COREONEINDX": "COREONEINDX", "CORE1INDX": "COREONEINDX", "INDX": "COREONEINDX"}
+TOOLS = {"COREONEINDX": (0, 7)}
 
 
 def printer_model(value: Column, aliases: dict[str, str] | None = None) -> Column:
-    """The canonical model of a spelling, spaces and underscores ignored; an unknown one is an error."""
+    """The canonical model of a spelling, case, spaces and underscores ignored; COREONE for none, an error for an unknown one."""
     aliases = aliases or MODEL_ALIASES
-    plain = F.regexp_replace(F.upper(value), r"[\s_-]", "")
+    plain = F.regexp_replace(F.upper(value), r"[ _]|^\s+|\s+$", "")
     known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     found = F.try_element_at(known, plain)
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown printer model: "), value)).cast("string"))
+    return F.when(value.isNull() | (value == ""), F.lit("COREONE")).when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown printer model: "), value)).cast("string"))
+
+
+def tool_index(model: Column, tool: Column) -> Column:
+    """The tool as it is; an error for a null one, or one that the (canonical) model hasn't got."""
+    odd = tool.isNull()
+    for name, (lo, hi) in TOOLS.items():
+        odd = odd | ((model == name) & ~tool.between(lo, hi))
+    return F.when(F.coalesce(odd, F.lit(False)), F.raise_error(F.concat(F.lit("no such tool: "), F.coalesce(tool.cast("string"), F.lit("null")))).cast("int")).otherwise(tool.cast("int"))
 
 
 def is_run_file(name: Column, prefix: str) -> Column:

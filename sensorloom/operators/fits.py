@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import robust
 from sensorloom.operators.series import HERE, PAST, over
+from sensorloom.sources.shared import materialise
 
 #: Weights of the composite cost in use by default.
 DEFAULT_WEIGHTS = {"rise_error_area": 1.0, "overshoot": 2.0, "undershoot": 2.0, "tail_area": 1.0, "plateau_slope": 0.5, "rise_delay": 1.0, "fall_delay": 1.0, "settling_time": 0.5}
@@ -150,14 +151,25 @@ def histogram(df: DataFrame, by: list[str], col: str, bins: int = 30) -> DataFra
     return df.withColumn("bin", at).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_minima(values: DataFrame, by: list[str], draws: int, index: Column, weights: dict[str, float], value: str = "value") -> DataFrame:
+def bootstrap_minima(values: DataFrame, by: list[str], draws: int, index: Column, weights: dict[str, float], value: str = "value", rescale: str | None = None) -> DataFrame:
     """k_opt per draw: in each draw every K's i-th value (of n, both from 0) is replaced by its index-th, where `index`
-    is an expression over draw, i and n; medians, the scale of the undrawn medians' maximum, cost and minimum follow."""
+    is an expression over draw, i and n; medians, their scale, cost and minimum follow.  The scale is that of the undrawn
+    medians' maximum for all draws, or each draw's own by normalise()'s rule `rescale`."""
     numbered = values  # columns: by, k, metric, i, n, value
-    fixed = normalise(numbered.groupBy(*by, "k", "metric").agg(F.median(value).alias("median")), by, "max").select(*by, "k", "metric", "median", "normalised")
-    scale = fixed.groupBy(*by, "metric").agg(F.max(F.abs("median")).alias("_scale"))
     drawn = numbered.select(*by, "k", "metric", "i", "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pick", index)
     picked = drawn.join(numbered.select(*by, "k", "metric", F.col("i").alias("pick"), value), [*by, "k", "metric", "pick"])
-    medians = picked.groupBy(*by, "draw", "k", "metric").agg(F.median(value).alias("median")).join(scale, [*by, "metric"])
-    medians = medians.withColumn("normalised", F.when(F.col("_scale") > 0, F.col("median") / F.col("_scale")))
+    medians = picked.groupBy(*by, "draw", "k", "metric").agg(F.median(value).alias("median"))
+    if rescale:
+        medians = normalise(materialise(medians, "draws"), [*by, "draw"], rescale)
+    else:
+        undrawn = numbered.groupBy(*by, "k", "metric").agg(F.median(value).alias("_m")).groupBy(*by, "metric").agg(F.max(F.abs("_m")).alias("_scale"))
+        medians = medians.join(undrawn, [*by, "metric"]).withColumn("normalised", F.when(F.col("_scale") > 0, F.col("median") / F.col("_scale")))
     return argmin_parabolic(cost(medians, [*by, "draw"], weights), [*by, "draw"], "cost")
+
+
+def spread(df: DataFrame, col: str) -> DataFrame:
+    """One row: mean, median, sample deviation, least, most, 5th and 95th percentile, and interquartile range."""
+    return df.agg(
+        F.avg(col).alias("mean"), F.median(col).alias("median"), F.stddev_samp(col).alias("std"), F.min(col).alias("least"), F.max(col).alias("most"),
+        F.percentile(col, 0.05).alias("p05"), F.percentile(col, 0.95).alias("p95"), (F.percentile(col, 0.75) - F.percentile(col, 0.25)).alias("iqr"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.series import over
+from sensorloom.operators.series import interval_join, over
 
 #: Makes a median absolute deviation estimate the standard deviation of normal data.
 MAD_SCALE = 1.4826
@@ -79,3 +79,18 @@ def finite(df: DataFrame, *cols: str) -> DataFrame:
         x = F.col(c).cast("double")
         df = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df
+
+
+def plateau_levels(signal: DataFrame, transitions: DataFrame, by: list[str], t: str, v: str, direction: str, within: list[str] | None = None, settle: float = 0.15, least_n: int = 4, least: int = 4, width: float = 1.0) -> DataFrame:
+    """(by, slow, fast, n_slow, n_fast): the median of the medians of the legs after falls and after rises.
+
+    A leg reaches from `settle` after a transition to the next one of its series (by, within); legs of fewer than
+    `least_n` samples don't count, and a run with fewer than `least` legs of a kind gives no row.
+    """
+    keys = [*by, *(within or [])]
+    legs = transitions.select(*keys, F.col(direction).alias("_dir"), (F.col(t) + settle).alias("_lo"), F.lead(t).over(over(keys, t)).alias("_hi")).where("_lo < _hi")
+    inside = interval_join(signal.select(*keys, t, v), legs, keys, t, "_lo", "_hi", width, closed=False)
+    each = inside.groupBy(*keys, "_lo", "_dir").agg(F.median(v).alias("_m"), F.count(v).alias("_n")).where(F.col("_n") >= least_n)
+    rises, falls = F.col("_dir") > 0, F.col("_dir") <= 0
+    levels = each.groupBy(*by).agg(F.median(F.when(falls, F.col("_m"))).alias("slow"), F.median(F.when(rises, F.col("_m"))).alias("fast"), F.count_if(falls).alias("n_slow"), F.count_if(rises).alias("n_fast"))
+    return levels.where((F.col("n_slow") >= least) & (F.col("n_fast") >= least))

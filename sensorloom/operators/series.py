@@ -274,6 +274,11 @@ def decimate(df: DataFrame, by: list[str], order: list[str], most: int) -> DataF
     return df.withColumn("_n", n).withColumn("_i", i).where(F.col("_i") % F.greatest(F.ceil(F.col("_n") / most), F.lit(1)) == 0).drop("_n", "_i")
 
 
+def heads(df: DataFrame, by: list[str], order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows of each series."""
+    return df.withColumn("_i", F.row_number().over(over(by, *order))).where(F.col("_i") <= n).drop("_i")
+
+
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
     """At most `most` rows of a series whose numbers are evenly spaced, both ends included."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import fits, robust
@@ -116,15 +116,18 @@ _LINE = """line AS (
 )"""
 
 
-def bootstrap_kopt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty draws with replacement by arithmetic on row numbers, so that any engine draws the same."""
+def bootstrap_values(spark: SparkSession, sf_dir: str):
+    """Values by k and metric, and which of them a draw takes: arithmetic on row numbers, so that any engine draws the same."""
     rows = table(spark, sf_dir, "events").select(((F.col("event_id") % 9) / 100).alias("k"), "event_id", (F.abs(F.col("value") - F.lit(50.0) - 100 * (F.col("event_id") % 9))).alias("a"), F.abs(F.col("value") - 20).alias("b"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("k")
     rows = rows.withColumn("i", F.row_number().over(w.orderBy("event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     long = rows.unpivot(["k", "i", "n"], ["a", "b"], "metric", "value")
-    index = (F.col("i") * 7919 + F.col("draw") * 104729 + F.col("i") * F.col("i") % 1009 * 31) % F.col("n")
+    return long, (F.col("i") * 7919 + F.col("draw") * 104729 + F.col("i") * F.col("i") % 1009 * 31) % F.col("n")
+
+
+def bootstrap_kopt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty draws with replacement."""
+    long, index = bootstrap_values(spark, sf_dir)
     return rounded(fits.bootstrap_minima(long, [], 20, index, {"a": 1.0, "b": 0.5}))
 
 
@@ -134,14 +137,7 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median, deviations, range and percentiles of the draws."""
-    k = bootstrap_kopt(spark, sf_dir)
-    return rounded(
-        k.agg(
-            F.avg("k_opt").alias("mean"), F.median("k_opt").alias("median"), F.stddev_samp("k_opt").alias("std"), F.min("k_opt").alias("least"), F.max("k_opt").alias("most"),
-            F.percentile("k_opt", 0.05).alias("p05"), F.percentile("k_opt", 0.95).alias("p95"), (F.percentile("k_opt", 0.75) - F.percentile("k_opt", 0.25)).alias("iqr"),
-        ),
-        4,
-    )
+    return rounded(fits.spread(bootstrap_kopt(spark, sf_dir), "k_opt"), 4)
 
 
 _BOOT = (
