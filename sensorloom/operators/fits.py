@@ -6,7 +6,9 @@ empty), k is the parameter's column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators import robust
@@ -144,11 +146,11 @@ def per_metric_minima(normalised: DataFrame, by: list[str], weights: dict[str, f
 
 def histogram(df: DataFrame, by: list[str], col: str, bins: int = 30) -> DataFrame:
     """(by, bin, n): counts of equal bins between a group's least and largest value; the last bin holds its upper edge."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    width = (hi - lo) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1))).otherwise(0)
-    return df.withColumn("bin", at).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    ends = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+    return df.join(ends, same).withColumn("bin", at).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bootstrap_minima(values: DataFrame, by: list[str], draws: int, index: Column, weights: dict[str, float], value: str = "value", rescale: str | None = None) -> DataFrame:
