@@ -85,3 +85,39 @@ def test_nearest_segment_keeps_every_point(spark):
     got = series.nearest_segment(points, segs, ["run"], "x", "y", "seg_id", 0.5).orderBy("n").collect()
     assert [(r.n, r.seg if r.x is not None else None) for r in got] == [(1, 0), (1, 0), (2, 0), (3, 1), (4, None)]
     assert got[0].snap_x == 0.2 and got[0].snap_y == 0.0
+
+
+def test_layers_by_height_and_travel(spark):
+    """Four square layers at 30 mm/s, each begun by a travel to the far corner; heights are off by 5, spiky and late."""
+    text = "G90\nM83\nG1 F1800\n"
+    for k in range(4):
+        z = 0.2 * (k + 1)
+        text += f";LAYER_CHANGE\n;Z:{z:.1f}\nG0 X40 Y40 F9000\nG0 X10 Y10 Z{z:.1f} F9000\n;TYPE:Perimeter\nG1 F1800\nG1 X40 Y10 E1\nG1 X40 Y38 E1\nG1 X10 Y38 E1\nG1 X10 Y12 E1\n"
+    moves = gcode.moves(spark.createDataFrame([(r, text) for r in ("good", "noisy", "joined")], "run_id string, text string"))
+    rows = moves.where("run_id = 'good' and layer >= 0").orderBy("move_idx").toPandas()
+    t = np.arange(rows.t_start.iloc[0], rows.t_end.iloc[-1], 1 / 120)
+    knots = np.concatenate([[rows.t_start.iloc[0]], rows.t_end])
+    x, y = (np.interp(t, knots, np.concatenate([[rows[f"{a}0"].iloc[0]], rows[f"{a}1"]])) for a in "xy")
+    true = rows.layer.to_numpy()[np.clip(np.searchsorted(rows.t_end, t), 0, len(rows) - 1)]
+    rng = np.random.default_rng(4)
+    z = 5 + 0.2 * (np.concatenate([np.repeat(true[0], 12), true[:-12]]) + 1) + np.where(rng.random(len(t)) < 0.3, rng.uniform(-3, 3, len(t)), 0)
+    parts = []
+    for run, heights, since in (("good", z, 0), ("noisy", rng.uniform(0, 10, len(t)), 0), ("joined", z, int(np.argmax(true == 2)))):
+        for metric, v in (("loadcell_value", np.full(len(t), 900.0)), ("pos_x", x), ("pos_y", y), ("pos_z", heights)):
+            parts.append(g.signal(run, metric, t[since:], v[since:]))
+    signals = spark.createDataFrame(pd.concat(parts), g.SIGNAL)
+    start = spark.createDataFrame([("joined", 2)], "run_id string, start_layer int")
+    own = moves.where("run_id <> 'joined' or layer >= 2 or layer < 0")
+    got = livemap.on_print(signals, own, start).toPandas()
+    for run, right in (("good", 0.98), ("noisy", 0.9), ("joined", 0.98)):
+        part = got[got.run_id == run].sort_values("t")
+        want = true[np.clip(np.round((part.t - t[0]) * 120).astype(int), 0, len(true) - 1)]
+        assert (part.layer.diff().dropna() >= 0).all() and (part.layer == want).mean() > right, (run, (part.layer == want).mean())
+
+
+def test_boundaries_prefer_the_travel_to_the_layer_s_start():
+    ex = lambda begin, end, fits: {"begin": begin, "end": end, "fits": fits}
+    rows = [("r", 1, 100, 60, 1000, [90, 103], [ex(95, 99, False), ex(300, 310, True), ex(900, 910, True)]), ("r", 2, 320, 60, 1000, [309, 311, 330], None), ("r", 3, 400, 60, 1000, None, [ex(401, 405, True)]), ("r", 4, 1000, 60, 1000, None, None)]
+    got = livemap._boundaries(pd.DataFrame(rows, columns=["run_id", "layer", "c", "reach", "n", "ups", "exits"]).sample(frac=1, random_state=1))
+    # 103 is nearest and goes to the fitting travel; 309 and 311 are no longer free; without a rise the rough place stands
+    assert got[["idx", "layer"]].to_numpy().tolist() == [[310, 1], [330, 2], [400, 3], [999, 4]]
