@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.functions import lines, scalar
-from sensorloom.operators import fits, gcode, livemap, robust, series
+from sensorloom.operators import fits, gcode, livemap, probe, robust, series
+from sensorloom.plans import tables
 from sensorloom.queries.curves import _BOOT, _minimum, bootstrap_values, rounded, table
 from sensorloom.queries.series import _E, _TURNS, events
 from sensorloom.sources import runs
+from sensorloom.streaming import retime
 
 
 def axis_words(spark, sf_dir):
@@ -235,3 +237,44 @@ SELECT user_id, round(sum(a), 4) AS area FROM stp GROUP BY user_id""",
     "bootstrap_rescaled_summary": f"""WITH {_OWN_SCALE}, k AS (SELECT round(k_opt, 6) AS k FROM best)
 SELECT round(avg(k), 4) AS mean, round(median(k), 4) AS median, round(stddev_samp(k), 4) AS std, round(min(k), 4) AS least, round(max(k), 4) AS most, round(quantile_cont(k, 0.05), 4) AS p05, round(quantile_cont(k, 0.95), 4) AS p95, round(quantile_cont(k, 0.75) - quantile_cont(k, 0.25), 4) AS iqr FROM k""",
 }
+
+
+def probe_verdicts(spark, sf_dir):
+    """A verdict per supplier, its lines being the touches."""
+    k = F.col("l_suppkey")
+    found = table(spark, sf_dir, "lineitem").select(k.alias("run_id"), F.when(F.col("l_linenumber") % (k % 3 + 2) != 0, 0.6 + F.col("l_tax") * (k % 5)).alias("contact_pos"), F.col("l_extendedprice").alias("peak_force"), (F.col("l_quantity") * (k % 2 * 189)).alias("noise"))
+    return rounded(probe.verdicts(found, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 3).alias("run_id"))), 9)
+
+
+def planned_windows(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.lit(2.0).alias("min_flow"), (F.col("s_nationkey") % 7 + 5).cast("double").alias("max_flow"), F.lit(1.0).alias("step_flow"), F.lit(3.0).alias("dwell_s"), F.lit(10.0).alias("warmup_s"), F.lit(1.75).alias("filament_diameter"))
+    planned = tables.plan_windows(tables.flow_segments(s), F.col("run_id") * 100.0)
+    return planned.select("run_id", "level_idx", "t_lo", "t_hi")
+
+
+def _samples(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("user_id").alias("printer"), F.col("event_type").alias("name"), F.col("event_id").alias("packet"), F.floor("t").cast("double").alias("t"), (F.col("event_id") % 3).alias("lost"))
+
+
+def window_rates(spark, sf_dir):
+    got = retime.rates(_samples(spark, sf_dir), "1 hour")
+    return rounded(got.select(F.unix_seconds("start").alias("start_s"), "name", "n", "rate", "lost"), 9)
+
+
+def live_windows(spark, sf_dir):
+    return retime.live_window(_samples(spark, sf_dir), 200_000.0).select("printer", "packet")
+
+
+_PARTS = {f.__name__: f for f in (probe_verdicts, planned_windows, window_rates, live_windows)}
+QUERIES |= _PARTS
+ORACLES |= {
+    "probe_verdicts": """WITH f AS (SELECT l_suppkey AS run_id, CASE WHEN l_linenumber % (l_suppkey % 3 + 2) <> 0 THEN 0.6::DOUBLE + l_tax * (l_suppkey % 5) END AS pos, l_extendedprice AS peak, l_quantity * (l_suppkey % 2 * 189) AS noise FROM lineitem),
+g AS (SELECT run_id, count(*) AS n, count(pos) AS c, avg(pos) AS mean, CASE WHEN count(pos) > 1 THEN stddev_pop(pos) END AS std, coalesce(median(peak) / median(noise) FILTER (noise > 0), 0) AS snr FROM f GROUP BY 1),
+v AS (SELECT *, CASE WHEN snr >= 10 AND c / n >= 0.6 AND c > 0 AND coalesce(std, 0) <= 0.1 THEN 'usable' WHEN snr >= 4 AND c / n >= 0.4 THEN 'marginal' ELSE 'no clear signal' END AS verdict FROM g)
+SELECT s_suppkey + 3 AS run_id, coalesce(n, 0) AS n_touches_found, coalesce(c, 0) AS n_contacts, round(mean, 9) AS contact_pos_mean, round(std, 9) AS contact_pos_std, round(coalesce(snr, 0), 9) AS snr, coalesce(verdict, 'no creeps detected') AS verdict FROM supplier LEFT JOIN v ON run_id = s_suppkey + 3""",
+    "planned_windows": """WITH s AS (SELECT s_suppkey AS run_id, unnest(range(0, s_nationkey % 7 + 4)) AS i FROM supplier)
+SELECT run_id, CAST(i AS INTEGER) AS level_idx, (run_id * 100 + 10 + i * 3)::DOUBLE AS t_lo, (run_id * 100 + 13 + i * 3)::DOUBLE AS t_hi FROM s""",
+    "window_rates": f"""WITH {_E}, s AS (SELECT event_type AS name, floor(t)::DOUBLE AS t, event_id % 3 AS lost FROM e)
+SELECT CAST(floor(t / 3600) * 3600 AS BIGINT) AS start_s, name, count(*) AS n, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN round(count(*) / (max(t) - min(t)), 9) END AS rate, CAST(sum(lost) AS BIGINT) AS lost FROM s GROUP BY 1, 2""",
+    "live_windows": f"WITH {_E}, n AS (SELECT user_id, max(floor(t)) AS top FROM e GROUP BY 1) SELECT user_id AS printer, event_id AS packet FROM e JOIN n USING (user_id) WHERE floor(t) >= top - 200000",
+}
