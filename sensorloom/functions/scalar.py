@@ -136,13 +136,16 @@ def arc_points(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Col
     sweep = F.when(raw < 1e-9, turn).otherwise(raw)
     n = F.greatest(F.lit(1), F.ceil(r0 * sweep / step), F.ceil(sweep / F.radians(F.lit(degrees)))).cast("int")
     sign = F.when(clockwise, -1.0).otherwise(1.0)
+    # bound once, so that points don't work the circle out anew
+    circle = F.struct(cx.alias("cx"), cy.alias("cy"), r0.alias("r"), a0.alias("a"), (sign * sweep / n).alias("step"), n.alias("n"), x1.alias("x1"), y1.alias("y1"))
 
-    def point(k: Column) -> Column:
-        angle = a0 + sign * sweep * k / n
-        return F.struct(F.when(k == n, x1).otherwise(cx + r0 * F.cos(angle)).alias("x"), F.when(k == n, y1).otherwise(cy + r0 * F.sin(angle)).alias("y"))
+    def points(c: Column) -> Column:
+        last = lambda k: k == c["n"]
+        angle = lambda k: c["a"] + c["step"] * k
+        return F.transform(F.sequence(F.lit(1), c["n"]), lambda k: F.struct(F.when(last(k), c["x1"]).otherwise(c["cx"] + c["r"] * F.cos(angle(k))).alias("x"), F.when(last(k), c["y1"]).otherwise(c["cy"] + c["r"] * F.sin(angle(k))).alias("y")))
 
     fits = (r0 > 1e-9) & (F.abs(r0 - r1) <= F.greatest(F.lit(0.05), 0.01 * r0))
-    return F.when(fits, F.transform(F.sequence(F.lit(1), n), point))
+    return F.when(fits, F.transform(F.array(circle), points)[0])
 
 
 def first_of(fields: Column, *keys: str) -> Column:
