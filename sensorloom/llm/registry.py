@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import hnsw, html, licenses, media, mixing, packing, quality, simhash, tokencount, tokenfiles
+from sensorloom.llm import collocations, hnsw, html, licenses, media, mixing, packing, quality, simhash, tokencount, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": media.op8_media_columns,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_html_extraction": html.op10_html_extraction,
+    "op11_collocations": collocations.op11_collocations,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op11_collocations": collocations.SQL}
