@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import collocations, hnsw, html, licenses, media, mixing, packing, quality, simhash, tokencount, tokenfiles
+from sensorloom.llm import collocations, hnsw, html, licenses, media, merkle, mixing, packing, quality, simhash, tokencount, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -20,5 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_html_extraction": html.op10_html_extraction,
     "op11_collocations": collocations.op11_collocations,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op11_collocations": collocations.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op11_collocations": collocations.SQL, "op13_merkle_manifest": merkle.SQL}
