@@ -125,27 +125,40 @@ def weights(text: Column, known: list[str]) -> Column:
     return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown weight: "), F.array_join(odd, ", "))).cast("map<string,double>")).otherwise(pairs)
 
 
-def arc_points(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column, step: float = 0.5, degrees: float = 10.0) -> Column:
-    """The points of an arc around (x0 + i, y0 + j), at most `step` and `degrees` apart, the exact end last; null where
-    start and end differ in radius by more than 0.05 mm or 1 %."""
+def _circle(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column) -> Column:
+    """struct(cx, cy, r, a, sweep) of an arc around (x0 + i, y0 + j), sweep signed; null where start and end differ in
+    radius by more than 0.05 mm or 1 %, or where there is no way from one to the other."""
     cx, cy = x0 + i, y0 + j
     r0, r1 = F.hypot(i, j), F.hypot(x1 - cx, y1 - cy)
     a0, a1 = F.atan2(y0 - cy, x0 - cx), F.atan2(y1 - cy, x1 - cx)
     turn = 2 * F.pi()
     raw = F.when(clockwise, F.pmod(a0 - a1, turn)).otherwise(F.pmod(a1 - a0, turn))
-    sweep = F.when(raw < 1e-9, turn).otherwise(raw)
-    n = F.greatest(F.lit(1), F.ceil(r0 * sweep / step), F.ceil(sweep / F.radians(F.lit(degrees)))).cast("int")
-    sign = F.when(clockwise, -1.0).otherwise(1.0)
+    back = F.hypot(x1 - x0, y1 - y0) <= 1e-9
+    sweep = F.when((raw <= 1e-12) & back, turn).otherwise(raw)
+    fits = (r0 > 1e-9) & (F.abs(r0 - r1) <= F.greatest(F.lit(0.05), 0.01 * F.greatest(r0, r1))) & (sweep > 1e-12)
+    return F.when(fits, F.struct(cx.alias("cx"), cy.alias("cy"), ((r0 + r1) / 2).alias("r"), a0.alias("a"), (F.when(clockwise, -sweep).otherwise(sweep)).alias("sweep")))
+
+
+def arc_length(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column) -> Column:
+    """The way along an arc; null where arc_points() is."""
+    c = _circle(x0, y0, x1, y1, i, j, clockwise)
+    return c["r"] * F.abs(c["sweep"])
+
+
+def arc_points(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column, step: float = 0.5, degrees: float = 10.0) -> Column:
+    """The points of an arc around (x0 + i, y0 + j), at most `step` and `degrees` apart, the exact end last; null where
+    start and end differ in radius by more than 0.05 mm or 1 %, or where there is no way from one to the other."""
     # bound once, so that points don't work the circle out anew
-    circle = F.struct(cx.alias("cx"), cy.alias("cy"), r0.alias("r"), a0.alias("a"), (sign * sweep / n).alias("step"), n.alias("n"), x1.alias("x1"), y1.alias("y1"))
+    circle = F.array(_circle(x0, y0, x1, y1, i, j, clockwise))
+    pieces = lambda c: F.greatest(F.lit(1), F.ceil(c["r"] * F.abs(c["sweep"]) / step), F.ceil(F.abs(c["sweep"]) / F.radians(F.lit(degrees)))).cast("int")
+    bound = F.transform(circle, lambda c: F.when(c.isNotNull(), F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), c["r"].alias("r"), c["a"].alias("a"), (c["sweep"] / pieces(c)).alias("step"), pieces(c).alias("n"))))
 
     def points(c: Column) -> Column:
         last = lambda k: k == c["n"]
         angle = lambda k: c["a"] + c["step"] * k
-        return F.transform(F.sequence(F.lit(1), c["n"]), lambda k: F.struct(F.when(last(k), c["x1"]).otherwise(c["cx"] + c["r"] * F.cos(angle(k))).alias("x"), F.when(last(k), c["y1"]).otherwise(c["cy"] + c["r"] * F.sin(angle(k))).alias("y")))
+        return F.when(c.isNotNull(), F.transform(F.sequence(F.lit(1), c["n"]), lambda k: F.struct(F.when(last(k), x1).otherwise(c["cx"] + c["r"] * F.cos(angle(k))).alias("x"), F.when(last(k), y1).otherwise(c["cy"] + c["r"] * F.sin(angle(k))).alias("y"))))
 
-    fits = (r0 > 1e-9) & (F.abs(r0 - r1) <= F.greatest(F.lit(0.05), 0.01 * r0))
-    return F.when(fits, F.transform(F.array(circle), points)[0])
+    return F.transform(bound, points)[0]
 
 
 def first_of(fields: Column, *keys: str) -> Column:

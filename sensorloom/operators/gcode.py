@@ -1,4 +1,10 @@
-"""Programs as tables of moves: a modal, line-ordered language, so one task reads one whole file.
+"""Programs as tables of moves.
+
+What a line of a program means depends on the lines before it: modes, feed,
+acceleration, position, feature and layer.  Each of these is a segmented scan
+over a program's lines: a mode is the last word that set it, a position is the
+sum of the relative words since the word that set it last, and a layer's
+number counts the moves that open one.
 
 files: run_id, text.  moves: see MOVES; layers: run_id, layer, z, move_lo,
 move_hi (half open).
@@ -6,155 +12,167 @@ move_hi (half open).
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOVES = "run_id string, move_idx int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, e double, feed_mm_s double, feature string, layer int, extruding boolean, length_mm double, t_start double, t_end double, layer_z double, first boolean"
-_WORD = re.compile(r"([A-Za-z])\s*([-+]?(?:\d+\.?\d*|\.\d+))")
-
-
-def move_time(distance: float, speed: float, accel: float) -> float:
-    if distance <= 1e-9 or speed <= 1e-9:
-        return 0.0
-    accel = accel if accel > 0 else 2000.0
-    ramp = speed * speed / (2 * accel)
-    return 2 * speed / accel + (distance - 2 * ramp) / speed if 2 * ramp <= distance else 2 * math.sqrt(distance / accel)
-
-
-def arc(x0: float, y0: float, x1: float, y1: float, i: float, j: float, clockwise: bool) -> list[tuple[float, float]] | None:
-    """Points along an arc, its exact end last; None if start and end lie at different radii."""
-    cx, cy, r0 = x0 + i, y0 + j, math.hypot(i, j)
-    if r0 < 1e-9 or abs(math.hypot(x1 - cx, y1 - cy) - r0) > max(0.05, 0.01 * r0):
-        return None
-    a0, a1 = math.atan2(y0 - cy, x0 - cx), math.atan2(y1 - cy, x1 - cx)
-    sweep = (a0 - a1 if clockwise else a1 - a0) % math.tau or math.tau
-    n = max(1, math.ceil(r0 * sweep / 0.5), math.ceil(sweep / math.radians(10)))
-    turn = -sweep / n if clockwise else sweep / n
-    return [*((cx + r0 * math.cos(a0 + k * turn), cy + r0 * math.sin(a0 + k * turn)) for k in range(1, n)), (x1, y1)]
-
-
-@dataclass
-class _Machine:
-    """What a line means depends on all of this."""
-
-    at: dict[str, float] = field(default_factory=lambda: {"X": 0.0, "Y": 0.0, "Z": 0.0})
-    e: float = 0.0
-    absolute: bool = True
-    e_absolute: bool = True
-    plane: int = 17
-    centre_absolute: bool = False
-    feed: float = 20.0  # 1200 mm/min
-    feature: str = ""
-    print_accel: float = 2000.0
-    travel_accel: float = 2000.0
-    layer: int = -1
-    layer_z: float | None = None
-    pending: bool = False
-    marked_z: float | None = None
-    t: float = 0.0
-
-
-def parse(text: str, accel: float = 2000.0) -> list[tuple]:
-    """Moves in order, without the run id; one command may give several (arcs), of which the first is marked."""
-    m = _Machine(print_accel=accel, travel_accel=accel)
-    marked = ";LAYER_CHANGE" in text
-    out: list[tuple] = []
-    for raw in text.splitlines():
-        code, _, note = raw.partition(";")
-        if note and not code.strip():
-            if note.startswith("TYPE:"):
-                m.feature = note[5:].strip()
-            elif note.strip() == "LAYER_CHANGE":
-                m.pending, m.marked_z = True, None
-            elif note.startswith("Z:"):
-                try:
-                    m.marked_z = float(note[2:])
-                except ValueError:
-                    pass
-            continue
-        code = code.strip().upper()
-        if not code:
-            continue
-        command, _, rest = code.partition(" ")
-        words = {a: float(v) for a, v in _WORD.findall(rest)}
-        if command in ("G90", "G91"):
-            m.absolute = command == "G90"  # the extruder's mode is M82's and M83's alone
-        elif command in ("M82", "M83"):
-            m.e_absolute = command == "M82"
-        elif command in ("G17", "G18", "G19"):
-            m.plane = int(command[1:])
-        elif command in ("G90.1", "G91.1"):
-            m.centre_absolute = command == "G90.1"
-        elif command == "G92":
-            for a in "XYZ":
-                if a in words:
-                    m.at[a] = words[a]
-            m.e = words.get("E", m.e)
-        elif command == "M204":
-            if "S" in words:
-                m.print_accel = words["S"]
-                m.travel_accel = words.get("T", words["S"])
-            m.print_accel, m.travel_accel = words.get("P", m.print_accel), words.get("T", m.travel_accel)
-        elif command in ("G0", "G1", "G2", "G3", "G00", "G01", "G02", "G03"):
-            _move(m, int(command[1:]), words, marked, out)
-    return out
-
-
-def _move(m: _Machine, kind: int, words: dict[str, float], marked: bool, out: list[tuple]) -> None:
-    if "F" in words:
-        m.feed = words["F"] / 60
-    start = dict(m.at)
-    end = {a: (words[a] if m.absolute else m.at[a] + words[a]) if a in words else m.at[a] for a in "XYZ"}
-    de = 0.0
-    if "E" in words:
-        de = words["E"] - m.e if m.e_absolute else words["E"]
-        m.e += de
-    points = None
-    if kind in (2, 3) and m.plane == 17 and ("I" in words or "J" in words):
-        i, j = words.get("I", 0.0), words.get("J", 0.0)
-        if m.centre_absolute:
-            i, j = i - start["X"], j - start["Y"]
-        points = arc(start["X"], start["Y"], end["X"], end["Y"], i, j, kind == 2)
-    points = points or [(end["X"], end["Y"])]
-    n = len(points)
-    path = [(start["X"], start["Y"], start["Z"]), *((x, y, start["Z"] + (end["Z"] - start["Z"]) * (k + 1) / n) for k, (x, y) in enumerate(points))]
-    lengths = [math.dist(a, b) for a, b in zip(path, path[1:])]
-    total = sum(lengths)
-    extruding = de > 1e-6 and total > 1e-9
-    if extruding:
-        new = m.pending if marked else m.layer_z is None or end["Z"] > m.layer_z + 0.02
-        if new:
-            m.layer += 1
-            m.layer_z = m.marked_z if marked and m.marked_z is not None else end["Z"]
-            m.pending = False
-    if total > 1e-9 or de:
-        seconds = move_time(total, m.feed, m.print_accel if extruding else m.travel_accel)
-        for k, (a, b, size) in enumerate(zip(path, path[1:], lengths)):
-            share = size / total if total > 0 else 1 / n
-            stop = m.t + seconds * share
-            out.append((len(out), *a, *b, de * share, m.feed, m.feature, m.layer, extruding, size, m.t, stop, m.layer_z if m.layer >= 0 else None, k == 0))
-            m.t = stop
-    m.at = end
-
-
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.strip().split()[0] for c in MOVES.split(",")]
-    for pdf in batches:
-        for run, text in zip(pdf.run_id, pdf.text):
-            yield pd.DataFrame([(run, *row) for row in parse(text or "")], columns=names)
-
-
-def moves(files: DataFrame) -> DataFrame:
-    """All files' moves.  Files that are binary (magic GCDE) are an error."""
+from sensorloom.functions import scalar
+
+MOVES = "run_id string, move_idx int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, e double, feed_mm_s double, feature string, layer int, extruding boolean, length_mm double, t_start double, t_end double, layer_z double, first boolean, line int"
+_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+#: Rise of an extruding move, in mm, that opens a layer where a program has no layer marks.
+RISE = 0.02
+
+
+def words(files: DataFrame) -> DataFrame:
+    """One row for each line of a program that can matter, with its parts.
+
+    run_id, file (one number for each row of files), line (from 0), marked
+    (whether the program marks its layers), code (in upper case; null for a
+    comment), the words X Y Z E F I J P S T (the last one of a letter that is
+    a number), feature, mark and note_z of comments.
+    """
     binary = F.col("text").startswith("GCDE")
     text = F.when(binary, F.raise_error(F.concat(F.lit("a binary program: "), F.col("run_id"))).cast("string")).otherwise(F.col("text"))
-    return files.select("run_id", text.alias("text")).mapInPandas(_parse_files, MOVES)
+    marked = F.upper("text").contains(";LAYER_CHANGE")
+    numbered = files.select("run_id", F.monotonically_increasing_id().alias("file"), marked.alias("marked"), text.alias("text"))
+    lines = numbered.select("run_id", "file", "marked", F.posexplode(F.split("text", _ENDS)).alias("line", "raw"))
+    lines = lines.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("raw <> ''")
+    note = F.col("raw").startswith(";")
+    parts = F.split(F.regexp_replace(F.regexp_replace("raw", ";.*$", ""), r"\s+$", ""), r"\s+")
+    pairs = F.transform(F.filter(F.slice(parts, 2, 1 << 20), lambda p: F.substring(p, 2, 1 << 20).rlike(_NUMBER)), lambda p: F.struct(F.upper(F.substring(p, 1, 1)).alias("a"), F.substring(p, 2, 1 << 20).cast("double").alias("v")))
+    parsed = lines.withColumns({"code": F.when(~note, F.upper(parts[0])), "_pairs": F.when(~note, pairs)})
+    feature = F.nullif(F.regexp_extract("raw", r"(?i)^;\s*TYPE:\s*(.+)$", 1), F.lit(""))
+    note_z = F.nullif(F.regexp_extract("raw", r"(?i)^;\s*Z:\s*([0-9]*\.?[0-9]+)", 1), F.lit("")).cast("double")
+
+    def word(axis: str) -> Column:
+        return F.try_element_at(F.filter("_pairs", lambda p: p["a"] == axis), F.lit(-1))["v"]
+
+    axes = {a: word(a) for a in "XYZEFIJPST"}
+    notes = {"feature": F.when(note, feature), "mark": note & F.upper("raw").startswith(";LAYER_CHANGE"), "note_z": F.when(note, note_z)}
+    known = F.col("code").isin("G0", "G1", "G2", "G3", "G00", "G01", "G02", "G03", "G17", "G18", "G19", "G90", "G91", "G90.1", "G91.1", "G92", "M82", "M83", "M204")
+    return parsed.withColumns(axes | notes).where(known | F.col("feature").isNotNull() | F.col("mark") | F.col("note_z").isNotNull()).drop("raw", "_pairs")
+
+
+def _placed(df: DataFrame, axis: str, move: Column, absolute: Column) -> DataFrame:
+    """Adds the axis' place before and after each line: in each stretch from one word that sets it to the next, the running sum."""
+    w = Window.partitionBy("run_id", "file").orderBy("line")
+    sets = F.when((F.col("code") == "G92") | move & absolute, F.col(axis))
+    adds = F.when(move & ~absolute, F.col(axis))
+    df = df.withColumns({"_set": sets, "_add": F.coalesce(sets, adds)})
+    df = df.withColumn("_stretch", F.count("_set").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("run_id", "file", "_stretch").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    name = axis.lower()
+    df = df.withColumn(f"{name}1", F.coalesce(F.sum("_add").over(along), F.lit(0.0)))
+    return df.withColumn(f"{name}0", F.lag(f"{name}1", 1, 0.0).over(w)).drop("_set", "_add", "_stretch")
+
+
+def commands(files: DataFrame, accel: float = 2000.0) -> DataFrame:
+    """One row for each motion command, with all that it depends on.
+
+    run_id, file, line, x0 ... z1, e, feed_mm_s, feature, extruding,
+    length_mm (the way in the plane, else the rise, else the filament), t_start, t_end, layer, layer_z,
+    points (the ends of its straight pieces).
+    """
+    w = Window.partitionBy("run_id", "file").orderBy("line")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    code = F.col("code")
+    move = F.coalesce(code.isin("G0", "G1", "G2", "G3", "G00", "G01", "G02", "G03"), F.lit(False))
+
+    def mode(value: Column, start) -> Column:
+        return F.coalesce(F.last(value, ignorenulls=True).over(upto), F.lit(start))
+
+    m204 = code == "M204"
+    df = words(files).withColumns(
+        {
+            "_absolute": mode(F.when(code.isin("G90", "G91"), code == "G90"), True),
+            "_e_absolute": mode(F.when(code.isin("M82", "M83"), code == "M82"), True),
+            "_flat": mode(F.when(code.isin("G17", "G18", "G19"), code == "G17"), True),
+            "_centre": mode(F.when(code.isin("G90.1", "G91.1"), code == "G91.1"), True),
+            "_feed": mode(F.when(move, F.col("F")), 1200.0) / 60,
+            "_print": mode(F.when(m204, F.coalesce("S", "P")), accel),
+            "_travel": mode(F.when(m204, F.coalesce("T", "S")), accel),
+            "_type": mode(F.col("feature"), ""),
+            "_marks": F.count(F.when(F.col("mark"), 1)).over(upto),
+        }
+    )
+    for axis in "XYZ":
+        df = _placed(df, axis, move, F.col("_absolute"))
+    df = _placed(df, "E", move, F.col("_e_absolute"))
+    de = F.when(move & F.col("E").isNotNull(), F.when(F.col("_e_absolute"), F.col("E") - F.col("e0")).otherwise(F.col("E"))).otherwise(0.0)
+    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    i, j = F.coalesce("I", F.lit(0.0)), F.coalesce("J", F.lit(0.0))
+    clockwise = code.isin("G2", "G02")
+    round_ = code.isin("G2", "G3", "G02", "G03") & F.col("_flat") & F.col("_centre") & (F.col("I").isNotNull() | F.col("J").isNotNull())
+    df = df.withColumns({"e": de, "_arc": F.when(round_, scalar.arc_length(*ends, i, j, clockwise))})
+    df = df.withColumn("_way", F.coalesce("_arc", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
+    extruding = move & (F.col("e") > 1e-6) & (F.col("_way") > 1e-9)
+    rise = F.abs(F.col("z1") - F.col("z0"))
+    length = F.when(F.col("_way") > 1e-9, F.col("_way")).when(rise > 1e-9, rise).otherwise(F.abs("e"))
+    df = df.withColumns({"extruding": extruding, "length_mm": length})
+    # in programs with marks, the first extruding move after one opens a layer; its height is the last one noted since
+    seen = F.coalesce(F.last(F.when(F.col("extruding"), F.col("_marks")), ignorenulls=True).over(before), F.lit(0))
+    noted = F.last("note_z", ignorenulls=True).over(Window.partitionBy("run_id", "file", "_marks").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.count(F.when(F.col("extruding"), 1)).over(upto)
+    df = df.withColumns({"_opens": F.col("marked") & F.col("extruding") & (F.col("_marks") > seen), "_noted": F.coalesce(noted, F.col("z1")), "_nth": nth})
+    # without marks, only moves higher than all before can open one (the first has a rule of its own)
+    higher = F.col("z1") > F.coalesce(F.max(F.when(F.col("extruding") & (F.col("_nth") > 1), F.col("z1"))).over(before), F.lit(float("-inf")))
+    df = df.withColumn("_may", ~F.col("marked") & F.col("extruding") & ((F.col("_nth") == 1) | higher))
+    df = df.join(_risen(df), ["run_id", "file", "line"], "left")
+    df = df.withColumn("_z", F.when(F.col("_opens"), F.col("_noted")).otherwise(F.col("_risen_z")))
+    seconds = F.when(move, scalar.move_time(F.col("length_mm"), F.col("_feed"), F.when(F.col("extruding"), F.col("_print")).otherwise(F.col("_travel")))).otherwise(0.0)
+    df = df.withColumns({"layer": (F.count("_z").over(upto) - 1).cast("int"), "layer_z": F.last("_z", ignorenulls=True).over(upto), "_s": seconds})
+    df = df.withColumn("t_end", F.sum("_s").over(upto)).withColumn("t_start", F.coalesce(F.lag("t_end").over(w), F.lit(0.0)))
+    chord = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))
+    points = F.when(F.col("_arc").isNotNull(), scalar.arc_points(*ends, i, j, clockwise)).otherwise(chord)
+    return df.where(move).select("run_id", "file", "line", "x0", "y0", "z0", "x1", "y1", "z1", "e", F.col("_feed").alias("feed_mm_s"), F.col("_type").alias("feature"), "extruding", "length_mm", "t_start", "t_end", "layer", "layer_z", points.alias("points"))
+
+
+def _risen(df: DataFrame) -> DataFrame:
+    """(run_id, file, line, _risen_z): the moves that open layers where nothing marks them.
+
+    The first one opens a layer at the height noted before it, if any; then
+    each that lies more than RISE above the last layer.  Which those are is
+    settled one after the other, over a program's record heights only.
+    """
+    may = df.where("_may").groupBy("run_id", "file").agg(F.sort_array(F.collect_list(F.struct("line", "z1", F.when(F.col("_nth") == 1, F.col("_noted")).alias("noted")))).alias("c"))
+    none = F.struct(F.lit(None).cast("double").alias("z"), F.expr("cast(array() as array<struct<line:int,z:double>>)").alias("open"))
+
+    def step(acc: Column, c: Column) -> Column:
+        z = F.coalesce(c["noted"], c["z1"])
+        opens = acc["z"].isNull() | (c["z1"] > acc["z"] + RISE)
+        return F.when(opens, F.struct(z.alias("z"), F.array_append(acc["open"], F.struct(c["line"].alias("line"), z.alias("z"))).alias("open"))).otherwise(acc)
+
+    opened = may.select("run_id", "file", F.explode(F.aggregate("c", none, step)["open"]).alias("o"))
+    return opened.select("run_id", "file", "o.line", F.col("o.z").alias("_risen_z"))
+
+
+def moves(files: DataFrame, accel: float = 2000.0) -> DataFrame:
+    """All files' moves, in straight pieces: an arc gives several, of which the first is marked.
+
+    Files that are binary (magic GCDE) are an error; null and empty ones give
+    no moves; lines that aren't understood are left out.
+    """
+    c = commands(files, accel)
+    n = F.size("points")
+    along = Window.partitionBy("run_id", "file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_base", F.coalesce(F.sum(n).over(along), F.lit(0)))
+    pieces = c.select("*", n.alias("_n"), F.posexplode("points").alias("_k", "_p"))
+    k, last = F.col("_k"), F.col("_k") + 1 == F.col("_n")
+    before = F.when(k > 0, F.col("points")[k - 1])
+
+    def height(part: Column) -> Column:
+        return F.col("z0") + (F.col("z1") - F.col("z0")) * part / F.col("_n")
+
+    def moment(part: Column) -> Column:
+        return F.col("t_start") + (F.col("t_end") - F.col("t_start")) * part / F.col("_n")
+
+    return pieces.select(
+        "run_id", (F.col("_base") + k).cast("int").alias("move_idx"), F.coalesce(before["x"], F.col("x0")).alias("x0"), F.coalesce(before["y"], F.col("y0")).alias("y0"), height(k).alias("z0"),
+        F.col("_p.x").alias("x1"), F.col("_p.y").alias("y1"), F.when(last, F.col("z1")).otherwise(height(k + 1)).alias("z1"), (F.col("e") / F.col("_n")).alias("e"), "feed_mm_s", "feature", "layer", "extruding",
+        (F.col("length_mm") / F.col("_n")).alias("length_mm"), moment(k).alias("t_start"), F.when(last, F.col("t_end")).otherwise(moment(k + 1)).alias("t_end"), F.when(F.col("layer") >= 0, F.col("layer_z")).alias("layer_z"), (k == 0).alias("first"), "line",
+    )
 
 
 def layers(moves: DataFrame) -> DataFrame:

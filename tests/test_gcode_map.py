@@ -2,8 +2,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sensorloom.functions import scalar
 from sensorloom.operators import gcode, livemap
 from tests import generators as g
+from tests import plain_program
 
 
 def program():
@@ -23,12 +25,18 @@ def test_parse_layers_and_box(spark):
     assert [(r.feature, len(r.points)) for r in lines] == [("Perimeter", 5), ("Infill", 2)] * 2
 
 
-def test_modes_and_arcs():
-    rows = gcode.parse("M83\nG91\nG1 X5 E1\nG1 X5 E1\nG90\nG92 X0 Y0\nG2 X10 Y0 I5 J0 E2 F600\nG1 X10 Y1 E-1")
+def parsed(spark, text):
+    """One program's moves as tuples, without run_id and line."""
+    return [tuple(r)[1:-1] for r in gcode.moves(spark.createDataFrame([("p", text)], "run_id string, text string")).orderBy("move_idx").collect()]
+
+
+def test_modes_and_arcs(spark):
+    rows = parsed(spark, "M83\nG91\nG1 X5 E1\nG1 X5 E1\nG90\nG92 X0 Y0\nG2 X10 Y0 I5 J0 E2 F600\nG1 X10 Y1 E-1")
     assert rows[0][1:7] == (0, 0, 0, 5, 0, 0) and rows[1][4] == 10
     pieces = [r for r in rows if abs(r[4]) <= 10.001 and r[0] >= 2]
     assert abs(sum(r[12] for r in pieces[:-1]) - 5 * np.pi) < 0.05 and sum(r[17 - 1] for r in rows) == 4
-    assert gcode.arc(0, 0, 12, 0, 5, 0, True) is None
+    points = scalar.arc_points(*map(F.lit, (0.0, 0.0, 12.0, 0.0, 5.0, 0.0)), F.lit(True))
+    assert spark.range(1).select(points).first()[0] is None
 
 
 def test_map(spark):
@@ -54,8 +62,8 @@ def test_map(spark):
     assert far < 0.02 * mapped.count()
 
 
-def test_positioning_leaves_the_extruder_s_mode_alone():
-    extruded = lambda text: [r for r in gcode.parse(text)]
+def test_positioning_leaves_the_extruder_s_mode_alone(spark):
+    extruded = lambda text: parsed(spark, text)
     a = extruded("M83\nG90\nG1 X1 E1\nG1 X2 E1")
     b = extruded("M82\nG91\nG1 X1 E1\nG1 X1 E2")
     assert len(a) == len(b) == 2 and all(r[16] for r in (*a, *b))
@@ -121,3 +129,44 @@ def test_boundaries_prefer_the_travel_to_the_layer_s_start():
     got = livemap._boundaries(pd.DataFrame(rows, columns=["run_id", "layer", "c", "reach", "n", "ups", "exits"]).sample(frac=1, random_state=1))
     # 103 is nearest and goes to the fitting travel; 309 and 311 are no longer free; without a rise the rough place stands
     assert got[["idx", "layer"]].to_numpy().tolist() == [[310, 1], [330, 2], [400, 3], [999, 4]]
+
+
+def _close(a, b):
+    return a == b if not isinstance(a, float) or b is None else abs(a - b) < 1e-9
+
+
+def test_programs_like_a_plain_reader(spark):
+    """Random programs of all commands, in odd spellings, against a machine that reads them line by line."""
+    rng = np.random.default_rng(11)
+    number = lambda lo, hi: f"{rng.uniform(lo, hi):.2f}"
+
+    def line(marks):
+        u = lambda *some: some[rng.integers(len(some))]
+        kinds = [
+            lambda: u("G90", "g91", "G91", "M82", "M83", "G17", "G18", "G90.1", "G91.1", "G91.1", "G17"),
+            lambda: u(f"G92 E{number(0, 2)}", f"G92 X{number(0, 9)} Z{number(0, 3)}", "G92 Y1", "G92 E0"),
+            lambda: u("M204 P800 S1200", "M204 T1500", "M204 P900", "M204 S700", "M204 T300 S600"),
+            lambda: u(";TYPE:Perimeter", "; type: Solid infill  ", ";TYPE:", "  ;Type:Skirt"),
+            lambda: u(f";Z:{number(0, 3)}", f"; z: {number(0, 3)} mm", ";Z:-1", ";Z:x"),
+            lambda: u(";LAYER_CHANGE", ";layer_change", ";LAYER_CHANGE 3", "; LAYER_CHANGE") if marks else ";nothing",
+            lambda: u(f"G1 E-{number(0, 2)} F2400", f"G1 E{number(0, 2)}", f"G1 Z{number(0, 2)}", f"G1 Z{number(0, 2)} E1", f"G1 F{number(600, 9000)}", "G4 P100", "G1X5", "G1 Xa Y", ""),
+            lambda: u(f"G2 I{number(-3, 3)} J1 E.5", f"G3 X{number(0, 9)} Y{number(0, 9)} I3 J0", f"G2 X6 Y0 I3 J0 E{number(0, 1)}", "G03 X4 I2 E1", "G2 R5 X3"),
+            lambda: f"G0\tX{number(0, 20)} Y{number(0, 20)} F9000",
+            lambda: f"  g1 X{number(0, 20)} Y{number(0, 20)} E{number(0, 3)} ; X99",
+            lambda: f"G1 X{number(0, 20)} X1.5 Y+2 E{number(0, 3)} F1800",
+            lambda: f"G01 Y{number(0, 20)} Z{number(0, 4)} E{number(0, 9)}",
+        ]
+        return kinds[rng.integers(len(kinds))]()
+
+    texts = {f"p{k}": "\r\n".join(line(k % 3 > 0) for _ in range(rng.integers(1, 220))) for k in range(60)}
+    texts |= {"empty": "", "spiral": "\n".join(["M83", *(f"G1 X{i % 7} Y{i % 5} Z{i * 0.003:.3f} E.1" for i in range(300))]), "low first": ";Z:0.1\nM83\nG1 X1 Z0.3 E1\nG1 X2 E1\nG1 X3 Z0.31 E1\nG1 X4 Z.4 E1"}
+    rows = {}
+    for r in gcode.moves(spark.createDataFrame([*texts.items(), ("null", None)], "run_id string, text string")).orderBy("run_id", "move_idx").collect():
+        rows.setdefault(r.run_id, []).append(tuple(r)[1:-1])
+    want = {k: got for k, t in texts.items() if (got := plain_program.parse(t))}
+    assert rows.keys() == want.keys()
+    for k in want:
+        assert len(rows[k]) == len(want[k]), k
+        for a, b in zip(rows[k], want[k]):
+            assert all(map(_close, a, b)), (k, a, b)
+    assert max(r[10] for r in want["spiral"]) > 30
