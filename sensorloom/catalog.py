@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.queries import analyses, curves, parts, series
+from sensorloom.queries import analyses, curves, parts, programs, series
 
-_MODULES = (curves, series, analyses, parts)
+_MODULES = (curves, series, analyses, parts, programs)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -125,33 +125,40 @@ def weights(text: Column, known: list[str]) -> Column:
     return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown weight: "), F.array_join(odd, ", "))).cast("map<string,double>")).otherwise(pairs)
 
 
-def _circle(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column) -> Column:
+def circle(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column) -> Column:
     """struct(cx, cy, r, a, sweep) of an arc around (x0 + i, y0 + j), sweep signed; null where start and end differ in
     radius by more than 0.05 mm or 1 %, or where there is no way from one to the other."""
-    cx, cy = x0 + i, y0 + j
-    r0, r1 = F.hypot(i, j), F.hypot(x1 - cx, y1 - cy)
-    a0, a1 = F.atan2(y0 - cy, x0 - cx), F.atan2(y1 - cy, x1 - cx)
+    ends = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), (x0 + i).alias("cx"), (y0 + j).alias("cy"), F.hypot(i, j).alias("r0"), F.coalesce(clockwise, F.lit(False)).alias("cw"))
     turn = 2 * F.pi()
-    raw = F.when(clockwise, F.pmod(a0 - a1, turn)).otherwise(F.pmod(a1 - a0, turn))
-    back = F.hypot(x1 - x0, y1 - y0) <= 1e-9
-    sweep = F.when((raw <= 1e-12) & back, turn).otherwise(raw)
-    fits = (r0 > 1e-9) & (F.abs(r0 - r1) <= F.greatest(F.lit(0.05), 0.01 * F.greatest(r0, r1))) & (sweep > 1e-12)
-    return F.when(fits, F.struct(cx.alias("cx"), cy.alias("cy"), ((r0 + r1) / 2).alias("r"), a0.alias("a"), (F.when(clockwise, -sweep).otherwise(sweep)).alias("sweep")))
 
+    # each step is bound once, as later ones use it several times
+    def angles(e: Column) -> Column:
+        a0, a1 = F.atan2(e["y0"] - e["cy"], e["x0"] - e["cx"]), F.atan2(e["y1"] - e["cy"], e["x1"] - e["cx"])
+        way = F.pmod(F.when(e["cw"], a0 - a1).otherwise(a1 - a0), turn)
+        back = F.hypot(e["x1"] - e["x0"], e["y1"] - e["y0"]) <= 1e-9
+        return F.struct(e["cx"].alias("cx"), e["cy"].alias("cy"), e["r0"].alias("r0"), F.hypot(e["x1"] - e["cx"], e["y1"] - e["cy"]).alias("r1"), a0.alias("a"), e["cw"].alias("cw"), way.alias("way"), back.alias("back"))
 
-def arc_length(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column) -> Column:
-    """The way along an arc; null where arc_points() is."""
-    c = _circle(x0, y0, x1, y1, i, j, clockwise)
+    def found(g: Column) -> Column:
+        way = F.when((g["way"] <= 1e-12) & g["back"], turn).otherwise(g["way"])
+        fits = (g["r0"] > 1e-9) & (F.abs(g["r0"] - g["r1"]) <= F.greatest(F.lit(0.05), 0.01 * F.greatest(g["r0"], g["r1"]))) & (way > 1e-12)
+        return F.when(fits, F.struct(g["cx"].alias("cx"), g["cy"].alias("cy"), ((g["r0"] + g["r1"]) / 2).alias("r"), g["a"].alias("a"), (F.when(g["cw"], -way).otherwise(way)).alias("sweep")))
+
+    return F.transform(F.transform(F.array(ends), angles), found)[0]
+
+
+def arc_length(c: Column) -> Column:
+    """The way along an arc that circle() gives."""
     return c["r"] * F.abs(c["sweep"])
 
 
-def arc_points(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column, step: float = 0.5, degrees: float = 10.0) -> Column:
-    """The points of an arc around (x0 + i, y0 + j), at most `step` and `degrees` apart, the exact end last; null where
-    start and end differ in radius by more than 0.05 mm or 1 %, or where there is no way from one to the other."""
+def points_on(c: Column, x1: Column, y1: Column, step: float = 0.5, degrees: float = 10.0) -> Column:
+    """The points of an arc that circle() gives, at most `step` and `degrees` apart, its exact end last."""
+
+    def pieces(c: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(arc_length(c) / step), F.ceil(F.abs(c["sweep"]) / F.radians(F.lit(degrees)))).cast("int")
+
     # bound once, so that points don't work the circle out anew
-    circle = F.array(_circle(x0, y0, x1, y1, i, j, clockwise))
-    pieces = lambda c: F.greatest(F.lit(1), F.ceil(c["r"] * F.abs(c["sweep"]) / step), F.ceil(F.abs(c["sweep"]) / F.radians(F.lit(degrees)))).cast("int")
-    bound = F.transform(circle, lambda c: F.when(c.isNotNull(), F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), c["r"].alias("r"), c["a"].alias("a"), (c["sweep"] / pieces(c)).alias("step"), pieces(c).alias("n"))))
+    bound = F.transform(F.array(c), lambda c: F.when(c.isNotNull(), F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), c["r"].alias("r"), c["a"].alias("a"), (c["sweep"] / pieces(c)).alias("step"), pieces(c).alias("n"))))
 
     def points(c: Column) -> Column:
         last = lambda k: k == c["n"]
@@ -161,6 +168,11 @@ def arc_points(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Col
     return F.transform(bound, points)[0]
 
 
+def arc_points(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, clockwise: Column, step: float = 0.5, degrees: float = 10.0) -> Column:
+    """points_on(circle()): null where start and end differ in radius by more than 0.05 mm or 1 %."""
+    return points_on(circle(x0, y0, x1, y1, i, j, clockwise), x1, y1, step, degrees)
+
+
 def first_of(fields: Column, *keys: str) -> Column:
     """The number in the first of these keys that holds one (booleans and texts don't): null if it isn't finite."""
     number = [F.coalesce(F.try_element_at(fields, F.lit(k))["d"], F.try_element_at(fields, F.lit(k))["l"].cast("double")) for k in keys]

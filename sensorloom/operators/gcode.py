@@ -54,17 +54,17 @@ def words(files: DataFrame) -> DataFrame:
     return parsed.withColumns(axes | notes).where(known | F.col("feature").isNotNull() | F.col("mark") | F.col("note_z").isNotNull()).drop("raw", "_pairs")
 
 
-def _placed(df: DataFrame, axis: str, move: Column, absolute: Column) -> DataFrame:
-    """Adds the axis' place before and after each line: in each stretch from one word that sets it to the next, the running sum."""
+def _placed(df: DataFrame, move: Column, absolute: dict[str, Column]) -> DataFrame:
+    """Adds each axis' place before (x0) and after (x1) each line: in each stretch from one word that sets it to the next, the running sum."""
     w = Window.partitionBy("run_id", "file").orderBy("line")
-    sets = F.when((F.col("code") == "G92") | move & absolute, F.col(axis))
-    adds = F.when(move & ~absolute, F.col(axis))
-    df = df.withColumns({"_set": sets, "_add": F.coalesce(sets, adds)})
-    df = df.withColumn("_stretch", F.count("_set").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    along = Window.partitionBy("run_id", "file", "_stretch").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    name = axis.lower()
-    df = df.withColumn(f"{name}1", F.coalesce(F.sum("_add").over(along), F.lit(0.0)))
-    return df.withColumn(f"{name}0", F.lag(f"{name}1", 1, 0.0).over(w)).drop("_set", "_add", "_stretch")
+    sets = {a: F.when((F.col("code") == "G92") | move & by, F.col(a)) for a, by in absolute.items()}
+    df = df.withColumns({f"_set{a}": c for a, c in sets.items()} | {f"_add{a}": F.coalesce(sets[a], F.when(move & ~by, F.col(a))) for a, by in absolute.items()})
+    df = df.withColumns({f"_stretch{a}": F.count(f"_set{a}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for a in absolute})
+    for a in absolute:
+        along = Window.partitionBy("run_id", "file", f"_stretch{a}").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(f"{a.lower()}1", F.coalesce(F.sum(f"_add{a}").over(along), F.lit(0.0)))
+    df = df.withColumns({f"{a.lower()}0": F.lag(f"{a.lower()}1", 1, 0.0).over(w) for a in absolute})
+    return df.drop(*[f"_{x}{a}" for a in absolute for x in ("set", "add", "stretch")])
 
 
 def commands(files: DataFrame, accel: float = 2000.0) -> DataFrame:
@@ -97,16 +97,14 @@ def commands(files: DataFrame, accel: float = 2000.0) -> DataFrame:
             "_marks": F.count(F.when(F.col("mark"), 1)).over(upto),
         }
     )
-    for axis in "XYZ":
-        df = _placed(df, axis, move, F.col("_absolute"))
-    df = _placed(df, "E", move, F.col("_e_absolute"))
+    df = _placed(df, move, dict.fromkeys("XYZ", F.col("_absolute")) | {"E": F.col("_e_absolute")})
     de = F.when(move & F.col("E").isNotNull(), F.when(F.col("_e_absolute"), F.col("E") - F.col("e0")).otherwise(F.col("E"))).otherwise(0.0)
     ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     i, j = F.coalesce("I", F.lit(0.0)), F.coalesce("J", F.lit(0.0))
     clockwise = code.isin("G2", "G02")
     round_ = code.isin("G2", "G3", "G02", "G03") & F.col("_flat") & F.col("_centre") & (F.col("I").isNotNull() | F.col("J").isNotNull())
-    df = df.withColumns({"e": de, "_arc": F.when(round_, scalar.arc_length(*ends, i, j, clockwise))})
-    df = df.withColumn("_way", F.coalesce("_arc", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
+    df = df.withColumns({"e": de, "_circle": F.when(round_, scalar.circle(*ends, i, j, clockwise))})
+    df = df.withColumn("_way", F.coalesce(scalar.arc_length(F.col("_circle")), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
     extruding = move & (F.col("e") > 1e-6) & (F.col("_way") > 1e-9)
     rise = F.abs(F.col("z1") - F.col("z0"))
     length = F.when(F.col("_way") > 1e-9, F.col("_way")).when(rise > 1e-9, rise).otherwise(F.abs("e"))
@@ -125,7 +123,7 @@ def commands(files: DataFrame, accel: float = 2000.0) -> DataFrame:
     df = df.withColumns({"layer": (F.count("_z").over(upto) - 1).cast("int"), "layer_z": F.last("_z", ignorenulls=True).over(upto), "_s": seconds})
     df = df.withColumn("t_end", F.sum("_s").over(upto)).withColumn("t_start", F.coalesce(F.lag("t_end").over(w), F.lit(0.0)))
     chord = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))
-    points = F.when(F.col("_arc").isNotNull(), scalar.arc_points(*ends, i, j, clockwise)).otherwise(chord)
+    points = F.coalesce(scalar.points_on(F.col("_circle"), F.col("x1"), F.col("y1")), chord)
     return df.where(move).select("run_id", "file", "line", "x0", "y0", "z0", "x1", "y1", "z1", "e", F.col("_feed").alias("feed_mm_s"), F.col("_type").alias("feature"), "extruding", "length_mm", "t_start", "t_end", "layer", "layer_z", points.alias("points"))
 
 
