@@ -5,10 +5,11 @@ numpy prefix doubling, and reads the counts of phrases off the intervals of
 common prefixes.  Spark adds up the shards' counts by phrase.
 
 A phrase is frequent only if all its parts are.  So the texts are read three
-times: for words, for pairs of frequent words, and for longer phrases made of
-frequent pairs only.  What is frequent goes to the tasks as a bitmap of hashes
-of fixed size: a clash lets a rare part through, whose count the final
-threshold sorts out, but no frequent part is ever missed.
+times: for words, for pairs of frequent words, which are counted by a hash
+alone, and for the phrases of two to five words that are made of frequent
+pairs, which are counted as they are.  What is frequent goes to the tasks as a
+bitmap of hashes of fixed size: a clash lets a rare part through, whose count
+the final threshold sorts out, but no frequent part is ever missed.
 """
 
 from __future__ import annotations
@@ -98,48 +99,66 @@ def phrases(ids: np.ndarray, size: np.ndarray, least: int, most: int) -> Iterato
             yield m, order[starts], np.add.reduceat(long.astype(np.int64), starts)
 
 
-def _held(bitmap: np.ndarray, lang: str, parts: list[bytes]) -> np.ndarray:
-    """Which of a language's parts may be frequent."""
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """Hashes of a language's words, the same as Spark's xxhash64(lang, word)."""
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    at = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), dtype=np.uint64, count=len(parts)) % np.uint64(BITS)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of 48 bits of pairs of words, from theirs."""
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second >> np.uint64(31)) ^ second
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(16)
+
+
+def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these may be frequent."""
+    at = hashes % np.uint64(BITS)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def count_shard(lang: str, text: bytes, level: int, bitmap: np.ndarray | None) -> tuple[list[int], list[bytes], list[int]]:
-    """Lengths, phrases and counts of one language's shard: words (level 1), pairs (2) or what is longer (3)."""
+def count_words(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """A shard's distinct words and their counts."""
     ids, words = word_ids(text)
-    if level == 1:
-        n = np.bincount(ids, minlength=len(words))[1:]
-        return [1] * len(n), words[1:], n.tolist()
-    known = _held(bitmap, lang, words) if level == 2 else None
-    if level == 2:
-        known[0] = False
-        usable = known[ids]
-        linked = usable & _shifted(usable, 1)
-        least, most = 2, 2
-    else:
-        inside = (ids > 0) & (_shifted(ids, 1) > 0)
-        _, first, pair = np.unique(np.where(inside, ids * len(words) + _shifted(ids, 1), 0), return_index=True, return_inverse=True)
-        texts = [words[ids[p]] + b" " + words[ids[p + 1]] if inside[p] else b"" for p in first.tolist()]
-        linked = inside & _held(bitmap, lang, texts)[pair]
-        least, most = 3, LONGEST
-    # only places from which a phrase of the least length starts, or that lie in one, matter: cut the rest out
-    size = np.where(ids > 0, reach(linked, most), 0)
+    return words[1:], np.bincount(ids, minlength=len(words))[1:]
+
+
+def _dense(ids: np.ndarray, size: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that are in a phrase of `least` words or more, and one place after each stretch of them as its end."""
     starts = size >= least
     near = starts.copy()
     for by in range(1, most):
         near[by:] |= starts[:-by] & (size[:-by] > by)
-    kept = near | np.append(True, near[:-1])  # and one place after each stretch, as its end
-    ids, size = np.where(near, ids, 0)[kept], np.where(near, size, 0)[kept]
-    lengths: list[int] = []
-    found: list[bytes] = []
-    counts: list[int] = []
-    for m, at, n in phrases(ids, size, least, most):
-        columns = [ids[at + j].tolist() for j in range(m)]
-        found += [b" ".join([words[w] for w in row]) for row in zip(*columns)]
-        lengths += [m] * len(at)
-        counts += n.tolist()
-    return lengths, found, counts
+    kept = near | np.append(True, near[:-1])
+    return np.where(near, ids, 0)[kept], np.where(near, size, 0)[kept]
+
+
+def count_pairs(lang: str, text: bytes, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of a shard's distinct pairs of words that may be frequent."""
+    ids, words = word_ids(text)
+    hashes = _hashes(lang, words)
+    known = _held(bitmap, hashes)
+    known[0] = False
+    usable = known[ids]
+    ids, size = _dense(ids, np.where(ids > 0, reach(usable & _shifted(usable, 1), 2), 0), 2, 2)
+    for _, at, n in phrases(ids, size, 2, 2):
+        return _pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]), n
+    return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+
+def count_phrases(lang: str, text: bytes, bitmap: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(length, phrases, counts) of a shard's distinct phrases whose pairs may be frequent."""
+    ids, words = word_ids(text)
+    hashes = _hashes(lang, words)
+    after = _shifted(ids, 1)
+    linked = (ids > 0) & (after > 0) & _held(bitmap, _pair_hashes(hashes[ids], hashes[after]))
+    ids, size = _dense(ids, np.where(ids > 0, reach(linked, LONGEST), 0), 2, LONGEST)
+    for m, at, n in phrases(ids, size, 2, LONGEST):
+        for k in range(0, len(at), 100_000):
+            columns = [ids[at[k : k + 100_000] + j].tolist() for j in range(m)]
+            yield m, [b" ".join([words[w] for w in row]) for row in zip(*columns)], n[k : k + 100_000]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
@@ -157,39 +176,51 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]
         yield held
 
 
-def _count(batches: Iterator[pa.RecordBatch], level: int, bitmap) -> Iterator[pa.RecordBatch]:
-    bits = bitmap.value if bitmap is not None else None
+def _rows(lang: str, m: int, found: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    rows = [pa.array([lang] * len(found), pa.string()), pa.array([m] * len(found), pa.int32()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(rows, names=COUNTS.names)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard in _shards(batches):
+        for lang, texts in shard.items():
+            yield _rows(lang, 1, *count_words(b"\n".join(texts)))
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
+    for shard in _shards(batches):
+        for lang, texts in shard.items():
+            hashes, n = count_pairs(lang, b"\n".join(texts), bitmap.value)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["h", "f"])
+
+
+def _count_phrases(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
     for shard in _shards(batches):
         for lang, texts in shard.items():
-            lengths, found, counts = count_shard(lang, b"\n".join(texts), level, bits)
-            for k in range(0, len(found), 100_000):
-                part = slice(k, k + 100_000)
-                rows = [pa.array([lang] * len(found[part]), pa.string()), pa.array(lengths[part], pa.int32()), pa.array(found[part], pa.binary()).cast(pa.string()), pa.array(counts[part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(rows, names=COUNTS.names)
+            for m, found, n in count_phrases(lang, b"\n".join(texts), bitmap.value):
+                yield _rows(lang, m, found, n)
 
 
-def _bitmap(spark: SparkSession, counts: DataFrame, least: int):
-    """The hashes of frequent parts as a broadcast bitmap; it has BITS bits, however many they are."""
-    at = F.pmod(F.xxhash64("lang", "phrase"), F.lit(BITS))
-    words = counts.where(F.col("f") >= least).select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(lang, phrase), {BITS}) % 64 as int))").alias("bit"))
+def _bitmap(hashes: DataFrame):
+    """A column `h` of hashes as a broadcast bitmap; it has BITS bits, however many they are."""
+    at = F.pmod("h", F.lit(BITS))
+    words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) % 64 as int))").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITS / 64 rows
     made = np.zeros(BITS // 64, dtype=np.uint64)
     made[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(made)
+    return hashes.sparkSession.sparkContext.broadcast(made)
 
 
 def phrase_counts(docs: DataFrame, least: int = 100) -> DataFrame:
     """(lang, words, phrase, f): the counts of all single words, and of those phrases of two to five words that occur `least` times or more in their language."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    levels = []
-    bitmap = None
-    for level in (1, 2, 3):
-        counted = texts.mapInArrow(partial(_count, level=level, bitmap=bitmap), COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-        levels.append(common.cut(counted if level == 1 else counted.where(F.col("f") >= least), "phrases"))
-        if level < 3:
-            bitmap = _bitmap(spark, levels[-1], least)
-    return levels[0].union(levels[1]).union(levels[2])
+    keys = ["lang", "words", "phrase"]
+    words = common.cut(texts.mapInArrow(_count_words, COUNTS).groupBy(*keys).agg(F.sum("f").alias("f")), "words")
+    often = _bitmap(words.where(F.col("f") >= least).select(F.xxhash64("lang", "phrase").alias("h")))
+    pairs = texts.mapInArrow(partial(_count_pairs, bitmap=often), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    linked = _bitmap(common.cut(pairs.where(F.col("f") >= least).select("h"), "pairs"))
+    longer = texts.mapInArrow(partial(_count_phrases, bitmap=linked), COUNTS).groupBy(*keys).agg(F.sum("f").alias("f"))
+    return words.union(common.cut(longer.where(F.col("f") >= least), "phrases"))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
