@@ -33,8 +33,8 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in ("script",
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CONTAINERS = set("article body div main section td".split())
-#: Elements that are never part of a main text.
-_BOILER_TAGS = set("nav header footer aside form script style head dialog menu fieldset noscript template textarea title svg math iframe object select button canvas".split())
+#: Elements that are never part of a main text; a form may be one that holds the whole page.
+_BOILER_TAGS = set("nav header footer aside script style head dialog menu fieldset noscript template textarea title svg math iframe object select button canvas".split())
 _BOILER_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words of classes and ids that mark what surrounds a main text.
 _BOILER_WORDS = set(
@@ -42,7 +42,12 @@ _BOILER_WORDS = set(
     "topbar footer foot colophon sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
     "commentlist disqus replies respond reply share sharing social related recommended recommendations recirc trending popular pagination pager toolbar search form copyright legal disclaimer skip".split()
 )
+_COMMENT_WORDS = set("comment comments commentlist disqus replies respond reply".split())
 _KEEP_WORDS = set("article content main post entry story body text page wrapper".split())
+#: In a class like has-sidebar or ad-free, these say that its other words tell of the page, not of what the element holds.
+_ABOUT_WORDS = set("has with without no not free is show hide enabled disabled open closed allow".split())
+#: How an element may be boilerplate by its name: not at all, unless it holds most of the page, or as readers' comments.
+_PLAIN, _SURROUNDS, _COMMENTS = 0, 1, 2
 _NUMBER = re.compile(r"[0-9a-f]*\d[0-9a-f]*$|\d+")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -50,14 +55,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    """An open or closed element: its path's number, whether it is boilerplate or in a link, the block that it is in,
-    and where on the stack the nearest open elements are that a start tag may close."""
+    """An open or closed element: its path's number, whether it is boilerplate for sure, by its name, or in a link, the
+    block that it is in, and where on the stack the nearest open elements are that a start tag may close."""
 
-    __slots__ = ("at", "tag", "path", "boiler", "linked", "links", "block", "near", "inline")
+    __slots__ = ("at", "tag", "path", "boiler", "named", "linked", "links", "block", "near", "inline")
 
     def __init__(self, at: int, tag: str, path: int, boiler: bool, linked: bool, near: tuple[int, ...]):
         self.at, self.tag, self.path, self.boiler, self.linked, self.near = at, tag, path, boiler, linked, near
         self.links = 0
+        self.named = _PLAIN
         self.block = self
         self.inline: dict[str, int] | None = None  # of a block: its open inline elements
 
@@ -66,24 +72,31 @@ def _words(value: str) -> list[str]:
     return [w.lower() for w in _SPLIT.split(value) if w]
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's generalised name (numbers and hashes taken out of its classes), and whether it is boilerplate by itself."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """An element's generalised name (numbers and hashes taken out of its classes), whether it is boilerplate by itself,
+    and whether it may be by the words of its class and id."""
     boiler = tag in _BOILER_TAGS
+    named = _SURROUNDS if tag == "form" else _PLAIN
     if not attributes or attributes.isspace():
-        return tag, boiler
+        return tag, boiler, named
     got: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = got.get("class", "").split()
     label = tag + "".join(f".{c}" for c in sorted({_NUMBER.sub("", x.lower()).replace(">", "") for x in names}) if c)
+    for x in (*names, got.get("id", "")):
+        words = set(_words(x))
+        if words & _ABOUT_WORDS:
+            continue
+        if tag in ("main", "article"):  # readers' comments are often articles inside articles
+            named = max(named, _COMMENTS if words & {"comment", "comments", "reply"} else _PLAIN)
+        elif words & _BOILER_WORDS and not words & _KEEP_WORDS:
+            named = max(named, _COMMENTS if words & _COMMENT_WORDS else _SURROUNDS)
+    role = got.get("role", "").lower()
     if tag not in ("main", "article"):
-        for x in (*names, got.get("id", "")):
-            words = _words(x)
-            boiler = boiler or bool(_BOILER_WORDS.intersection(words)) and not _KEEP_WORDS.intersection(words)
-        boiler = boiler or got.get("role", "").lower() in _BOILER_ROLES
-    elif tag == "article":  # readers' comments are often articles inside articles
-        boiler = boiler or any({"comment", "comments", "reply"}.intersection(_words(x)) for x in (*names, got.get("id", "")))
-    return label, boiler or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(got.get("style", "")))
+        boiler = boiler or role in _BOILER_ROLES and role != "form"
+        named = max(named, _SURROUNDS if role == "form" else _PLAIN)
+    return label, boiler or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(got.get("style", ""))), named
 
 
 def _unescape(text: str) -> str:
@@ -119,16 +132,17 @@ class Page:
         self.up: list[int] = []
         self.paths: dict[tuple[int, str], int] = {(-1, "body"): 0}
         self._parse(html)
+        self._prune()
 
     def _open(self, stack: list[_Node], tag: str, attributes: str) -> _Node:
         inline = tag in _INLINE
         up = stack[-1] if stack else None
-        label, boiler = _label(tag, attributes)
+        label, boiler, named = _label(tag, attributes)
         if up is None:
             path, near = 0, (-1,) * len(_GROUPS)
         elif inline:
             path, near = up.path, up.near
-            boiler = up.boiler or boiler and tag != "a"
+            boiler = up.boiler or (boiler or named > _PLAIN) and tag != "a"
         else:
             path = self.paths.setdefault((up.path, label), len(self.paths))
             boiler = boiler or up.boiler
@@ -137,6 +151,8 @@ class Page:
             if own >= 0 or any(near[k] >= 0 for k in shut):
                 near = tuple(len(stack) if k == own else -1 if k in shut else old for k, old in enumerate(near))
         node = _Node(len(self.nodes), tag, path, boiler, tag == "a" or up is not None and up.linked, near)
+        if not inline:
+            node.named = named
         if inline and up is not None:
             node.block = up.block
             if node.block.inline is None:
@@ -253,6 +269,37 @@ class Page:
             flush()
             close(k)
 
+    def _prune(self) -> None:
+        """Drops the text of elements that are boilerplate by their names.
+
+        A class word alone doesn't tell a sidebar from the layout around it.
+        An element so named stays if it holds a `main` element or all the
+        page's text that isn't links; and, unless it is named for comments, if
+        it holds half of that text or more and a heading, `article` or the like.
+        """
+        if not any(node.named for node in self.nodes):
+            return
+        many = len(self.nodes)
+        inside, main, heading = [0] * many, [False] * many, [False] * many
+        for node, joined in self.blocks:
+            inside[node.at] += len(joined)
+        for node in self.nodes:
+            if not node.boiler:
+                inside[node.at] = max(0, inside[node.at] - node.links)
+                main[node.at] = node.tag == "main"
+                heading[node.at] = node.tag in ("h1", "main") or node.tag == "article" and node.named < _COMMENTS
+        for at in range(many - 1, 0, -1):  # each after all that stand in it
+            up = self.up[at]
+            inside[up] += inside[at]
+            main[up] |= main[at]
+            heading[up] |= heading[at]
+        gone = [False] * many
+        for node in self.nodes:  # each before all that stand in it
+            at, up = node.at, self.up[node.at]
+            stays = node.named == _PLAIN or main[at] or 0 < inside[at] == inside[0] or node.named == _SURROUNDS and heading[at] and 2 * inside[at] >= inside[0]
+            gone[at] = not stays or up >= 0 and gone[up]
+        self.blocks = [(node, joined) for node, joined in self.blocks if not gone[node.at]]
+
     def scores(self) -> dict[int, float]:
         """By number of a container's path, the score of the text below it.
 

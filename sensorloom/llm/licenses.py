@@ -177,8 +177,8 @@ def inherit(found: DataFrame) -> DataFrame:
     stem = F.regexp_replace(base, r"\.[^.]*$", "")
     parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
     files = found.withColumn("dir", parent).withColumn("is_file", F.coalesce(stem.isin(*LICENSE_FILES) | base.isin(*LICENSE_FILES), F.lit(False)))
-    licensed = files.where("is_file and license is not null and dir is not null").groupBy("dir").agg(F.max(F.struct("score", F.col("license"))).alias("best"), F.min_by("path", F.struct(-F.col("score"), "path")).alias("from_path"))
-    licensed = licensed.select(F.col("dir").alias("ancestor"), F.col("best.license").alias("up_license"), F.col("best.score").alias("up_score"), "from_path")
+    licensed = files.where("is_file and license is not null and dir is not null").groupBy("dir").agg(F.min_by(F.struct("license", "score", "path"), F.struct(-F.round("score", 9), "path")).alias("best"))  # cosines differ in their last digits
+    licensed = licensed.select(F.col("dir").alias("ancestor"), F.col("best.license").alias("up_license"), F.col("best.score").alias("up_score"), F.col("best.path").alias("from_path"))
     folders = files.where("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     # each directory with itself and all above it: as many rows as it is deep

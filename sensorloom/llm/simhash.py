@@ -271,8 +271,10 @@ def _grouped(docs: DataFrame, words: int, differing: int, agreeing: int, similar
 def near_duplicates(docs: DataFrame, words: int = 4, differing: int = 4, agreeing: int = 3, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    With `similar`, documents are linked if and only if they share that much of
-    their shingles (Jaccard), whatever their fingerprints.  Null and empty
+    With `similar`, only documents that share that much of their shingles
+    (Jaccard) are linked.  Candidates are fingerprints within `differing` bits
+    and MinHash bands that agree, so of two documents at just 0.8 that no other
+    links, 5 pairs in 100,000 stay apart; the more alike, the fewer.  Null and empty
     texts and texts of white space have fingerprint zero and so are one group.
     Rows that repeat come back as often as they are there; an empty table gives
     no rows; other columns are not returned.

@@ -39,7 +39,8 @@ LIFT = 8.0
 STATES, WORDS = 100_000, 500_000
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
-_OPENING, _CLOSING = "“„«‹‘", "”»›’"
+_MARKS = re.compile("[“„«‹‘”»›’]")
+_CLOSING = re.compile("[“”»›’]")
 #: Characters looked at on each side of a hit, and words on each side for those that report or address.
 WINDOW, NEAR = 120, 5
 _REPORT = frozenset("said says say wrote writes called calls calling quoted quote quotes word words term insult insults slur slurs sagte schrieb nannte wort dit écrit mot appelé dijo escribió palabra llamó".split())
@@ -153,8 +154,10 @@ def weight(text: str, start: int, end: int) -> float:
     """What a hit at text[start:end] counts by its window: 0.2 in quotation marks, 0.5 after words that report, 1.5 near words that address, else 1."""
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
     before, after = before[before.rfind("\n") + 1 :], after.partition("\n")[0]
-    opened = max(map(before.rfind, _OPENING)) > max(map(before.rfind, _CLOSING)) and any(c in after for c in _CLOSING)
-    if opened or before.count('"') % 2 and '"' in after:
+    marks = _MARKS.findall(before)
+    # “ opens a quotation, but closes one that „ has opened
+    opened = marks and (marks[-1] in "„«‹‘" or marks[-1] == "“" and "„" not in marks)
+    if opened and _CLOSING.search(after) or before.count('"') % 2 and '"' in after:
         return 0.2
     near = _WORD.findall(before.lower())[-NEAR:]
     if _REPORT.intersection(near):

@@ -181,3 +181,30 @@ def test_rates_over_the_largest_are_drawn_as_in_the_sql(spark, tmp_path):
     want = con.execute(f"select doc_id, n_copies, count(*) from ({mixing.SQL}) group by all order by 1").fetchall()
     got = mixing.op5_mix_sources(spark, str(tmp_path)).groupBy("doc_id", "n_copies").count().orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want and want[0][1] > 500
+
+
+def test_class_words_of_layouts_lose_no_page():
+    """Words like sidebar in the class of what surrounds the whole page; what is really named so goes."""
+    page = lambda x: html.Page(x).text(None)
+    story = "<h1>Title</h1><p>First paragraph, long enough to be one.</p><p>And a second paragraph.</p>"
+    want = "Title\nFirst paragraph, long enough to be one.\nAnd a second paragraph."
+    side = '<div class="sidebar"><p>Weather and such things.</p></div>'
+    for name in ("has-sidebar", "layout with-sidebar", "no-sidebar", "ad-free", "col-social-studies", "hasSidebar", "search results", "site-header-wrap social"):
+        for inner in (f"<main>{story}</main>", f"<article>{story}</article>", f"<div>{story}</div>"):
+            assert page(f'<body><div class="{name}">{inner}{side}</div><footer>f</footer></body>') == want, (name, inner)
+    assert page(f'<body><form id="aspnetForm" action="/x"><input name="v"><div>{story}</div>{side}</form></body>') == want
+    assert page(f'<body><article class="post has-comments">{story}</article><div class="related"><article>Another story of today.</article></div></body>') == want
+    many = "<p>I think so, too, and say it at length.</p>" * 30
+    assert page(f'<body><article>{story}</article><div class="comments"><h3>Replies</h3>{many}</div><form>Your name</form></body>') == want
+    assert page(f'<body><article>{story}<article class="comment">{many}</article></article></body>') == want
+    assert page(f'<body><div class="cookie-notice"><p>{"We use cookies. " * 20}</p></div><div>{story}</div></body>') == want
+    assert page('<body><div class="menu"><a href="/">Home</a></div></body>') == ""
+    assert page('<body><div class="comments"><p>Only comments here.</p></div></body>') == "Only comments here."
+
+
+def test_licence_files_of_equal_score_name_their_own_license(spark):
+    """Of several in a folder the best counts, equal up to rounding by path; license and file are of the same one."""
+    rows = [(1, "a/LICENSE", "MIT", 0.9999999999999998), (2, "a/COPYING", "Apache-2.0", 1.0), (3, "a/b/x.py", None, 0.0), (4, "c/NOTICE", "MIT", 0.8), (5, "c/COPYING", "GPL-3.0", 0.7), (6, "c/y", None, 0.0)]
+    found = spark.createDataFrame([(*r, 0) for r in rows], "row long, path string, license string, score double, line int")
+    got = {r.row: (r.license, r.from_path) for r in licenses.inherit(found).collect()}
+    assert got[3] == ("Apache-2.0", "a/COPYING") and got[6] == ("MIT", "c/NOTICE")
