@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import ranks
 from sensorloom.operators.series import interval_join, over
+from sensorloom.sources.shared import materialise
 
 #: Makes a median absolute deviation estimate the standard deviation of normal data.
 MAD_SCALE = 1.4826
@@ -13,14 +15,18 @@ MAD_SCALE = 1.4826
 
 def mad(df: DataFrame, by: list[str], col: str, fall_back: bool = False) -> DataFrame:
     """n, median, scaled mad, iqr (null below two values) per group; with `fall_back` a mad of zero becomes the
-    population deviation.  Nulls and NaN count as missing."""
-    clean = df.withColumn("_v", F.when(~F.isnan(F.col(col).cast("double")), F.col(col).cast("double")))
-    centre = clean.groupBy(*by).agg(F.count("_v").alias("n"), F.median("_v").alias("median"), F.percentile("_v", 0.25).alias("_p25"), F.percentile("_v", 0.75).alias("_p75"), F.stddev_pop("_v").alias("_std"))
-    around = clean.join(centre, by).groupBy(*by).agg(F.median(F.abs(F.col("_v") - F.col("median"))).alias("_mad"))
+    population deviation.  Nulls and NaN count as missing, a null key is a group; groups may be of any size."""
+    clean = df.select(*by, F.when(~F.isnan(F.col(col).cast("double")), F.col(col).cast("double")).alias("_v"))
+    centre = ranks.percentiles(clean, by, "_v", {"median": 0.5, "_p25": 0.25, "_p75": 0.75}, "n")
+    if fall_back:
+        centre = ranks.joined(centre, clean.groupBy(*by).agg(F.stddev_pop("_v").alias("_std")), by)
+    centre = materialise(centre, "centres")
+    away = ranks.joined(clean, centre.select(*by, "median"), by).select(*by, F.abs(F.col("_v") - F.col("median")).alias("_v"))
     scaled = MAD_SCALE * F.col("_mad")
     if fall_back:
         scaled = F.when(scaled > 0, scaled).otherwise(F.coalesce("_std", F.lit(0.0)))
-    return centre.join(around, by).select(*by, "n", "median", scaled.alias("mad"), F.when(F.col("n") >= 2, F.col("_p75") - F.col("_p25")).alias("iqr"))
+    around = ranks.joined(centre, ranks.median(away, by, "_v", "_mad"), by)
+    return around.select(*by, "n", "median", scaled.alias("mad"), F.when(F.col("n") >= 2, F.col("_p75") - F.col("_p25")).alias("iqr"))
 
 
 def trapezoid(df: DataFrame, by: list[str], order: list[str], t: str, v: str, out: str = "area", absolute: bool = False) -> DataFrame:

@@ -15,6 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import cells
+from sensorloom.operators.ranks import joined
+from sensorloom.sources.shared import materialise
+
 PAST, FUTURE, HERE = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
 
@@ -64,12 +68,12 @@ def moving_average_held(df: DataFrame, by: list[str], order: list[str], col: str
 def rolling_median(df: DataFrame, by: list[str], order: list[str], col: str, width: int, out: str) -> DataFrame:
     """Centred medians over `width` rows, the end values standing beyond the ends."""
     half = width // 2
-    w = over(by, *order)
-    first, last = F.first(col).over(w.rowsBetween(PAST, FUTURE)), F.last(col).over(w.rowsBetween(PAST, FUTURE))
-    before, after = F.least(F.row_number().over(w) - 1, F.lit(half)), F.least(F.count(F.lit(1)).over(Window.partitionBy(*by)) - F.row_number().over(w), F.lit(half))
-    frame = F.collect_list(col).over(w.rowsBetween(-half, half))
-    padded = F.sort_array(F.concat(F.array_repeat(first, (F.lit(half) - before).cast("int")), frame, F.array_repeat(last, (F.lit(half) - after).cast("int"))))
-    return df.withColumn(out, F.element_at(padded, half + 1))
+    at = materialise(cells.placed(cells.dealt(df, by, order), by, order), "placed")
+    ends = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min_by(col, "_place").alias("_first"), F.max_by(col, "_place").alias("_last"))
+    framed = joined(cells.framed(at, by, half, half, {"_frame": lambda w: F.collect_list(col).over(w)}), ends, by)
+    before, after = F.greatest(half - F.col("_place"), F.lit(0)), F.greatest(half + 1 + F.col("_place") - F.col("_n"), F.lit(0))
+    padded = F.sort_array(F.concat(F.array_repeat(F.col("_first"), before.cast("int")), F.col("_frame"), F.array_repeat(F.col("_last"), after.cast("int"))))
+    return framed.withColumn(out, F.element_at(padded, half + 1)).drop("_frame", "_n", "_first", "_last", "_place", "_cell")
 
 
 def rolling_std(df: DataFrame, by: list[str], order: list[str], col: str, width: int, out: str) -> DataFrame:
@@ -254,9 +258,9 @@ def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], px: s
 
 def arc_length(df: DataFrame, by: list[str], order: list[str], x: str, y: str, out: str) -> DataFrame:
     """The length of the path up to each point."""
-    w = over(by, *order)
-    step = F.coalesce(F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), F.lit(0.0))
-    return df.withColumn("_step", step).withColumn(out, F.sum("_step").over(w.rowsBetween(PAST, HERE))).drop("_step")
+    df = cells.scan(cells.dealt(df, by, order), by, order, lags={"_before": F.struct(F.col(x).alias("x"), F.col(y).alias("y"))})
+    step = F.coalesce(F.hypot(F.col(x) - F.col("_before.x"), F.col(y) - F.col("_before.y")), F.lit(0.0))
+    return cells.scan(df, by, order, sums={out: step}).drop("_before", "_cell")
 
 
 def stroke_ids(df: DataFrame, by: list[str], order: list[str], is_break: Column, out: str = "stroke") -> DataFrame:
@@ -296,28 +300,29 @@ def evenly_spaced(df: DataFrame, by: list[str], order: list[str], most: int) ->
 
 def monotone_only(df: DataFrame, by: list[str], arrival: list[str], t: str) -> DataFrame:
     """Drops rows older than the newest that arrived before them."""
-    newest = F.max(t).over(over(by, *arrival).rowsBetween(PAST, -1))
-    return df.withColumn("_newest", newest).where(F.col("_newest").isNull() | (F.col(t) >= F.col("_newest"))).drop("_newest")
+    found = cells.scan(cells.dealt(df, by, arrival), by, arrival, highs={"_newest": F.col(t)})
+    return found.where((F.col(t) >= F.col("_newest")) | F.col("_newest").isNull()).drop("_newest", "_cell")
 
 
 def losses(df: DataFrame, by: list[str], arrival: list[str], seq: str, limit: int = 10_000) -> DataFrame:
     """Rows after a gap in sequence numbers: lost, the numbers missing; steps back and gaps from `limit` are resets."""
-    gap = F.col(seq) - F.lag(seq).over(over(by, *arrival)) - 1
-    return df.withColumn("lost", gap).where((F.col("lost") > 0) & (F.col("lost") < limit))
+    found = cells.scan(cells.dealt(df, by, arrival), by, arrival, lags={"_seq": F.col(seq)})
+    return found.withColumn("lost", F.col(seq) - F.col("_seq") - 1).where((F.col("lost") > 0) & (F.col("lost") < limit)).drop("_seq", "_cell")
 
 
 def clock_offset(df: DataFrame, by: list[str], arrival: list[str], ticks: str, recv: str, scale: float, window: int = 512, wrap: int = 1 << 32) -> DataFrame:
     """Counters mapped to host time: `unwrapped` ticks, the least of recv - ticks * scale over the last `window` rows as
     `offset`, and `emit`, their sum.  A counter that steps back by over half its range has wrapped; one that steps back
     less has restarted, and a new epoch begins."""
-    w = over(by, *arrival)
-    back = F.lag(ticks).over(w) - F.col(ticks)
-    df = df.withColumn("_wrap", F.coalesce((back > wrap // 2).cast("long"), F.lit(0))).withColumn("_reset", F.coalesce(((back > 0) & (back <= wrap // 2)).cast("long"), F.lit(0)))
-    df = df.withColumn("epoch", F.sum("_reset").over(w.rowsBetween(PAST, HERE)))
-    inside = over([*by, "epoch"], *arrival)
-    df = df.withColumn("unwrapped", F.col(ticks) + F.lit(wrap) * F.sum(F.when(F.col("_reset") == 0, F.col("_wrap")).otherwise(0)).over(inside.rowsBetween(PAST, HERE)))
-    df = df.withColumn("offset", F.min(F.col(recv) - F.col("unwrapped") * scale).over(inside.rowsBetween(1 - window, 0)))
-    return df.withColumn("emit", F.col("unwrapped") * scale + F.col("offset")).drop("_wrap", "_reset")
+    df = cells.scan(cells.dealt(df, by, arrival), by, arrival, lags={"_before": F.col(ticks)}, sums={"_place": F.lit(1).cast("long")})
+    back = F.col("_before") - F.col(ticks)
+    wrapped, reset = F.coalesce((back > wrap // 2).cast("long"), F.lit(0)), F.coalesce(((back > 0) & (back <= wrap // 2)).cast("long"), F.lit(0))
+    df = materialise(df.withColumns({"_wrap": wrapped, "_reset": reset, "_place": F.col("_place") - 1}), "steps")
+    df = materialise(cells.scan(df, by, arrival, sums={"epoch": F.col("_reset"), "_wraps": F.col("_wrap")}), "epochs")
+    df = cells.scan(df, by, arrival, lasts={"_since": F.when(F.col("_reset") == 1, F.col("_wraps"))})
+    df = df.withColumn("unwrapped", F.col(ticks) + F.lit(wrap) * (F.col("_wraps") - F.coalesce("_since", F.lit(0))))
+    df = cells.framed(df.withColumn("_delay", F.col(recv) - F.col("unwrapped") * scale), by, window - 1, 0, {"offset": lambda w: F.min("_delay").over(w)}, ["epoch"])
+    return df.withColumn("emit", F.col("unwrapped") * scale + F.col("offset")).drop("_wrap", "_reset", "_before", "_place", "_wraps", "_since", "_delay", "_cell")
 
 
 # --- latches, fills and thinning (W-11, W-12, W-35, T-11) ---
@@ -325,10 +330,10 @@ def clock_offset(df: DataFrame, by: list[str], arrival: list[str], ticks: str, r
 
 def direction_latch(df: DataFrame, by: list[str], order: list[str], col: str, out: str, least: float = 0.005) -> DataFrame:
     """The sign of the last step of at least `least`; zero before the first."""
-    w = over(by, *order)
-    step = F.col(col) - F.lag(col).over(w)
-    df = df.withColumn("_sign", F.when(F.abs(step) >= least, F.signum(step)))
-    return df.withColumn(out, F.coalesce(F.last("_sign", True).over(w.rowsBetween(PAST, HERE)), F.lit(0.0))).drop("_sign")
+    df = cells.scan(cells.dealt(df, by, order), by, order, lags={"_before": F.col(col)})
+    step = F.col(col) - F.col("_before")
+    df = cells.scan(df, by, order, lasts={"_sign": F.when(F.abs(step) >= least, F.signum(step))})
+    return df.withColumn(out, F.coalesce("_sign", F.lit(0.0))).drop("_sign", "_before", "_cell")
 
 
 def signed_runs(df: DataFrame, by: list[str], x: str, y: str, reference: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import fits, robust
+from sensorloom.operators import fits, ranks, robust
 from sensorloom.sources.shared import materialise
 
 WEIGHTS = {"quantity": 1.0, "price": 2.0, "unit": 0.5}
@@ -61,7 +61,7 @@ def _minimum(source: str, y: str, by: str = "") -> str:
 
 def kopt_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost per K and the K of the least cost: medians, normalisation, weighted sum, minimum, parabola."""
-    medians = long_lines(spark, sf_dir).groupBy("k", "metric").agg(F.median("value").alias("median"))
+    medians = ranks.median(long_lines(spark, sf_dir), ["k", "metric"], "value")
     costs = materialise(fits.cost(fits.normalise(materialise(medians, "medians"), []), [], WEIGHTS), "costs")
     return rounded(costs.crossJoin(F.broadcast(fits.argmin_parabolic(costs, [], "cost"))))  # one row
 
@@ -71,7 +71,7 @@ def per_k_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def per_metric_kopt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    medians = long_lines(spark, sf_dir).groupBy("k", "metric").agg(F.median("value").alias("median"))
+    medians = ranks.median(long_lines(spark, sf_dir), ["k", "metric"], "value")
     return rounded(fits.per_metric_minima(fits.normalise(materialise(medians, "medians"), []), [], WEIGHTS))
 
 
@@ -80,7 +80,7 @@ def order_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_discount").alias("k"), F.col("l_extendedprice").alias("v"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     joined = lines.join(orders, "l_orderkey")
-    medians = materialise(joined.groupBy("o_orderpriority", "k").agg(F.median("v").alias("m")), "curve")  # read many times by the fits
+    medians = materialise(ranks.median(materialise(joined.select("o_orderpriority", "k", "v"), "joined"), ["o_orderpriority", "k"], "v", "m"), "curve")  # read many times by the fits
     centre = medians.groupBy("o_orderpriority").agg(F.median("m").alias("c"))
     return medians.join(centre, "o_orderpriority").select(F.col("o_orderpriority").alias("run"), "k", (F.col("m") - F.col("c")).alias("y"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import livemap, robust, series
+from sensorloom.operators import cells, livemap, robust, series
 from sensorloom.queries.curves import rounded, table
 
 DAY = 86_400.0
@@ -324,8 +324,17 @@ def thinned(spark, sf_dir):
     return series.thinned(events(spark, sf_dir), ["user_id"], ["t"], 20).select("event_id")
 
 
-QUERIES |= {f.__name__: f for f in (direction_latch, signed_runs, thinned)}
+def monotone_times(spark, sf_dir):
+    """Days of arrival as times: each that isn't later than the one before goes one after it."""
+    df = table(spark, sf_dir, "events").select("event_type", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000 - F.col("value") / 7).cast("bigint").alias("us"))
+    return cells.monotone_times(df, ["event_type"], ["event_id"], "us", "t_us").select("event_id", "t_us")
+
+
+QUERIES |= {f.__name__: f for f in (direction_latch, signed_runs, thinned, monotone_times)}
 ORACLES |= {
+    "monotone_times": """WITH RECURSIVE e AS (SELECT event_type, event_id, CAST(trunc(epoch_us(ts) / 86400000000 - value / 7) AS BIGINT) AS us, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+m AS (SELECT event_type, event_id, i, us AS t_us FROM e WHERE i = 1 UNION ALL SELECT e.event_type, e.event_id, e.i, CASE WHEN e.us <= m.t_us THEN m.t_us + 1 ELSE e.us END FROM m JOIN e ON e.event_type = m.event_type AND e.i = m.i + 1)
+SELECT event_id, t_us FROM m""",
     "direction_latch": f"""WITH {_E}, s AS (SELECT user_id, event_id, t, value - lag(value) OVER (PARTITION BY user_id ORDER BY t) AS d FROM e)
 SELECT event_id, coalesce(last_value(CASE WHEN abs(d) >= 20 THEN sign(d) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::DOUBLE AS dir FROM s""",
     "signed_runs": f"""WITH {_E}, s AS (SELECT user_id, t / 3600 AS h, value AS y, value >= 25 AS above, lag(t / 3600) OVER w AS h0, lag(value) OVER w AS y0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
