@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import cells, livemap, robust, series
+from sensorloom.operators import cells, livemap, phase, robust, series
 from sensorloom.queries.curves import rounded, table
 
 DAY = 86_400.0
@@ -330,8 +330,28 @@ def monotone_times(spark, sf_dir):
     return cells.monotone_times(df, ["event_type"], ["event_id"], "us", "t_us").select("event_id", "t_us")
 
 
-QUERIES |= {f.__name__: f for f in (direction_latch, signed_runs, thinned, monotone_times)}
+def phase_lags(spark, sf_dir):
+    """By how many events a type's values follow a command that shows them two and three events ahead."""
+    df = events(spark, sf_dir)
+    at = cells.placed(cells.dealt(df.select("event_type", "event_id", "value"), ["event_type"], ["event_id"]), ["event_type"], ["event_id"])
+    ahead = cells.framed(at, ["event_type"], 0, 3, {"next": lambda w: F.collect_list("value").over(w)})
+    value = lambda k: F.coalesce(F.try_element_at("next", F.lit(k)), F.lit(0.0))
+    signals = ahead.select("event_type", "event_id", "value", (value(3) + 0.3 * value(4) + F.col("event_id") % 5).alias("command"))
+    return rounded(phase.phase_lags(signals, ["event_type"], ["event_id"], "value", "command", 1.0, 20.0), 3)
+
+
+QUERIES |= {f.__name__: f for f in (direction_latch, signed_runs, thinned, monotone_times, phase_lags)}
 ORACLES |= {
+    "phase_lags": """WITH b AS (SELECT event_type AS k, event_id, value AS f, row_number() OVER w - 1 AS i, coalesce(lead(value, 2) OVER w, 0) + 0.3 * coalesce(lead(value, 3) OVER w, 0) + event_id % 5 AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+l AS (SELECT k, count(*) AS n, avg(f) AS mean, regr_slope(f, i) AS fs, regr_intercept(f, i) AS fi, regr_slope(c, i) AS cs, regr_intercept(c, i) AS ci FROM b GROUP BY k),
+r AS (SELECT k, i, n, f - fs * i - fi AS f, c - cs * i - ci AS c FROM b JOIN l USING (k)), d AS (SELECT k, stddev_pop(f) + 1e-12 AS df, stddev_pop(c) + 1e-12 AS dc FROM r GROUP BY k),
+z AS (SELECT k, i, n, f / df AS f, c / dc AS c FROM r JOIN d USING (k)),
+x AS (SELECT a.k, lag, sum(b.f * a.c) AS s FROM (SELECT *, unnest(range(-20, 21)) AS lag FROM z) a JOIN z b ON b.k = a.k AND b.i = a.i + lag WHERE abs(lag) < a.n GROUP BY 1, 2),
+y AS (SELECT *, lag(s) OVER w AS p, lead(s) OVER w AS q, row_number() OVER (PARTITION BY k ORDER BY s DESC, lag) AS best FROM x WINDOW w AS (PARTITION BY k ORDER BY lag)),
+m AS (SELECT k, CASE WHEN p IS NULL OR q IS NULL THEN NULL ELSE (lag + greatest(-1, least(1, CASE WHEN p - 2 * s + q = 0 THEN 0 ELSE 0.5 * (p - q) / (p - 2 * s + q) END))) * 1000 END AS ms FROM y WHERE best = 1),
+st AS (SELECT k, f, c - lag(c) OVER (PARTITION BY k ORDER BY i) AS dc FROM b),
+a AS (SELECT k, sum((f - mean) * sign(dc)) AS area FROM st JOIN l USING (k) GROUP BY k)
+SELECT l.k AS event_type, n, round(CASE WHEN n >= 8 THEN ms END, 3) AS phase_lag_ms, round(area, 3) AS area FROM l JOIN m USING (k) JOIN a USING (k)""",
     "monotone_times": """WITH RECURSIVE e AS (SELECT event_type, event_id, CAST(trunc(epoch_us(ts) / 86400000000 - value / 7) AS BIGINT) AS us, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
 m AS (SELECT event_type, event_id, i, us AS t_us FROM e WHERE i = 1 UNION ALL SELECT e.event_type, e.event_id, e.i, CASE WHEN e.us <= m.t_us THEN m.t_us + 1 ELSE e.us END FROM m JOIN e ON e.event_type = m.event_type AND e.i = m.i + 1)
 SELECT event_id, t_us FROM m""",
