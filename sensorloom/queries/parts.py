@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import lines, scalar
@@ -10,7 +11,7 @@ from sensorloom.plans import tables
 from sensorloom.queries.curves import _BOOT, _minimum, bootstrap_values, rounded, table
 from sensorloom.queries.series import _E, _TURNS, events
 from sensorloom.sources import runs
-from sensorloom.streaming import retime
+from sensorloom.streaming import fanout, retime
 
 
 def axis_words(spark, sf_dir):
@@ -184,8 +185,30 @@ _OWN_SCALE = (
     + _minimum("costs", "cost", "draw")
 )
 
-QUERIES = {f.__name__: f for f in (axis_words, printer_models, run_file_names, weight_texts, arcs, flow_values, number_picks, polylines, travel_speeds, layer_samples, colour_ranges, path_positions, map_agreement, map_breaks, plateau_levels, transition_areas, metric_heads, wall_times, json_rows, bootstrap_rescaled, bootstrap_rescaled_summary)}
+def fan_out(spark, sf_dir):
+    """Hourly events in queues of forty, one for each type and one for all, read ten an hour."""
+    e = fanout.subscribed(events(spark, sf_dir).select("event_type", F.floor(F.col("t") / 3600).alias("hour")), "event_type")
+    return fanout.queues(e.groupBy("subscriber", "hour").agg(F.count("*").alias("n")), ["subscriber"], "hour", "n", 40, 10)
+
+
+def collected(spark, sf_dir):
+    """What is collected of each user's events from each signup until the next error."""
+    e = events(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    runs = e.withColumn("stopped", F.min(F.when(F.col("event_type") == "error", F.col("t"))).over(w)).where("event_type = 'signup'").select(F.col("event_id").alias("run_id"), "user_id", F.col("t").alias("started"), "stopped")
+    return rounded(fanout.collected(e, runs, ["user_id"], "t", "value", 86_400.0), 4)
+
+
+QUERIES = {f.__name__: f for f in (axis_words, printer_models, run_file_names, weight_texts, arcs, flow_values, number_picks, polylines, travel_speeds, layer_samples, colour_ranges, path_positions, map_agreement, map_breaks, plateau_levels, transition_areas, metric_heads, wall_times, json_rows, bootstrap_rescaled, bootstrap_rescaled_summary, fan_out, collected)}
 ORACLES = {
+    "fan_out": f"""WITH RECURSIVE {_E}, a AS (SELECT subscriber, hour, count(*) AS n FROM (SELECT unnest([event_type, '*']) AS subscriber, CAST(floor(t / 3600) AS BIGINT) AS hour FROM e) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY hour) AS i FROM a),
+q AS (SELECT subscriber, i, hour AS tick, n AS arrived, greatest(0, n - 40) AS dropped, least(10, n) AS delivered, greatest(0, least(40, n) - 10) AS waiting FROM k WHERE i = 1
+  UNION ALL SELECT subscriber, i, hour, n, left_ + n - least(40, left_ + n), waiting - left_ + least(10, least(40, left_ + n)), least(40, left_ + n) - least(10, least(40, left_ + n))
+  FROM (SELECT k.subscriber, k.i, k.hour, k.n, q.waiting, greatest(0, q.waiting - 10 * (k.hour - q.tick - 1)) AS left_ FROM q JOIN k ON k.subscriber = q.subscriber AND k.i = q.i + 1))
+SELECT subscriber, tick, arrived, dropped::BIGINT AS dropped, delivered::BIGINT AS delivered, waiting::BIGINT AS waiting FROM q""",
+    "collected": f"""WITH {_E}, r AS (SELECT s.user_id, s.event_id AS run_id, s.t AS started, (SELECT min(x.t) FROM e x WHERE x.user_id = s.user_id AND x.event_type = 'error' AND x.t > s.t) AS stopped FROM e s WHERE s.event_type = 'signup')
+SELECT run_id, count(e.event_id) AS n, round(min(e.t), 4) AS t_first, round(max(e.t), 4) AS t_last, round(sum(e.value), 4) AS total FROM r LEFT JOIN e ON e.user_id = r.user_id AND e.t >= started AND (stopped IS NULL OR e.t < stopped) GROUP BY run_id""",
     "axis_words": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN event_id % 211 + 0.5 END::DOUBLE AS x, CASE event_id % 4 WHEN 3 THEN -(event_id % 17) WHEN 2 THEN 2 END::DOUBLE AS y, CASE WHEN event_id % 4 = 3 THEN 0.25 END::DOUBLE AS e,
 CASE WHEN event_id % 4 = 3 THEN event_id % 9 * 600 END::DOUBLE AS f, CASE WHEN event_id % 4 = 0 THEN event_type END AS feature, CASE WHEN event_id % 4 = 1 THEN event_id % 7 + 0.25 END::DOUBLE AS z FROM events""",
     "printer_models": "SELECT s_suppkey, CASE WHEN s_nationkey % 5 IN (2, 3) THEN 'COREONEINDX' ELSE 'COREONE' END AS model, s_nationkey % 8 AS tool FROM supplier",
