@@ -313,12 +313,13 @@ def choose(terms: list[str], clean: np.ndarray, held: list[np.ndarray], least: f
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most `rows` labelled documents that aren't held out; what reaches the driver is bounded by that sample."""
+    """Fits on at most `rows` labelled documents that aren't held out, of several texts under one id on the least; what
+    reaches the driver is bounded by that sample."""
     spark = docs.sparkSession
     key = F.md5(F.col(id_col).cast("string"))
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("row"), F.col(label_col).cast("int").alias("y"), key.alias("key")).orderBy("key", "y").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("row", "y")), "row")
-    sample = common.cut(texts.orderBy("row", "y", "text").limit(2 * rows).repartition(32, "row"), "fit")  # `rows` bounds both
+    sample = common.cut(texts.groupBy("row", "y").agg(F.min("text").alias("text")), "fit")  # one text for each of at most `rows` labels
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counted = sample.mapInArrow(_count_terms, _TERM).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
