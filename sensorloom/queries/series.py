@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import cells, livemap, phase, robust, series
 from sensorloom.queries.curves import rounded, table
+from sensorloom.streaming import placement
 
 DAY = 86_400.0
 
@@ -88,6 +89,14 @@ def lerp_users(spark, sf_dir):
     return rounded(found.select("user_id", "event_id", "y"))
 
 
+def placed_live(spark, sf_dir):
+    """Clicks placed on the path that views (x) and purchases (y) draw, each point reaching two days."""
+    df = events(spark, sf_dir).withColumnRenamed("user_id", "run_id")
+    axis = F.when(F.col("event_type") == "view", "x").when(F.col("event_type") == "purchase", "y")
+    force = _kind(df, "click").select("run_id", F.col("event_id").alias("seq"), "t", F.col("value").alias("v"))
+    return rounded(placement.placed(force, df.select("run_id", axis.alias("axis"), "t", F.col("value").alias("v")), 2 * DAY, 5 * DAY))
+
+
 def asof_last_type(spark, sf_dir):
     df = events(spark, sf_dir)
     found = series.asof_join(_kind(df, "error").select("user_id", "event_id", "t"), _kind(df, "signup").select("user_id", "t", "value"), ["user_id"], "t", ["value"], cell=5 * DAY)
@@ -227,7 +236,17 @@ _FLAG = f"{_E}, f AS (SELECT *, value > median(value) OVER (PARTITION BY user_id
 _TURNS = "turns AS (SELECT user_id, t, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS dir FROM e WHERE event_type IN ('signup', 'error'))"
 _DAYS = "days AS (SELECT unnest(range(CAST(floor(min(t) / 86400) AS BIGINT), CAST(floor(max(t) / 86400) AS BIGINT) + 1)) AS day FROM e), win AS (SELECT day, day * 86400.0::DOUBLE AS lo, day * 86400.0::DOUBLE + 129600 AS hi FROM days)"
 
-QUERIES = {f.__name__: f for f in (event_gaps_dropouts, rolling_stats, gradients, active_runs, plain_runs, contact_detect, trapz_area, noise_corrected_peak, lerp_users, asof_last_type, interval_assign, coverage_per_window, resample_grid, flow_levels, feature_stats, arc_length, nearest_segment, line_breaks, seq_loss, rates_hourly, clock_offset, monotone_only, drift_rates, square_wave, paired_transitions, decimated, top_values, json_props)}
+def _at(axis, kind):
+    """SQL: the axis at each click, from the nearest points within two days."""
+    near = "CASE WHEN abs(f.t - p.t) <= 172800 THEN p.{} END AS {}"
+    cut = lambda c, name: near.format(c, name)
+    return f"""{axis}p AS (SELECT user_id, t, value AS v FROM e WHERE event_type = '{kind}'),
+{axis}b AS (SELECT f.event_id, f.user_id, f.t, {cut("t", "t0")}, {cut("v", "v0")} FROM f ASOF LEFT JOIN {axis}p p ON f.user_id = p.user_id AND f.t >= p.t),
+{axis}a AS (SELECT f.*, {cut("t", "t1")}, {cut("v", "v1")} FROM {axis}b f ASOF LEFT JOIN {axis}p p ON f.user_id = p.user_id AND f.t < p.t),
+{axis} AS (SELECT event_id, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS {axis} FROM {axis}a)"""
+
+
+QUERIES = {f.__name__: f for f in (event_gaps_dropouts, rolling_stats, gradients, active_runs, plain_runs, contact_detect, trapz_area, noise_corrected_peak, lerp_users, placed_live, asof_last_type, interval_assign, coverage_per_window, resample_grid, flow_levels, feature_stats, arc_length, nearest_segment, line_breaks, seq_loss, rates_hourly, clock_offset, monotone_only, drift_rates, square_wave, paired_transitions, decimated, top_values, json_props)}
 ORACLES = {
     "event_gaps_dropouts": f"""WITH {_E}, s AS (SELECT *, t - lag(t) OVER w AS gap, abs(value - lag(value) OVER w) AS jump FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 st AS (SELECT user_id, median(gap) AS mid, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS spread, count(*) AS n FROM s GROUP BY user_id)
@@ -260,6 +279,8 @@ SELECT user_id, round(sum((c + d) / 2 * g), 4) AS signed_area, round(sum((abs(c)
 p AS (SELECT a.*, b.t AS t0, b.value AS v0 FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.t >= b.t),
 q AS (SELECT p.*, b.t AS t1, b.value AS v1 FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND p.t < b.t)
 SELECT user_id, event_id, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS y FROM q""",
+    "placed_live": f"""WITH {_E}, f AS (SELECT user_id, event_id, t, value FROM e WHERE event_type = 'click'), {_at("x", "view")}, {_at("y", "purchase")}
+SELECT user_id AS run_id, event_id AS seq, round(t, 6) AS t, round(value, 6) AS v, round(x, 6) AS x, round(y, 6) AS y FROM f JOIN x USING (event_id) JOIN y USING (event_id) WHERE x IS NOT NULL AND y IS NOT NULL""",
     "asof_last_type": f"""WITH {_E}, a AS (SELECT user_id, event_id, t FROM e WHERE event_type = 'error'), b AS (SELECT user_id, t, value FROM e WHERE event_type = 'signup')
 SELECT a.user_id, a.event_id, round(b.t, 6) AS "at", round(b.value, 6) AS value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.t >= b.t""",
     "interval_assign": f"""WITH {_E}, {_DAYS} SELECT day, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM win JOIN e ON t BETWEEN lo AND hi GROUP BY day""",
