@@ -5,7 +5,7 @@ Inputs: force (run_id, seq, t, v) and levels (run_id, level_idx, level, dwell_s,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import robust, series
@@ -100,6 +100,40 @@ def detect_sweep(force: DataFrame, levels: DataFrame) -> DataFrame:
     return chosen.select("run_id", F.greatest(F.col("t_end") - F.col("expected"), F.col("t0")).alias("t_start"), "t_end", "fs", "anchor")
 
 
+def shift_scores(rises: DataFrame, grids: DataFrame, shifts: int = 121) -> DataFrame:
+    """(run_id, shift, delta, score): for each shift of a run's grid of steps, the rise in the measured parts of its steps.
+
+    rises: run_id, t, g.  grids: run_id, t_start, width, settle (share of a
+    step), clean (steps looked at).  Shift 0 is half a step early, the last one
+    half a step late.  A rise counts for one unbroken stretch of shifts (taken
+    over all steps in turn), so it is put down twice, where the stretch begins
+    and ends; sums along the shifts then give all scores in one pass, and what
+    is sorted is one row for each shift and step, whatever the number of rises.
+    Times are whole microseconds and rises decimals of nine places, so scores
+    don't depend on the order of the rows.  A run without rises scores 0 throughout;
+    rows without a run take no part.
+    """
+    span, grids = shifts - 1, grids.where("run_id is not null")
+    whole = grids.select("run_id", "t_start", "width", "clean", F.round(F.col("width") * 1e6).cast("bigint").alias("_w"), F.round(F.col("settle") * F.col("width") * 1e6).cast("bigint").alias("_s"))
+    at = rises.join(whole, "run_id").withColumn("_p", F.round((F.col("t") - F.col("t_start")) * 1e6).cast("bigint"))
+
+    def place(p: str) -> Column:
+        """The number of grid places (shifts of all steps) at or before p."""
+        return F.expr(f"((2 * ({p}) + _w) * {span} - pmod((2 * ({p}) + _w) * {span}, 2 * _w)) div (2 * _w)")
+
+    g = F.col("g").cast("decimal(28,9)")
+    ends = F.array(F.struct((place("_p") - span + 1).alias("m"), g.alias("g")), F.struct((place("_p - _s") + 1).alias("m"), (-g).alias("g")))
+    marks = at.select("run_id", F.explode(ends).alias("_e"), "clean").select("run_id", F.greatest("_e.m", F.lit(0)).alias("m"), "_e.g", "clean").where(F.col("m") <= F.col("clean") * span)
+    marks = marks.groupBy("run_id", "m").agg(F.sum("g").alias("g"))
+    every = grids.select("run_id", "width", "clean", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("clean").cast("bigint") * span)).alias("m"))
+    rise = every.join(marks, ["run_id", "m"], "left").withColumn("_e", F.sum(F.coalesce("g", F.lit(0))).over(over(RUN, "m").rowsBetween(Window.unboundedPreceding, 0)))
+    # the last shift of a step is the first one of the next
+    m = F.col("m")
+    used = F.array_compact(F.array(F.when(m < F.col("clean") * span, m % span), F.when((m % span == 0) & (m > 0), F.lit(span))))
+    scores = rise.withColumn("shift", F.explode(used)).groupBy("run_id", "shift").agg(F.sum("_e").cast("double").alias("score"), F.first("width").alias("_width"))
+    return scores.select("run_id", "shift", (F.col("_width") * (F.col("shift") / span - 0.5)).alias("delta"), "score")
+
+
 def align_grid(force: DataFrame, sweep: DataFrame, levels: DataFrame, shifts: int = 121) -> DataFrame:
     """(run_id, t_start): the sweep's start moved by up to half a step, so that rises fall into the discarded settling
     part of steps: least rise in the measured parts of the lower steps, the smallest move among near equals."""
@@ -109,16 +143,12 @@ def align_grid(force: DataFrame, sweep: DataFrame, levels: DataFrame, shifts: in
     # rises over a short centred mean of about 0.08 s, from time-based frames
     ms = F.round(F.col("t") * 1e6).cast("bigint")
     smooth = near.withColumn("_u", ms).withColumn("_s", F.avg("v").over(Window.partitionBy("run_id").orderBy("_u").rangeBetween(-40_000, 40_000)))
-    rise = series.gradient(smooth, RUN, ["t", "seq"], "_s", "_g").withColumn("_g", F.greatest("_g", F.lit(0.0))).where("_g > 0")
-    moved = rise.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))).withColumn("delta", F.col("width") * (F.col("shift") / (shifts - 1) - 0.5))
-    phase = F.col("t") - F.col("t_start") - F.col("delta")
-    step = F.floor(phase / F.col("width"))
-    measured = (phase >= 0) & (step < F.col("clean")) & (phase - step * F.col("width") >= F.col("settle") * F.col("width"))
-    scores = moved.groupBy("run_id", "delta").agg(F.sum(F.when(measured, F.col("_g")).otherwise(0.0)).alias("score"))
+    rises = series.gradient(smooth, RUN, ["t", "seq"], "_s", "g").where("g > 0").select("run_id", "t", "g")
+    use = (F.col("settle") > 0) & (F.col("settle") < 1) & (F.col("steps") >= 2) & (F.col("width") > 0)
+    scores = shift_scores(rises, info.where(use).select("run_id", "t_start", "width", "settle", "clean"), shifts)
     least = scores.withColumn("_min", F.min("score").over(Window.partitionBy("run_id"))).where("score <= _min * 1.05 + 1e-9")
     picked = least.groupBy("run_id").agg(F.min_by("delta", F.struct(F.abs("delta"), "delta")).alias("delta"))
-    use = (F.col("settle") > 0) & (F.col("settle") < 1) & (F.col("steps") >= 2)
-    return info.join(picked, "run_id", "left").select("run_id", (F.col("t_start") + F.when(use, F.coalesce("delta", F.lit(0.0))).otherwise(0.0)).alias("t_start"))
+    return info.join(picked, "run_id", "left").select("run_id", (F.col("t_start") + F.coalesce("delta", F.lit(0.0))).alias("t_start"))
 
 
 def level_stats(force: DataFrame, starts: DataFrame, levels: DataFrame) -> DataFrame:

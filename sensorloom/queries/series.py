@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators import cells, livemap, phase, robust, series
+from sensorloom.operators import cells, flow, livemap, phase, robust, series
 from sensorloom.queries.curves import rounded, table
 from sensorloom.streaming import placement
 
@@ -97,6 +97,30 @@ def placed_live(spark, sf_dir):
     return rounded(placement.placed(force, df.select("run_id", axis.alias("axis"), "t", F.col("value").alias("v")), 2 * DAY, 5 * DAY))
 
 
+def _grids(spark, sf_dir):
+    """A user's events as a sweep of eight steps, each a tenth of their time, the first tenth being idle."""
+    df = events(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "t", F.col("value").alias("v"))
+    ends = df.groupBy("run_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).withColumn("dwell_s", (F.col("b") - F.col("a")) / 10)
+    levels = ends.select("run_id", "dwell_s", F.lit(0.4).alias("settle_frac"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level_idx"))
+    return df, ends.select("run_id", (F.col("a") + F.col("dwell_s")).alias("t_start")), levels
+
+
+def grid_phase(spark, sf_dir):
+    """How far each sweep's start moves, so that rises fall outside the measured parts of steps."""
+    df, sweep, levels = _grids(spark, sf_dir)
+    moved = flow.align_grid(df, sweep, levels).withColumnRenamed("t_start", "aligned").join(sweep, "run_id")
+    return moved.select("run_id", F.round(F.col("aligned") - F.col("t_start"), 2).alias("moved"))
+
+
+def shift_rises(spark, sf_dir):
+    """The rise that each shift of the grid leaves in the measured parts of steps, from the steps up between events."""
+    df, sweep, levels = _grids(spark, sf_dir)
+    rises = series.difference(df, ["run_id"], ["t"], "v", "g").where("g > 0")
+    grids = sweep.join(levels.groupBy("run_id").agg(F.max("dwell_s").alias("width")), "run_id").withColumns({"settle": F.lit(0.4), "clean": F.lit(4)})
+    found = flow.shift_scores(rises.select("run_id", "t", "g"), grids)
+    return found.select("run_id", "shift", F.round("score", 4).alias("score"))
+
+
 def asof_last_type(spark, sf_dir):
     df = events(spark, sf_dir)
     found = series.asof_join(_kind(df, "error").select("user_id", "event_id", "t"), _kind(df, "signup").select("user_id", "t", "value"), ["user_id"], "t", ["value"], cell=5 * DAY)
@@ -246,7 +270,12 @@ def _at(axis, kind):
 {axis} AS (SELECT event_id, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS {axis} FROM {axis}a)"""
 
 
-QUERIES = {f.__name__: f for f in (event_gaps_dropouts, rolling_stats, gradients, active_runs, plain_runs, contact_detect, trapz_area, noise_corrected_peak, lerp_users, placed_live, asof_last_type, interval_assign, coverage_per_window, resample_grid, flow_levels, feature_stats, arc_length, nearest_segment, line_breaks, seq_loss, rates_hourly, clock_offset, monotone_only, drift_rates, square_wave, paired_transitions, decimated, top_values, json_props)}
+_GRID = f"""{_E}, i AS (SELECT user_id, (max(t) - min(t)) / 10 AS w, min(t) + (max(t) - min(t)) / 10 AS t0 FROM e GROUP BY user_id)"""
+_SHIFTED = """m AS (SELECT user_id, j, g, w, (CAST(round((t - t0) * 1e6) AS BIGINT) * 120 + (60 - j) * CAST(round(w * 1e6) AS BIGINT)) AS x, 120 * CAST(round(w * 1e6) AS BIGINT) AS wide, 120 * CAST(round(0.4::DOUBLE * w * 1e6) AS BIGINT) AS settle FROM g, (SELECT unnest(range(0, 121)) AS j) WHERE g > 0),
+sc AS (SELECT user_id, j, w, sum(CASE WHEN x >= 0 AND x < 4 * wide AND x % wide >= settle THEN CAST(round(g, 9) AS DECIMAL(28, 9)) ELSE 0 END)::DOUBLE AS score FROM m GROUP BY ALL)"""
+
+
+QUERIES = {f.__name__: f for f in (event_gaps_dropouts, rolling_stats, gradients, active_runs, plain_runs, contact_detect, trapz_area, noise_corrected_peak, lerp_users, placed_live, grid_phase, shift_rises, asof_last_type, interval_assign, coverage_per_window, resample_grid, flow_levels, feature_stats, arc_length, nearest_segment, line_breaks, seq_loss, rates_hourly, clock_offset, monotone_only, drift_rates, square_wave, paired_transitions, decimated, top_values, json_props)}
 ORACLES = {
     "event_gaps_dropouts": f"""WITH {_E}, s AS (SELECT *, t - lag(t) OVER w AS gap, abs(value - lag(value) OVER w) AS jump FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 st AS (SELECT user_id, median(gap) AS mid, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS spread, count(*) AS n FROM s GROUP BY user_id)
@@ -281,6 +310,14 @@ q AS (SELECT p.*, b.t AS t1, b.value AS v1 FROM p ASOF LEFT JOIN b ON p.user_id
 SELECT user_id, event_id, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS y FROM q""",
     "placed_live": f"""WITH {_E}, f AS (SELECT user_id, event_id, t, value FROM e WHERE event_type = 'click'), {_at("x", "view")}, {_at("y", "purchase")}
 SELECT user_id AS run_id, event_id AS seq, round(t, 6) AS t, round(value, 6) AS v, round(x, 6) AS x, round(y, 6) AS y FROM f JOIN x USING (event_id) JOIN y USING (event_id) WHERE x IS NOT NULL AND y IS NOT NULL""",
+    "grid_phase": f"""WITH {_GRID}, near AS (SELECT e.user_id, event_id, t, value, w, t0 FROM e JOIN i USING (user_id) WHERE t >= t0 - w AND t <= t0 + 5 * w),
+s AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY CAST(round(t * 1e6) AS BIGINT) RANGE BETWEEN 40000 PRECEDING AND 40000 FOLLOWING) AS y FROM near),
+n AS (SELECT *, lag(y) OVER o AS y0, lead(y) OVER o AS y2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id)),
+g AS (SELECT user_id, t, w, t0, CASE WHEN y0 IS NULL THEN y2 - y WHEN y2 IS NULL THEN y - y0 ELSE (y2 - y0) / 2 END AS g FROM n), {_SHIFTED},
+b AS (SELECT user_id, w, min(j) FILTER (WHERE j >= 60) AS up, max(j) FILTER (WHERE j <= 60) AS down FROM (SELECT *, min(score) OVER (PARTITION BY user_id) AS least FROM sc) WHERE score <= least * 1.05::DOUBLE + 1e-9 GROUP BY ALL)
+SELECT user_id AS run_id, coalesce(round(w * (CASE WHEN down IS NULL OR up - 60 < 60 - down THEN up ELSE down END / 120 - 0.5::DOUBLE), 2), 0) AS moved FROM i LEFT JOIN b USING (user_id, w)""",
+    "shift_rises": f"""WITH {_GRID}, d AS (SELECT user_id, t, value - lag(value) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e), g AS (SELECT d.user_id, t, g, w, t0 FROM d JOIN i USING (user_id)), {_SHIFTED}
+SELECT i.user_id AS run_id, CAST(k.j AS BIGINT) AS shift, round(coalesce(score, 0), 4) AS score FROM i CROSS JOIN (SELECT unnest(range(0, 121)) AS j) k LEFT JOIN sc ON sc.user_id = i.user_id AND sc.j = k.j""",
     "asof_last_type": f"""WITH {_E}, a AS (SELECT user_id, event_id, t FROM e WHERE event_type = 'error'), b AS (SELECT user_id, t, value FROM e WHERE event_type = 'signup')
 SELECT a.user_id, a.event_id, round(b.t, 6) AS "at", round(b.value, 6) AS value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.t >= b.t""",
     "interval_assign": f"""WITH {_E}, {_DAYS} SELECT day, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM win JOIN e ON t BETWEEN lo AND hi GROUP BY day""",
