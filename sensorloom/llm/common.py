@@ -91,14 +91,17 @@ def row_hash(df: DataFrame):
 HOT = 4096
 
 
-def join_counted(rows: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+def join_counted(rows: DataFrame, one: DataFrame, key: str, n: str, exploded: bool = False) -> DataFrame:
     """Inner join with a table that has one row per key and, in n, the number of this key's rows in `rows`.
 
     Keys with over 1/HOT of all rows are at most HOT, so they go by broadcast;
     all others share out evenly by the usual shuffle, however hot the former are.
+    Spark takes exploded rows for as few as they were before: with `exploded`
+    neither they nor their keys, which may be as many, ever go by broadcast.
     """
     total = one.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) > total / HOT
     often = F.broadcast(one.where(hot))
     seldom = rows.join(F.broadcast(one.where(hot).select(key)), key, "left_anti")
-    return rows.join(often, key).unionByName(seldom.join(one.where(~hot), key))
+    others = one.where(~hot)
+    return rows.join(often, key).unionByName(seldom.join(others.hint("merge") if exploded else others, key))

@@ -217,16 +217,16 @@ def links(fps: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:
     masks = _masks(differing + agreeing, differing)
     which = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
     filed = fps.select("fp", which).select("fp", F.xxhash64("pos", "col").alias("file"))
-    full = filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1")
+    full = common.cut(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    shared = common.join_counted(filed, full, "file", "n", exploded=True)
     radius = differing // 2
     longest = max(LONGEST, sum(comb(64, r) for r in range(radius + 1)) if differing > 4 else 0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    short = filed.join(full.where(F.col("n") <= longest).select("file"), "file").select("file", "fp")
+    short = shared.where(F.col("n") <= longest).select("file", "fp")
     found = short.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(partial(_compare, differing=differing), LINK)
-    large = full.where(F.col("n") > longest).select("file")
-    if large.isEmpty():
+    if full.where(F.col("n") > longest).isEmpty():
         return found
-    some = common.cut(filed.join(large, "file").select("fp").distinct(), "long-files")
+    some = common.cut(shared.where(F.col("n") > longest).select("fp").distinct(), "long-files")
     around = common.cut(some.mapInArrow(partial(_middles, radius=radius), MIDDLE), "middles")
     met = around.where("middle is not null").select("middle", "a").repartition(parts, "middle").sortWithinPartitions("middle").mapInArrow(_meet, LINK)
     return found.union(around.where("middle is null").select("a", "b").distinct()).union(met.distinct())
@@ -236,14 +236,15 @@ def named(heads: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(key, n, component_id, component) for heads (key, head, n) and links (a, b) of keys.
 
     Nodes are heads with their keys, those without a head last, so that the
-    least node of a component names it.
+    least node of a component names it.  A hash table of nodes is many times
+    their file, by whose size Spark decides, so they never go by broadcast.
     """
     node = F.struct(F.col("head").isNull().alias("none"), "head", F.col(key).alias("key"))
-    nodes = heads.select(F.col(key).alias("key"), node.alias("node"))
+    nodes = heads.select(F.col(key).alias("key"), node.alias("node")).hint("merge")
     ends = pairs.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("y")), "b")
     found = components(ends, "x", "y").select(F.col("node.key").alias(key), F.col("component").alias("at"))
     at = F.coalesce("at", node)
-    return heads.join(found, key, "left").select(key, "n", at["head"].alias("component_id"), at["key"].alias("component"))
+    return heads.join(found.hint("merge"), key, "left").select(key, "n", at["head"].alias("component_id"), at["key"].alias("component"))
 
 
 def classes(prints: DataFrame, differing: int = 4, agreeing: int = 3) -> DataFrame:

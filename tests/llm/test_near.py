@@ -1,5 +1,7 @@
 """Near copies in large groups against brute force over all pairs."""
 
+from itertools import takewhile
+
 import numpy as np
 import pytest
 
@@ -83,3 +85,29 @@ def test_frequent_keys_join_like_others(spark):
         assert common.join_counted(rows, one.withColumnRenamed("n", "n"), "key", "n").count() == 1000
     finally:
         common.HOT = old
+
+
+def broadcast_after_explode(df):
+    """Whether the plan sends exploded rows, which Spark takes for as few as they were before, to all tasks."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    below = [[lines[j] for j in takewhile(lambda j: depth[j] > depth[k], range(k + 1, len(lines)))] for k in range(len(lines))]
+    return any("BroadcastExchange" in x and any("Generate" in y for y in rest) for x, rest in zip(lines, below))
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """What common.cut() writes, and whether its plan broadcasts exploded rows."""
+    seen, write = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, name, **options: seen.append((name, broadcast_after_explode(df))) or write(df, name, **options))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield seen
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_blocks_of_fingerprints_stay_off_the_driver(spark, tmp_path, plans):
+    base = np.random.default_rng(8).integers(-(2**62), 2**62, size=2000)
+    spark.createDataFrame([(x,) for x in [*base.tolist(), *(base[:500] ^ 1).tolist()]], "fp long").write.parquet(f"{tmp_path}/fps")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert not broadcast_after_explode(found) and not any(bad for _, bad in plans)
+    assert found.distinct().count() == 500
