@@ -218,7 +218,8 @@ def classes(docs: DataFrame, words: int, differing: int, agreeing: int, least: f
     heads = common.cut(prints.groupBy("key").agg(F.min("row").alias("head"), F.min("who").alias("who"), F.min("size").alias("size"), F.count("*").alias("n"), F.first("bands").alias("bands")), "heads")
 
     filed = heads.select("key", F.posexplode("bands")).select("key", F.xxhash64("pos", "col").alias("file"))
-    met = filed.join(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1").select("file"), "file")
+    full = common.cut(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    met = common.join_counted(filed, full, "file", "n", exploded=True)
     # classes with one fingerprint, and the closest fingerprints
     of = common.cut(prints.where("size > 0").select("key", "fp").distinct(), "fingerprints")
     first = common.cut(of.groupBy("fp").agg(F.min("key").alias("first")), "firsts")

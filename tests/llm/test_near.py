@@ -111,3 +111,12 @@ def test_blocks_of_fingerprints_stay_off_the_driver(spark, tmp_path, plans):
     found = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
     assert not broadcast_after_explode(found) and not any(bad for _, bad in plans)
     assert found.distinct().count() == 500
+
+
+def test_bands_of_documents_stay_off_the_driver(spark, tmp_path, plans):
+    texts = [" ".join(f"w{(k * 7 + j * j) % 5000}" for j in range(40)) for k in range(200)]
+    rows = [(k, t) for k, t in enumerate(texts + [t + " more" for t in texts[:50]])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs"), words=5, differing=6, similar=0.8)
+    assert {r.doc_id for r in kept.collect()} == set(range(200))
+    assert "files" in dict(plans) and not any(bad for _, bad in plans)
