@@ -97,7 +97,7 @@ def join_counted(rows: DataFrame, one: DataFrame, key: str, n: str, exploded: bo
     Keys with over 1/HOT of all rows are at most HOT, so they go by broadcast;
     all others share out evenly by the usual shuffle, however hot the former are.
     Spark takes exploded rows for as few as they were before: with `exploded`
-    neither they nor their keys, which may be as many, ever go by broadcast.
+    neither they nor their other keys, which may be as many, go by broadcast.
     """
     total = one.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) > total / HOT
