@@ -4,19 +4,25 @@ Each task turns its texts into shards of word ids, sorts a shard's suffixes by
 numpy prefix doubling, and reads the counts of phrases off the intervals of
 common prefixes.  Spark adds up the shards' counts by phrase.
 
-A phrase is frequent only if all its parts are.  So the texts are read three
-times: for words, for pairs of frequent words, which are counted by a hash
-alone, and for the phrases of two to five words that are made of frequent
-pairs, which are counted as they are.  What is frequent goes to the tasks as a
-bitmap of hashes of fixed size: a clash lets a rare part through, whose count
-the final threshold sorts out, but no frequent part is ever missed.
+A phrase is frequent only if all its parts are.  So the texts are read four
+times: for words, for pairs of frequent words, for triples of frequent pairs,
+and for phrases of four and five words that are made of frequent triples.
+Without the triples most of the latter would be counted in vain: the larger a
+table, the more pairs are frequent, and what chains of them can be put together
+grows faster still.  What is frequent goes to the tasks as a bitmap of hashes
+of fixed size: a clash lets a rare part through, whose count the final threshold
+sorts out, but no frequent part is ever missed.
+
+Phrases of two words or more are counted by the numbers of their words, hashes
+of 48 bits that are known to differ for all words that the bitmap lets through,
+so the counts are exact, and only the frequent phrases are put into words again.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import count
 
 import numpy as np
@@ -33,6 +39,8 @@ LONGEST = 5
 BITS = 1 << 26
 #: Bytes of text in a shard; a single longer text is a shard of its own.
 SHARD = 16 << 20
+#: Bits of a word's number.
+ID_BITS = 48
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("phrase", T.StringType()), T.StructField("f", T.LongType())])
 
 _END = 10
@@ -99,20 +107,26 @@ def phrases(ids: np.ndarray, size: np.ndarray, least: int, most: int) -> Iterato
             yield m, order[starts], np.add.reduceat(long.astype(np.int64), starts)
 
 
-def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    """Hashes of a language's words, the same as Spark's xxhash64(lang, word)."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+def _hashes(lang: str, words: list[bytes], salt: str) -> np.ndarray:
+    """Hashes of a language's words, the same as Spark's xxhash64(salt, lang, word)."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(salt.encode(), 42))
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
-def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of 48 bits of pairs of words, from theirs."""
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, from numbers or hashes of their halves."""
     mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second >> np.uint64(31)) ^ second
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
     return (mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(16)
 
 
+def _phrase_hashes(numbers: np.ndarray) -> np.ndarray:
+    """Hashes of pairs or triples, from the numbers of their words in rows."""
+    hashes = [_mixed(numbers[:, j], numbers[:, j + 1]) for j in range(numbers.shape[1] - 1)]
+    return hashes[0] if len(hashes) == 1 else _mixed(*hashes)
+
+
 def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of these may be frequent."""
     at = hashes % np.uint64(BITS)
@@ -135,30 +149,32 @@ def _dense(ids: np.ndarray, size: np.ndarray, least: int, most: int) -> tuple[np
     return np.where(near, ids, 0)[kept], np.where(near, size, 0)[kept]
 
 
-def count_pairs(lang: str, text: bytes, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of a shard's distinct pairs of words that may be frequent."""
-    ids, words = word_ids(text)
-    hashes = _hashes(lang, words)
-    known = _held(bitmap, hashes)
-    known[0] = False
-    usable = known[ids]
-    ids, size = _dense(ids, np.where(ids > 0, reach(usable & _shifted(usable, 1), 2), 0), 2, 2)
-    for _, at, n in phrases(ids, size, 2, 2):
-        return _pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]), n
-    return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-
+def count_phrases(lang: str, text: bytes, salt: str, bitmaps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words in rows, counts) of a shard's distinct phrases whose parts may be frequent.
 
-def count_phrases(lang: str, text: bytes, bitmap: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(length, phrases, counts) of a shard's distinct phrases whose pairs may be frequent."""
+    With the bitmap of words these are pairs, with that of pairs as well triples,
+    with that of triples as well phrases of four words and more.
+    """
     ids, words = word_ids(text)
-    hashes = _hashes(lang, words)
-    after = _shifted(ids, 1)
-    linked = (ids > 0) & (after > 0) & _held(bitmap, _pair_hashes(hashes[ids], hashes[after]))
-    ids, size = _dense(ids, np.where(ids > 0, reach(linked, LONGEST), 0), 2, LONGEST)
-    for m, at, n in phrases(ids, size, 2, LONGEST):
-        for k in range(0, len(at), 100_000):
-            columns = [ids[at[k : k + 100_000] + j].tolist() for j in range(m)]
-            yield m, [b" ".join([words[w] for w in row]) for row in zip(*columns)], n[k : k + 100_000]
+    hashes = _hashes(lang, words, salt)
+    numbers = hashes >> np.uint64(64 - ID_BITS)
+    known = _held(bitmaps[0], hashes)
+    known[0] = False
+    linked = known[ids]
+    linked &= _shifted(linked, 1)
+    least, most = 2, 2
+    if len(bitmaps) > 1:
+        pairs = _mixed(numbers[ids], _shifted(numbers[ids], 1))
+        linked &= _held(bitmaps[1], pairs)
+        least, most = 3, 3
+    size = reach(linked, most)
+    if len(bitmaps) > 2:
+        chained = linked & _shifted(linked, 1) & _held(bitmaps[2], _mixed(pairs, _shifted(pairs, 1)))
+        least, most = 4, LONGEST
+        size = np.where(linked, 1 + reach(chained, most - 1), 1)
+    ids, size = _dense(ids, np.where(ids > 0, size, 0), least, most)
+    for m, at, n in phrases(ids, size, least, most):
+        yield numbers[ids[at[:, None] + np.arange(m)]], n
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
@@ -187,18 +203,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(lang, 1, *count_words(b"\n".join(texts)))
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches):
-        for lang, texts in shard.items():
-            hashes, n = count_pairs(lang, b"\n".join(texts), bitmap.value)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["h", "f"])
+def _hashed(hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["h", "f"])
 
 
-def _count_phrases(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
+def _keys(numbers: np.ndarray) -> pa.Array:
+    """Rows of words' numbers as bytes, the highest first."""
+    n, m = numbers.shape
+    width = ID_BITS // 8
+    data = np.ascontiguousarray(numbers.astype(">u8").view(np.uint8).reshape(n, m, 8)[:, :, 8 - width :])
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(m * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _count_phrases(batches: Iterator[pa.RecordBatch], salt: str, bitmaps) -> Iterator[pa.RecordBatch]:
     for shard in _shards(batches):
         for lang, texts in shard.items():
-            for m, found, n in count_phrases(lang, b"\n".join(texts), bitmap.value):
-                yield _rows(lang, m, found, n)
+            for numbers, n in count_phrases(lang, b"\n".join(texts), salt, [b.value for b in bitmaps]):
+                for k in range(0, len(n), 1_000_000):
+                    yield pa.RecordBatch.from_arrays([_keys(numbers[k : k + 1_000_000]), pa.array(n[k : k + 1_000_000], pa.int64())], names=["key", "f"])
+
+
+def _hash_keys(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        whole = np.zeros((batch.num_rows, m, 8), dtype=np.uint8)
+        whole[:, :, 8 - ID_BITS // 8 :] = np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, m, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(whole.view(">u8")[:, :, 0].astype(np.uint64)).view(np.int64))], names=["h"])
 
 
 def _bitmap(hashes: DataFrame):
@@ -211,16 +241,41 @@ def _bitmap(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(made)
 
 
+def salted(words: DataFrame, least: int, bits: int = ID_BITS) -> tuple[str, DataFrame]:
+    """A salt with which the hashes of all words that a bitmap of the frequent ones lets through differ in their first `bits` bits, and the words with these hashes as `h`."""
+    for salt in map(str, count()):
+        hashed = words.withColumn("h", F.xxhash64(F.lit(salt), "lang", "phrase"))
+        slots = hashed.where(F.col("f") >= least).select(F.pmod("h", F.lit(BITS)).alias("slot")).distinct()
+        let_through = hashed.select("h", F.pmod("h", F.lit(BITS)).alias("slot")).join(slots, "slot", "left_semi")
+        if let_through.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("id")).count().where("count > 1").isEmpty():
+            return salt, hashed
+
+
+def _in_words(keys: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, words, phrase, f) of phrases by the numbers of their words; `words` has `id`, lang and phrase."""
+    width = ID_BITS // 8
+    ids = F.expr(f"transform(sequence(0, length(key) div {width} - 1), i -> cast(conv(hex(substring(key, cast(i * {width} + 1 as int), {width})), 16, 10) as long))")
+    parts = common.cut(keys.select("key", "f", F.posexplode(ids).alias("at", "id")), "parts")
+    times = parts.groupBy("id").agg(F.count("*").alias("times"))
+    found = common.join_counted(parts, common.cut(words.join(times, "id"), "numbered"), "id", "times")
+    whole = found.groupBy("key", "f").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "phrase"))).alias("parts"))
+    return whole.select("lang", F.size("parts").alias("words"), F.array_join("parts.phrase", " ").alias("phrase"), "f")
+
+
 def phrase_counts(docs: DataFrame, least: int = 100) -> DataFrame:
     """(lang, words, phrase, f): the counts of all single words, and of those phrases of two to five words that occur `least` times or more in their language."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = ["lang", "words", "phrase"]
-    words = common.cut(texts.mapInArrow(_count_words, COUNTS).groupBy(*keys).agg(F.sum("f").alias("f")), "words")
-    often = _bitmap(words.where(F.col("f") >= least).select(F.xxhash64("lang", "phrase").alias("h")))
-    pairs = texts.mapInArrow(partial(_count_pairs, bitmap=often), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-    linked = _bitmap(common.cut(pairs.where(F.col("f") >= least).select("h"), "pairs"))
-    longer = texts.mapInArrow(partial(_count_phrases, bitmap=linked), COUNTS).groupBy(*keys).agg(F.sum("f").alias("f"))
-    return words.union(common.cut(longer.where(F.col("f") >= least), "phrases"))
+    words = common.cut(texts.mapInArrow(_count_words, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")), "words")
+    salt, hashed = salted(words, least)
+    often = hashed.where(F.col("f") >= least)
+    bitmaps, found = [_bitmap(often.select("h"))], []
+    for m in (2, 3, 4):
+        counted = texts.mapInArrow(partial(_count_phrases, salt=salt, bitmaps=list(bitmaps)), "key binary, f long").groupBy("key").agg(F.sum("f").alias("f"))
+        found.append(common.cut(counted.where(F.col("f") >= least), "phrases"))
+        if m < 4:
+            bitmaps.append(_bitmap(found[-1].mapInArrow(partial(_hash_keys, m=m), "h long")))
+    numbered = often.select(F.shiftrightunsigned("h", 64 - ID_BITS).alias("id"), "lang", "phrase")
+    return words.union(common.cut(_in_words(reduce(DataFrame.union, found), numbered), "phrases"))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:

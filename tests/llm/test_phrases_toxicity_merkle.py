@@ -74,6 +74,32 @@ def test_collocations_like_counting_all_phrases(spark, monkeypatch):
     assert collocations.collocations(docs(spark, []), 5).count() == 0
 
 
+def test_longer_phrases_are_not_counted_in_vain(spark, monkeypatch):
+    """Frequent pairs, rare triples: no phrase of four or five words can be frequent, so the tasks make none."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{int(w)}" for w in rng.integers(0, 12, 100)), "en", "s", 1) for k in range(30)]
+    rows += [(k, "one two three four five six", "en", "s", 1) for k in range(30, 42)]
+    df, made = docs(spark, rows).coalesce(1), []
+    whole = type(df).mapInArrow
+
+    def counted(self, *args):
+        out = whole(self, *args).persist()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    assert {tuple(r) for r in collocations.collocations(df, 10).collect()} == plain_collocations(rows, 10, 2000)
+    assert sum(made) < 3000
+
+
+def test_numbers_of_words_differ(spark):
+    """So few bits that the first salts give two words one number; rare words that no bitmap lets through don't matter."""
+    words = spark.createDataFrame([(lang, 1, f"w{k}", 5) for k in range(30) for lang in ("en", "de")] + [("en", 1, f"rare{k}", 1) for k in range(2000)], "lang string, words int, phrase string, f long")
+    salt, hashed = collocations.salted(words, 5, 10)
+    assert salt != "0" and hashed.count() == 2060
+    assert len({r.h >> 54 for r in hashed.where("f = 5").collect()}) == 60
+
+
 def test_scores_pass_64_bits(spark):
     big = 3_000_000_000_000_000
     df = spark.createDataFrame([(big, big, 5, 7)], "a long, n long, l long, r long")
