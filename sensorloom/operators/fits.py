@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators import robust
+from sensorloom.operators import ranks, robust
 from sensorloom.operators.series import HERE, PAST, over
 from sensorloom.sources.shared import materialise
 
@@ -157,14 +157,18 @@ def bootstrap_minima(values: DataFrame, by: list[str], draws: int, index: Column
     """k_opt per draw: in each draw every K's i-th value (of n, both from 0) is replaced by its index-th, where `index`
     is an expression over draw, i and n; medians, their scale, cost and minimum follow.  The scale is that of the undrawn
     medians' maximum for all draws, or each draw's own by normalise()'s rule `rescale`."""
-    numbered = values  # columns: by, k, metric, i, n, value
-    drawn = numbered.select(*by, "k", "metric", "i", "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pick", index)
-    picked = drawn.join(numbered.select(*by, "k", "metric", F.col("i").alias("pick"), value), [*by, "k", "metric", "pick"])
-    medians = picked.groupBy(*by, "draw", "k", "metric").agg(F.median(value).alias("median"))
+    place = [*by, "k", "n"]  # metrics of as many values share their picks
+    packed = materialise(values.groupBy(*place, "i").agg(F.collect_list(F.struct("metric", F.col(value).alias("value"))).alias("_values")), "values")
+    picks = packed.select(*place, "i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(*place, index.alias("i"), "draw").where("i is not null")
+    # a place's draws are gathered where they meet: one row for each place, whatever the number of draws
+    taken = picks.repartition(*place, "i").groupBy(*place, "i").agg(F.collect_list("draw").alias("_draws"))
+    picked = materialise(ranks.joined(packed, taken, [*place, "i"]).drop("i", "n"), "picked")
+    each = picked.select(*by, "k", F.explode("_values").alias("_v"), "_draws").select(*by, "k", "_v.*", F.explode("_draws").alias("draw"))
+    medians = materialise(ranks.median(each, [*by, "draw", "k", "metric"], "value"), "draws")
     if rescale:
-        medians = normalise(materialise(medians, "draws"), [*by, "draw"], rescale)
+        medians = normalise(medians, [*by, "draw"], rescale)
     else:
-        undrawn = numbered.groupBy(*by, "k", "metric").agg(F.median(value).alias("_m")).groupBy(*by, "metric").agg(F.max(F.abs("_m")).alias("_scale"))
+        undrawn = ranks.median(packed.select(*by, "k", F.explode("_values").alias("_v")).select(*by, "k", "_v.*"), [*by, "k", "metric"], "value", "_m").groupBy(*by, "metric").agg(F.max(F.abs("_m")).alias("_scale"))
         medians = medians.join(undrawn, [*by, "metric"]).withColumn("normalised", F.when(F.col("_scale") > 0, F.col("median") / F.col("_scale")))
     return argmin_parabolic(cost(medians, [*by, "draw"], weights), [*by, "draw"], "cost")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.operators import fits, ranks, robust
+from sensorloom.operators import cells, fits, ranks, robust
 from sensorloom.sources.shared import materialise
 
 WEIGHTS = {"quantity": 1.0, "price": 2.0, "unit": 0.5}
@@ -119,8 +119,10 @@ _LINE = """line AS (
 def bootstrap_values(spark: SparkSession, sf_dir: str):
     """Values by k and metric, and which of them a draw takes: arithmetic on row numbers, so that any engine draws the same."""
     rows = table(spark, sf_dir, "events").select(((F.col("event_id") % 9) / 100).alias("k"), "event_id", (F.abs(F.col("value") - F.lit(50.0) - 100 * (F.col("event_id") % 9))).alias("a"), F.abs(F.col("value") - 20).alias("b"))
-    w = Window.partitionBy("k")
-    rows = rows.withColumn("i", F.row_number().over(w.orderBy("event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = cells.placed(cells.dealt(rows, ["k"], ["event_id"]), ["k"], ["event_id"])
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    # whole numbers of 64 bits: a square of 32 bits overflows from 46,341 rows of a K
+    rows = ranks.joined(rows, sizes, ["k"]).withColumn("i", F.col("_place").cast("long"))
     long = rows.unpivot(["k", "i", "n"], ["a", "b"], "metric", "value")
     return long, (F.col("i") * 7919 + F.col("draw") * 104729 + F.col("i") * F.col("i") % 1009 * 31) % F.col("n")
 
