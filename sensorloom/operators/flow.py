@@ -147,7 +147,8 @@ def align_grid(force: DataFrame, sweep: DataFrame, levels: DataFrame, shifts: in
     use = (F.col("settle") > 0) & (F.col("settle") < 1) & (F.col("steps") >= 2) & (F.col("width") > 0)
     scores = shift_scores(rises, info.where(use).select("run_id", "t_start", "width", "settle", "clean"), shifts)
     least = scores.withColumn("_min", F.min("score").over(Window.partitionBy("run_id"))).where("score <= _min * 1.05 + 1e-9")
-    picked = least.groupBy("run_id").agg(F.min_by("delta", F.struct(F.abs("delta"), "delta")).alias("delta"))
+    # moves are compared as whole shifts: as doubles, equal moves to either side differ in their last digits
+    picked = least.groupBy("run_id").agg(F.min_by("delta", F.struct(F.abs(2 * F.col("shift") - (shifts - 1)), "shift")).alias("delta"))
     return info.join(picked, "run_id", "left").select("run_id", (F.col("t_start") + F.coalesce("delta", F.lit(0.0))).alias("t_start"))
 
 
