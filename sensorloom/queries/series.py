@@ -21,7 +21,7 @@ _E = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t
 
 
 def event_gaps_dropouts(spark, sf_dir):
-    found = robust.dropouts(events(spark, sf_dir), ["user_id"], ["t"], "t", "value", factor=3.0, least_gap=60.0, spread=10.0)
+    found = robust.dropouts(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "t", "value", factor=3.0, least_gap=60.0, spread=10.0)
     return rounded(found.select("user_id", "event_id", "gap", "jump"))
 
 
