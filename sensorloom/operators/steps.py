@@ -1,13 +1,20 @@
 """Step responses: the seventeen metrics of a rise and fall, and whether a segment counts.
 
-Everything is computed by window aggregates over one segment's samples, so a
-single exchange on the segment's key serves all passes and no Python runs.
+Samples and segments meet in stretches of a run's time, and a stretch is
+measured as a whole: numpy reduces the samples of all its segments at once.
+Samples may come as blocks that are unpacked only there, so that what travels
+is a row for each block and not for each sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from sensorloom.operators import fits, robust, series
 
@@ -16,88 +23,214 @@ METRICS = [
     "baseline_median", "baseline_noise_std", "high_level", "plateau_slope", "plateau_creep", "overshoot", "rise_delay", "rise_slope", "rise_error_area", "rise_signed_area",
     "fall_delay", "fall_error_area", "fall_signed_area", "k_estimate", "undershoot", "tail_area", "settling_time",
 ]
+#: Seconds of a stretch, if no segment is longer.
+STRETCH = 600.0
+#: Times and values, a row each, of a table of blocks.
+Unpack = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+_COUNTS = ["n_samples", "_n_base", "_n_peak", "_n_plat", "_n_trough"]
+_VALUES = ["_base", "_noise", "_peak", "_high", "_plat_std", "_trough", "_fall", "t_rise_end", "t_fall_start", "t_fall_end", "t_peak", "t_trough", "_slope", "_span", "rise_error_area", "rise_signed_area", "fall_error_area", "fall_signed_area", "tail_area", "_settled"]
+
+
+def _met(force: DataFrame, spans: DataFrame, lo: str, hi: str, unpack: Unpack | None, measure, out: list[StructField]) -> DataFrame:
+    """The spans with the columns `out`: what measure(t, v, spans) gives, by name, for the samples of a stretch in order
+    of time and all spans that begin in it."""
+    longest = spans.agg(F.max(F.when(F.abs(F.col(hi) - F.col(lo)) < float("inf"), F.col(hi) - F.col(lo)))).first()[0] or 0.0
+    size = max(STRETCH, float(longest))
+    reach = float(longest) * (1 + 1e-9) + 1e-6
+    keys = ["run_id", "_stretch"]
+    parts = int(force.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, last = ("t_lo", "t_hi") if unpack else ("t", "t")
+    known = force if unpack else robust.finite(force, "t", "v")
+    at = known.where("run_id is not null").withColumn("_stretch", F.explode(F.sequence(F.floor((F.col(first) - reach) / size), F.floor(F.col(last) / size))))
+    at = at.repartition(parts, *keys)  # a stretch is work enough for a task, however few bytes it has
+    begun = spans.withColumn("_stretch", F.floor(F.col(lo) / size))
+    schema = StructType([*spans.schema.fields, *out])
+    names = [f.name for f in out]
+
+    def measured(samples: pa.Table, spans: pa.Table) -> pa.Table:
+        spans = spans.drop_columns(["_stretch"])
+        got = measure(*_sorted(samples, unpack), spans)
+        for name in names:
+            x = got[name]
+            spans = spans.append_column(name, pa.array(x, mask=np.isnan(x) if x.dtype == float else None))
+        return spans
+
+    return at.groupBy(*keys).cogroup(begun.groupBy(*keys)).applyInArrow(measured, schema)
+
+
+def _sorted(samples: pa.Table, unpack: Unpack | None) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values in order of time and number; a block's samples follow each other."""
+    seq = samples["seq"].to_numpy()
+    if unpack:
+        t, v = unpack(samples)
+        seq = (seq[:, None] + np.arange(t.shape[1])).ravel()
+        t, v = t.ravel(), v.ravel()
+    else:
+        t, v = _number(samples, "t"), _number(samples, "v")
+    good = np.isfinite(t) & np.isfinite(v)
+    if not good.all():
+        t, v, seq = t[good], v[good], seq[good]
+    if len(t) and not (np.diff(t) > 0).all():
+        order = np.lexsort((seq, t))
+        t, v = t[order], v[order]
+    return t, v
+
+
+def _number(spans: pa.Table, name: str) -> np.ndarray:
+    return spans[name].cast(pa.float64()).to_numpy()
+
+
+class _Spans:
+    """The samples of many spans, which may overlap, laid out one span after the other; reductions by span."""
+
+    def __init__(self, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        self.begin, end = np.searchsorted(t, lo, "left"), np.searchsorted(t, hi, "right")
+        self.n = np.maximum(end - self.begin, 0)
+        self.offset = np.cumsum(self.n) - self.n
+        self.of = np.repeat(np.arange(len(lo)), self.n)
+        self.at = np.arange(len(self.of)) + np.repeat(self.begin - self.offset, self.n)
+        self.full = np.flatnonzero(self.n)
+
+    def reduced(self, f: np.ufunc, x: np.ndarray, empty) -> np.ndarray:
+        out = np.full(len(self.n), empty, dtype=np.result_type(x.dtype, type(empty)))
+        if len(self.full):
+            out[self.full] = f.reduceat(x, self.offset[self.full])
+        return out
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        return self.reduced(np.add, mask.astype(np.int64), 0)
+
+    def sum(self, mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """NaN where nothing is in the mask."""
+        return np.where(self.count(mask) > 0, self.reduced(np.add, np.where(mask, x, 0.0), 0.0), np.nan)
+
+    def least(self, mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+        found = self.reduced(np.minimum, np.where(mask, x, np.inf), np.inf)
+        return np.where(found < np.inf, found, np.nan)
 
+    def most(self, mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return -self.least(mask, -x)
 
-def _between(lo: Column, hi: Column) -> Column:
-    return (F.col("t") >= lo) & (F.col("t") <= hi)
+    def median(self, mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+        x, of = x[mask], self.of[mask]
+        n = np.bincount(of, minlength=len(self.n))
+        x = x[np.lexsort((x, of))]
+        first = np.cumsum(n) - n
+        out = np.full(len(n), np.nan)
+        some = np.flatnonzero(n)
+        a, b = first[some] + (n[some] - 1) // 2, first[some] + n[some] // 2
+        out[some] = np.where(a == b, x[a], 0.5 * x[a] + 0.5 * x[b])
+        return out
 
+    def deviation(self, mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+        n = self.count(mask)
+        away = x - (self.sum(mask, x) / np.maximum(n, 1))[self.of]
+        return np.sqrt(self.sum(mask, away * away) / np.maximum(n, 1))
 
-def step_metrics(force: DataFrame, segments: DataFrame, dropouts: DataFrame | None = None) -> DataFrame:
+
+def _features(t: np.ndarray, v: np.ndarray, spans: pa.Table) -> dict[str, np.ndarray]:
+    """_COUNTS and _VALUES of a stretch's segments, NaN where there is none."""
+    t_rise, t_fall, slow, fast, t_start, t_end = (_number(spans, c) for c in ("t_rise", "t_fall", "slow", "fast", "t_start", "t_end"))
+    s = _Spans(t, t_start, t_end)
+    of, at = s.of, s.at
+    us = np.round(t * 1e6).astype(np.int64)
+    soon_lo, soon_hi = np.searchsorted(us, us + 1, "left"), np.searchsorted(us, us + 50_000, "right")
+    t, v = t[at], v[at]
+
+    def between(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (t >= lo[of]) & (t <= hi[of])  # false for NaN
+
+    def first_of(*xs: np.ndarray) -> np.ndarray:
+        out = xs[0]
+        for x in xs[1:]:
+            out = np.where(np.isnan(out), x, out)
+        return out
+
+    base_in = between(t_start + 0.15 * slow, t_rise - 0.05 * slow)
+    n_base = s.count(base_in)
+    enough = (n_base >= 4) & (s.n >= 20)
+    base, noise = np.where(enough, s.median(base_in, v), np.nan), np.where(enough, s.deviation(base_in, v), np.nan)
+    y = v - base[of]
+    coarse_in = between(t_rise + 0.5 * fast, t_fall - 0.05 * fast)
+    coarse = np.where(s.count(coarse_in) >= 3, s.median(coarse_in, y), np.nan)
+    coarse = np.where(coarse > 0, coarse, np.nan)
+    is_high = y >= (0.9 * coarse)[of]
+    rise_end = s.least(between(t_rise, t_rise + 0.5 * fast) & is_high, t)
+    since_ = np.fmax(first_of(rise_end + 0.05, t_rise + 0.3 * fast), t_fall - 0.3 * fast)
+    # whether a segment's next 50 ms hold a high value
+    seen = np.concatenate([[0], np.cumsum(is_high)])
+    shift = (s.offset - s.begin)[of]
+    a, b = soon_lo[at] + shift, np.minimum(soon_hi[at] + shift, (s.offset + s.n)[of])
+    a = np.minimum(a, b)
+    low = y < (0.9 * coarse)[of]
+    fall_start = s.least(between(since_, t_fall + 0.1 * fast) & low & (seen[b] == seen[a]), t)
+    fall = first_of(fall_start, t_fall)
+    fall_end = s.least(between(fall, fall + 0.5 * slow) & (y <= (0.1 * coarse)[of]), t)
+
+    def extreme(mask: np.ndarray, find) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = s.count(mask)
+        best = find(mask & ~np.isnan(y), y)
+        when = s.least(mask & (y == best[of]), t)
+        when = np.where(np.isnan(best), s.least(mask, t), when)  # without a base, the first of the samples
+        return n, np.where(n >= 2, best, np.nan), np.where(n >= 2, when, np.nan)
+
+    n_peak, peak, t_peak = extreme(between(t_rise, first_of(rise_end + 0.10 * fast, t_rise + 0.20 * fast)), s.most)
+    settle = np.maximum(0.03, 0.1 * fast)
+    lo = first_of(rise_end + settle, np.where(np.isnan(t_peak), np.nan, np.fmax(t_peak, t_rise) + settle), t_rise + 0.5 * fast)
+    plat = between(lo, fall - np.maximum(0.02, 0.1 * fast)) & ~np.isnan(base)[of]
+    n_plat = s.count(plat)
+    high, plat_std = np.where(n_plat >= 3, s.median(plat, y), np.nan), np.where(n_plat >= 6, s.deviation(plat, y), np.nan)
+    n_trough, trough, t_trough = extreme(between(fall, first_of(fall_end + 0.30 * slow, t_fall + 0.5 * slow)), s.least)
+    # pairs of neighbours within a segment
+    t2, y2 = np.append(t[1:], np.nan), np.append(y[1:], np.nan)
+    final = s.offset[s.full] + s.n[s.full] - 1
+    t2[final] = y2[final] = np.nan
+    step = t2 - t
+
+    def area(lo: np.ndarray, hi: np.ndarray, f) -> np.ndarray:
+        pair = (t >= lo[of]) & (t2 <= hi[of])
+        each = (f(y) + f(y2)) / 2 * step
+        return s.sum(pair & ~np.isnan(each), each)
+
+    recover = first_of(fall_end + np.maximum(0.03, 0.05 * slow), t_trough + 0.10 * slow)
+    # settling: rows in a run of small values since at least 0.1 s
+    ok = (t >= first_of(t_trough, fall_end, t_fall)[of]) & (np.abs(y) < np.fmax(3 * noise, 1e-9)[of])
+    ahead = np.append(False, ok[:-1])
+    ahead[s.offset[s.full]] = False
+    began = np.maximum.accumulate(np.where(ok & ~ahead, np.arange(len(t)), 0)) if len(t) else np.arange(0)
+    since = t[began]
+    n = np.maximum(n_plat, 1)
+    x = t - t_rise[of]
+    dx = x - (s.sum(plat, x) / n)[of]
+    dy = y - (s.sum(plat, y) / n)[of]
+    span = s.most(plat, t) - s.least(plat, t)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope = np.where(span > 1e-6, s.sum(plat, dx * dy) / s.sum(plat, dx * dx), np.nan)
+    return {
+        "n_samples": s.n.astype(np.int64), "_n_base": n_base, "_n_peak": n_peak, "_n_plat": n_plat, "_n_trough": n_trough,
+        "_base": base, "_noise": noise, "_peak": peak, "_high": high, "_plat_std": plat_std, "_trough": trough, "_fall": fall, "t_rise_end": rise_end, "t_fall_start": fall_start, "t_fall_end": fall_end,
+        "t_peak": t_peak, "t_trough": t_trough, "_slope": slope, "_span": span,
+        "rise_error_area": area(t_rise, fall, lambda v: np.abs(high[of] - v)), "rise_signed_area": area(t_rise, fall, lambda v: v - high[of]),
+        "fall_error_area": area(fall, t_end, np.abs), "fall_signed_area": area(fall, t_end, lambda v: v),
+        "tail_area": area(recover, t_end - 0.05 * slow, np.abs),
+        "_settled": s.least(ok & (t - since >= 0.10), since),
+    }
+
+
+def step_metrics(force: DataFrame, segments: DataFrame, dropouts: DataFrame | None = None, unpack: Unpack | None = None) -> DataFrame:
     """One row per segment with METRICS, the feature times, n_samples, excluded and reasons.
 
     force: run_id, seq, t, v.  segments: run_id, k, seg_idx, t_rise, t_fall,
     slow, fast (leg durations), cycles (of the K).  dropouts: run_id, t.
-    Segments without samples come back, excluded, with nulls.
+    Segments without samples come back, excluded, with nulls.  With `unpack`,
+    force holds blocks of equally many samples: run_id, seq of the first one,
+    t_lo and t_hi, and what `unpack` makes the samples from.
     """
     bounds = segments.withColumn("t_start", F.col("t_rise") - F.col("slow")).withColumn("t_end", F.col("t_fall") + F.col("slow"))
     info = ["t_rise", "t_fall", "slow", "fast", "cycles", "t_start", "t_end"]
-    inside = series.interval_join(robust.finite(force, "t", "v"), bounds, ["run_id"], "t", "t_start", "t_end", 2.0)
-    whole = Window.partitionBy(*SEGMENT)
-    order = whole.orderBy("t", "seq")
     c = F.col
-    df = inside.withColumn("us", F.round(c("t") * 1e6).cast("bigint"))
-    df = df.withColumn("_base_in", _between(c("t_start") + 0.15 * c("slow"), c("t_rise") - 0.05 * c("slow")))
-    df = df.withColumn("_n_base", F.count_if("_base_in").over(whole))
-    base = F.when(c("_base_in"), c("v"))
-    enough = (c("_n_base") >= 4) & (F.count(F.lit(1)).over(whole) >= 20)
-    df = df.withColumn("_base", F.when(enough, F.median(base).over(whole))).withColumn("_noise", F.when(enough, F.stddev_pop(base).over(whole)))
-    df = df.withColumn("y", c("v") - c("_base"))
-    coarse_in = _between(c("t_rise") + 0.5 * c("fast"), c("t_fall") - 0.05 * c("fast"))
-    df = df.withColumn("_coarse", F.when(F.count_if(coarse_in).over(whole) >= 3, F.median(F.when(coarse_in, c("y"))).over(whole)))
-    df = df.withColumn("_coarse", F.when(c("_coarse") > 0, c("_coarse")))
-    high = 0.9 * c("_coarse")
-    df = df.withColumn("t_rise_end", F.min(F.when(_between(c("t_rise"), c("t_rise") + 0.5 * c("fast")) & (c("y") >= high), c("t"))).over(whole))
-    from_ = F.greatest(F.coalesce(c("t_rise_end") + 0.05, c("t_rise") + 0.3 * c("fast")), c("t_fall") - 0.3 * c("fast"))
-    df = df.withColumn("_soon", F.max("y").over(whole.orderBy("us").rangeBetween(1, 50_000)))
-    falls = _between(from_, c("t_fall") + 0.1 * c("fast")) & (c("y") < high) & (c("_soon").isNull() | (c("_soon") < high))
-    df = df.withColumn("t_fall_start", F.min(F.when(falls, c("t"))).over(whole))
-    df = df.withColumn("_fall", F.coalesce("t_fall_start", "t_fall"))
-    df = df.withColumn("t_fall_end", F.min(F.when(_between(c("_fall"), c("_fall") + 0.5 * c("slow")) & (c("y") <= 0.1 * c("_coarse")), c("t"))).over(whole))
-
-    def extreme(df: DataFrame, name: str, mask: Column, sign: int) -> DataFrame:
-        df = df.withColumn("_in", mask).withColumn(f"_n_{name}", F.count_if("_in").over(whole))
-        best = F.min_by(F.struct("t", "y"), F.when(c("_in"), F.struct((sign * c("y")).alias("a"), c("t").alias("b")))).over(whole)
-        return df.withColumn(f"_{name}", F.when(c(f"_n_{name}") >= 2, best)).withColumn(f"t_{name}", c(f"_{name}.t"))
-
-    df = extreme(df, "peak", _between(c("t_rise"), F.coalesce(c("t_rise_end") + 0.10 * c("fast"), c("t_rise") + 0.20 * c("fast"))), -1)
-    settle = F.greatest(F.lit(0.03), 0.1 * c("fast"))
-    lo = F.coalesce(c("t_rise_end") + settle, F.greatest("t_peak", "t_rise") + settle, c("t_rise") + 0.5 * c("fast"))
-    lo = F.when(c("t_rise_end").isNull() & c("t_peak").isNull(), c("t_rise") + 0.5 * c("fast")).otherwise(lo)
-    df = df.withColumn("_plat", c("_base").isNotNull() & _between(lo, c("_fall") - F.greatest(F.lit(0.02), 0.1 * c("fast"))))
-    df = df.withColumn("_n_plat", F.count_if("_plat").over(whole))
-    plat = F.when(c("_plat"), c("y"))
-    df = df.withColumn("_high", F.when(c("_n_plat") >= 3, F.median(plat).over(whole))).withColumn("_plat_std", F.when(c("_n_plat") >= 6, F.stddev_pop(plat).over(whole)))
-    df = extreme(df, "trough", _between(c("_fall"), F.coalesce(c("t_fall_end") + 0.30 * c("slow"), c("t_fall") + 0.5 * c("slow"))), 1)
-    df = df.withColumn("_t2", F.lead("t").over(order)).withColumn("_y2", F.lead("y").over(order))
-    recover = F.coalesce(c("t_fall_end") + F.greatest(F.lit(0.03), 0.05 * c("slow")), c("t_trough") + 0.10 * c("slow"))
-    tail_hi = c("t_end") - 0.05 * c("slow")
-    # settling: rows in a run of small values since at least 0.1 s
-    df = df.withColumn("_post", c("t") >= F.coalesce("t_trough", "t_fall_end", "t_fall")).withColumn("_ok", c("_post") & (F.abs("y") < F.greatest(3 * c("_noise"), F.lit(1e-9))))
-    df = df.withColumn("_grp", F.sum((~F.coalesce("_ok", F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_since", F.min(F.when(c("_ok"), c("t"))).over(Window.partitionBy(*SEGMENT, "_grp")))
-
-    def area(lo: Column, hi: Column, f) -> Column:
-        pair = (c("t") >= lo) & (c("_t2") <= hi)
-        return F.sum(F.when(pair, (f(c("y")) + f(c("_y2"))) / 2 * (c("_t2") - c("t"))))
-
-    def signed(v: Column) -> Column:
-        return v
-
-    slope = F.regr_slope(plat, c("t") - c("t_rise"))
-    span = F.max(F.when(c("_plat"), c("t"))) - F.min(F.when(c("_plat"), c("t")))
-    kept = ["_n_base", "_base", "_noise", "_n_peak", "_peak", "_n_plat", "_high", "_plat_std", "_n_trough", "_trough", "_fall", "t_rise_end", "t_fall_start", "t_fall_end", "t_peak", "t_trough"]
-    got = df.groupBy(*SEGMENT, *info).agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        *[F.first(x).alias(x) for x in kept],
-        F.when(span > 1e-6, slope).alias("_slope"),
-        span.alias("_span"),
-        area(c("t_rise"), c("_fall"), lambda v: F.abs(c("_high") - v)).alias("rise_error_area"),
-        area(c("t_rise"), c("_fall"), lambda v: v - c("_high")).alias("rise_signed_area"),
-        area(c("_fall"), c("t_end"), F.abs).alias("fall_error_area"),
-        area(c("_fall"), c("t_end"), signed).alias("fall_signed_area"),
-        area(recover, tail_hi, F.abs).alias("tail_area"),
-        F.min(F.when(c("_ok") & (c("t") - c("_since") >= 0.10), c("_since"))).alias("_settled"),
-    )
+    keys = [x for x in bounds.columns if x in (*SEGMENT, *info)]
+    got = _met(force, bounds.select(*keys), "t_start", "t_end", unpack, _features, [*[StructField(x, LongType()) for x in _COUNTS], *[StructField(x, DoubleType()) for x in _VALUES]])
     level = c("_high")
 
     def noise_gain(n: Column) -> Column:
@@ -111,17 +244,16 @@ def step_metrics(force: DataFrame, segments: DataFrame, dropouts: DataFrame | No
             "high_level": level + c("_base"),
             "plateau_slope": F.when(c("_n_plat") >= 4, c("_slope")),
             "plateau_creep": F.when(c("_n_plat") >= 4, F.abs("_slope") * c("_span")),
-            "overshoot": c("_peak.y") - level - F.greatest(F.coalesce("_plat_std", "_noise"), c("_noise")) * noise_gain(c("_n_peak")),
+            "overshoot": c("_peak") - level - F.greatest(F.coalesce("_plat_std", "_noise"), c("_noise")) * noise_gain(c("_n_peak")),
             "rise_delay": F.when(has & c("t_peak").isNotNull(), F.greatest(F.lit(0.0), c("t_peak") - c("t_rise"))),
-            "rise_slope": c("_peak.y") / F.greatest(c("t_peak") - c("t_rise"), F.lit(1e-9)),
+            "rise_slope": c("_peak") / F.greatest(c("t_peak") - c("t_rise"), F.lit(1e-9)),
             "fall_delay": F.when(has & c("t_trough").isNotNull(), F.greatest(F.lit(0.0), c("t_trough") - c("_fall"))),
             "k_estimate": F.when(level > 0, c("k") + c("fall_signed_area") / level),
-            "undershoot": -c("_trough.y") - c("_noise") * noise_gain(c("_n_trough")),
+            "undershoot": -c("_trough") - c("_noise") * noise_gain(c("_n_trough")),
             "settling_time": F.when(c("tail_area").isNotNull(), c("_settled") - c("t_fall")),
         }
     )
-    keys = [x for x in bounds.columns if x in (*SEGMENT, *info)]
-    every = bounds.select(*keys).join(out.drop(*info), SEGMENT, "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
+    every = out
     if dropouts is not None:
         zones = bounds.select(*SEGMENT, (c("t_rise") - 0.1 * c("slow")).alias("lo"), (c("t_fall") + 0.5 * c("slow")).alias("hi"))
         hit = series.interval_join(dropouts.select("run_id", "t"), zones, ["run_id"], "t", "lo", "hi", 2.0).select(*SEGMENT).distinct().withColumn("_drop", F.lit(True))
@@ -137,7 +269,7 @@ def step_metrics(force: DataFrame, segments: DataFrame, dropouts: DataFrame | No
         ("narrow baseline", (n >= 20) & (c("_n_base") < 4)),
         ("weak rise", noisy & (level < 3 * c("_noise"))),
         ("noisy baseline", noisy & (level > 0) & (c("_noise") > 0.30 * level)),
-        ("spike", noisy & (level > 3 * c("_noise")) & (F.abs(c("_trough.y")) > 5 * level)),
+        ("spike", noisy & (level > 3 * c("_noise")) & (F.abs(c("_trough")) > 5 * level)),
         ("first cycle", (c("seg_idx") == 0) & (c("cycles") >= 3)),
     ]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules]))
@@ -153,14 +285,24 @@ def aggregate(segments: DataFrame, least: int = 4) -> DataFrame:
     return fits.per_k(long, ["run_id"]).join(counts, ["run_id", "k"]).where(F.col("included") >= least)
 
 
-def integral_area(force: DataFrame, segments: DataFrame, longest: float = 0.075) -> DataFrame:
+def _areas(t: np.ndarray, v: np.ndarray, spans: pa.Table) -> dict[str, np.ndarray]:
+    """The area around the rise less that around the fall of a stretch's segments; NaN if either has less than two samples."""
+    total = 0.0
+    for edge, sign in (("t_rise", 1), ("t_fall", -1)):
+        at, half = _number(spans, edge), _number(spans, "half")
+        s = _Spans(t, at - half, at + half)
+        y = v[s.at]
+        y = y - (s.sum(np.ones(len(y), bool), y) / np.maximum(s.n, 1))[s.of]
+        pair = np.append(s.of[1:] == s.of[:-1], False) if len(y) else np.zeros(0, bool)
+        x = t[s.at]
+        total = total + sign * s.sum(pair, (y + np.roll(y, -1)) / 2 * (np.roll(x, -1) - x))
+    return {"a": total}
+
+
+def integral_area(force: DataFrame, segments: DataFrame, longest: float = 0.075, unpack: Unpack | None = None) -> DataFrame:
     """(run_id, k, area, n): over included segments, the area around the rise less that around the fall, each against
-    its window's own mean; the half window is at most half the fast leg."""
+    its window's own mean; the half window is at most half the fast leg.  Blocks with `unpack` as for step_metrics()."""
     used = segments.where("not excluded").select(*SEGMENT, "t_rise", "t_fall", F.least(F.lit(longest), F.col("fast") / 2).alias("half"))
-    edges = used.select(*SEGMENT, "half", F.explode(F.array(F.struct(F.col("t_rise").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("t_fall").alias("at"), F.lit(-1).alias("sign")))).alias("e")).select(*SEGMENT, "e.sign", (F.col("e.at") - F.col("half")).alias("lo"), (F.col("e.at") + F.col("half")).alias("hi"))
-    inside = series.interval_join(robust.finite(force, "t", "v"), edges, ["run_id"], "t", "lo", "hi", 0.5)
-    keys = [*SEGMENT, "sign"]
-    centred = inside.withColumn("_y", F.col("v") - F.avg("v").over(Window.partitionBy(*keys)))
-    areas = robust.trapezoid(centred, keys, ["t", "seq"], "t", "_y")
-    both = areas.groupBy(*SEGMENT).agg(F.sum(F.col("sign") * F.col("area")).alias("a"), F.count("area").alias("n")).where("n = 2")
-    return both.groupBy("run_id", "k").agg(F.sum("a").alias("area"), F.count(F.lit(1)).alias("n"))
+    used = used.withColumn("lo", F.least(F.col("t_rise"), F.col("t_fall")) - F.col("half")).withColumn("hi", F.greatest(F.col("t_rise"), F.col("t_fall")) + F.col("half"))
+    each = _met(force, used, "lo", "hi", unpack, _areas, [StructField("a", DoubleType())]).where("a is not null")
+    return each.groupBy("run_id", "k").agg(F.sum("a").alias("area"), F.count(F.lit(1)).alias("n"))
