@@ -29,6 +29,20 @@ def mad(df: DataFrame, by: list[str], col: str, fall_back: bool = False) -> Data
     return around.select(*by, "n", "median", scaled.alias("mad"), F.when(F.col("n") >= 2, F.col("_p75") - F.col("_p25")).alias("iqr"))
 
 
+def mad_of_sorted(df: DataFrame, held: str) -> DataFrame:
+    """mad()'s n, median, mad and iqr of each row's sorted array `held`, in its place."""
+    own = [c for c in df.columns if c != held]
+
+    def at(values: Column, p: float) -> Column:
+        x = F.lit(p) * (F.size(values) - 1)
+        low, high = F.floor(x).cast("int"), F.ceil(x).cast("int")
+        return F.when(low == high, F.get(values, low)).otherwise((high - x) * F.get(values, low) + (x - low) * F.get(values, high))
+
+    df = df.withColumn("n", F.size(held).cast("long")).withColumn("median", at(F.col(held), 0.5))
+    df = df.withColumn("_away", F.sort_array(F.transform(held, lambda v: F.abs(v - F.col("median")))))
+    return df.select(*own, "n", "median", (MAD_SCALE * at(F.col("_away"), 0.5)).alias("mad"), F.when(F.col("n") >= 2, at(F.col(held), 0.75) - at(F.col(held), 0.25)).alias("iqr"))
+
+
 def trapezoid(df: DataFrame, by: list[str], order: list[str], t: str, v: str, out: str = "area", absolute: bool = False) -> DataFrame:
     """The area under each series; null for a single point."""
     y = F.abs(F.col(v)) if absolute else F.col(v)

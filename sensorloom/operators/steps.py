@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from sensorloom.operators import fits, robust, series
+from sensorloom.operators import fits, ranks, robust, series
 
 SEGMENT = ["run_id", "k", "seg_idx"]
 METRICS = [
@@ -281,6 +281,13 @@ def aggregate(segments: DataFrame, least: int = 4) -> DataFrame:
     """(run_id, k, metric, n, median, mad, iqr, included, total) over included segments; only K with at least `least` of
     them have medians."""
     counts = segments.groupBy("run_id", "k").agg(F.count_if(~F.col("excluded")).alias("included"), F.count(F.lit(1)).alias("total"))
+    if (counts.agg(F.max("included")).first()[0] or 0) <= ranks.SMALL:  # a K's segments fit in a task, all metrics side by side
+        keys = [F.col(x).isNotNull() for x in ("run_id", "k")]
+        used = [F.when(~F.col("excluded") & ~F.isnan(m), F.col(m)) for m in METRICS]
+        held = segments.where(keys[0] & keys[1]).groupBy("run_id", "k").agg(F.count_if(~F.col("excluded")).alias("included"), F.count(F.lit(1)).alias("total"), *[F.sort_array(F.collect_list(x)).alias(m) for x, m in zip(used, METRICS)])
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("_sorted")) for m in METRICS])).alias("_m")
+        long = held.where(F.col("included") >= least).select("run_id", "k", "included", "total", each).select("run_id", "k", "included", "total", "_m.*")
+        return robust.mad_of_sorted(long, "_sorted").select("run_id", "k", "metric", "n", "median", "mad", "iqr", "included", "total")
     long = segments.where("not excluded").select("run_id", "k", *METRICS).unpivot(["run_id", "k"], METRICS, "metric", "value")
     return fits.per_k(long, ["run_id"]).join(counts, ["run_id", "k"]).where(F.col("included") >= least)
 
