@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sensorloom.operators import cells
 from sensorloom.operators.ranks import joined
@@ -217,6 +220,30 @@ def square_wave(grid: DataFrame, transitions: DataFrame, by: list[str], t: str,
     return found.withColumn(out, F.when(turned > 0, F.lit(high)).otherwise(F.lit(low))).drop("_at", f"_{direction}", "_first")
 
 
+def _nearest(points: pa.Table, segments: pa.Table, at: list[str], px: str, py: str, order: str, most: int = 1_000_000) -> pa.Table:
+    """The places `at` with their nearest segment's _d2, _o, _sx, _sy and _u; at most so many pairs are held at once."""
+    if not (len(points) and len(segments)):
+        points = points.slice(0, 0)
+    segments = segments.sort_by(order)  # of equally near ones the first
+    x, y = (points[c].cast(pa.float64()).to_numpy()[:, None] for c in (px, py))
+    x0, y0, x1, y1 = (segments[c].cast(pa.float64()).to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    dx, dy = x1 - x0, y1 - y0
+    length2 = dx * dx + dy * dy
+    rows = max(1, most // max(1, len(segments)))
+    found = []
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for i in range(0, len(points), rows):
+            a, b = x[i : i + rows], y[i : i + rows]
+            u = np.where(length2 > 0, np.clip(((a - x0) * dx + (b - y0) * dy) / length2, 0.0, 1.0), 0.0)
+            d2 = (a - (x0 + u * dx)) ** 2 + (b - (y0 + u * dy)) ** 2
+            k = np.where(np.isnan(d2), np.inf, d2).argmin(axis=1)
+            own = np.arange(len(k))
+            found.append((d2[own, k], k, u[own, k]))
+    d2, k, u = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0), np.zeros(0, int), np.zeros(0))
+    columns = [*[points[c] for c in at], pa.array(d2), segments[order].take(pa.array(k)), pa.array(x0[k] + u * dx[k]), pa.array(y0[k] + u * dy[k]), pa.array(u)]
+    return pa.table(columns, names=[*at, "_d2", "_o", "_sx", "_sy", "_u"])
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], px: str, py: str, order: str, cell: float, reach: int = 2) -> DataFrame:
     """Each point with its nearest segment (columns x0, y0, x1, y1, the first by `order` among equals): seg, snap_x,
     snap_y, frac and dist2.
@@ -246,7 +273,14 @@ def nearest_segment(points: DataFrame, segments: DataFrame, by: list[str], px: s
     cells = cells.dropDuplicates([*by, order, "_cx", "_cy"]).drop("_n", "_k")
     ring = F.sequence(F.lit(-reach), F.lit(reach))
     around = tagged.withColumn("_ix", F.explode(ring)).withColumn("_iy", F.explode(ring)).withColumn("_cx", F.floor(F.col(px) / cell) + F.col("_ix")).withColumn("_cy", F.floor(F.col(py) / cell) + F.col("_iy"))
-    near = best(measured(around.join(cells, [*by, "_cx", "_cy"])))
+    # a cell's pairs are measured where they meet: what goes on is a row for each place and cell, not for each pair
+    met = [*by, "_cx", "_cy"]
+    known = " and ".join(f"`{c}` is not null" for c in met)
+    kinds = {f.name: f.dataType for f in (*tagged.schema.fields, *segments.schema.fields)}
+    schema = StructType([*[StructField(c, kinds[c]) for c in at], StructField("_d2", DoubleType()), StructField("_o", kinds[order]), *[StructField(c, DoubleType()) for c in ("_sx", "_sy", "_u")]])
+    there = around.where(known).groupBy(*met).cogroup(cells.where(known).select(*met, order, "x0", "y0", "x1", "y1").groupBy(*met))
+    near = there.applyInArrow(lambda points, segments: _nearest(points, segments, at, px, py, order), schema)
+    near = near.groupBy(*at).agg(F.min(F.struct("_d2", "_o", F.struct("_sx", "_sy", "_u").alias("_s"))).alias("_b"))
     # sample points on a segment are at most a cell apart: within (reach - 1) cells nothing nearer can have been missed
     sure = near.where(F.col("_b._d2") <= ((reach - 1) * cell) ** 2)
     rest = tagged.join(sure, at, "left_anti")
